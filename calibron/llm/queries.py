@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibron.llm import langid, pieces, quality, simhash
+from calibron.llm import langid, licenses, mixing, order_minhash, pieces, quality, secrets, simhash
 from calibron.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,16 @@ def _over_documents(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": _over_documents(licenses.license_query),
         "op2_simhash_groups": _over_documents(simhash.simhash_query),
+        "op4_secret_scan": _over_documents(secrets.secrets_query),
+        "op6_order_minhash": _over_documents(order_minhash.minhash_query),
         "op7_quality_ledger": _over_documents(quality.quality_query),
         "op8_sentencepiece": _over_documents(pieces.pieces_query),
+        "op9_source_mixing": _over_documents(mixing.mixing_query),
         "op10_language_id": _over_documents(langid.language_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_ledger": quality.QUALITY_SQL}
+    return {"op7_quality_ledger": quality.QUALITY_SQL, "op9_source_mixing": mixing.MIXING_SQL}
