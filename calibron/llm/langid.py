@@ -110,7 +110,10 @@ def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack:
     """
     spark = train.sparkSession
     train = columns_of(train, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    ranked = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).selectExpr("doc_id as id", "lang as l", "row_number() over (partition by lang order by h, doc_id) as k")
+    hashed = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # First within 64 parts of each language, then among what these leave: a frequent language is never ranked by one task.
+    near = hashed.selectExpr("doc_id", "lang", "h", "row_number() over (partition by lang, pmod(doc_id, 64) order by h, doc_id) as k").where(F.col("k") <= sample_per_lang)
+    ranked = near.selectExpr("doc_id as id", "lang as l", "row_number() over (partition by lang order by h, doc_id) as k")
     chosen = ranked.where(F.col("k") <= sample_per_lang).select("id", "l").distinct()
 
     def frequencies(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibron.llm import langid, licenses, mixing, order_minhash, pieces, quality, secrets, simhash, suffix_dedup
+from calibron.llm import katz, langid, licenses, mixing, order_minhash, pieces, quality, secrets, simhash, suffix_dedup
 from calibron.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash_groups": _over_documents(simhash.simhash_query),
         "op3_suffix_dedup": _over_documents(suffix_dedup.suffix_query),
         "op4_secret_scan": _over_documents(secrets.secrets_query),
+        "op5_katz_backoff": _over_documents(katz.katz_query),
         "op6_order_minhash": _over_documents(order_minhash.minhash_query),
         "op7_quality_ledger": _over_documents(quality.quality_query),
         "op8_sentencepiece": _over_documents(pieces.pieces_query),
