@@ -123,13 +123,15 @@ def minhash_query(docs: DataFrame) -> DataFrame:
     """
     scanned = columns_of(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     ring = neighbours(scanned.select("doc_id", F.length("text").cast("long").alias("n_chars")))
-    own = scanned.repartition("doc_id")
+    own = scanned.where("doc_id is not null").repartition("doc_id")  # both uses below read this one exchange
     heads = own.groupBy("doc_id").agg(F.min("text").alias("text")).join(ring, "doc_id").select(F.col("prev_id").alias("head_of"), F.expr("substring(text, 1, cast(prev_chars div 4 as int))").alias("head"))
     n = F.length("text")
-    joined = own.join(heads, own["doc_id"] == heads["head_of"], "left").select("doc_id", "text", F.expr("substring(coalesce(head, ''), 1, cast(length(text) div 4 as int))").alias("head"))
+    placed = own.join(heads, own["doc_id"] == heads["head_of"]).join(ring.select(F.col("doc_id").alias("ring_id"), "prev_id"), own["doc_id"] == F.col("ring_id")).select("doc_id", "prev_id", "text", F.expr("substring(head, 1, cast(length(text) div 4 as int))").alias("head"))
+    alone = scanned.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("prev_id"), "text", F.lit("").alias("head"))
+    joined = placed.unionByName(alone)
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 4 as int))"), "head")
-    marked = joined.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signature(F.col("text")).alias("sig"), signature(F.col("edited")).alias("edited_sig"))
+    marked = joined.select("doc_id", "prev_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).select("doc_id", "prev_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signature(F.col("text")).alias("sig"), signature(F.col("edited")).alias("edited_sig"))
     rows = written(marked, "omh_signatures")
-    following = rows.where("doc_id is not null").select("doc_id", "sig").groupBy("doc_id").agg(F.min("sig").alias("next_sig")).join(ring.select("doc_id", "prev_id"), "doc_id").select(F.col("prev_id").alias("before_id"), "next_sig")
-    out = rows.join(following, rows["doc_id"] == following["before_id"], "left")
+    following = rows.where("prev_id is not null").select(F.col("prev_id").alias("before_id"), "sig").groupBy("before_id").agg(F.min("sig").alias("next_sig"))
+    out = rows.drop("prev_id").join(following, rows["doc_id"] == following["before_id"], "left")
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), F.when(F.col("next_sig").isNotNull(), likeness(F.col("sig"), F.col("next_sig"))).otherwise(F.lit(0.0)).alias("near_next"))
