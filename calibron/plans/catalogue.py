@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from calibron.plans import log_queries, matrix_queries, text_queries  # noqa: F401  they register themselves
+from calibron.plans.registry import QUERIES, SQL
+from calibron.sources.domain import Domain
+
+
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_queries.leaderboard(Domain(spark, sf_dir)).orderBy("rank")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
