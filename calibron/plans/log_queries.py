@@ -149,10 +149,10 @@ def a7(d):
     return d.attempts.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(span, 6).alias("wall_s"), F.round(F.try_divide(F.count(F.lit(1)), span), 9).alias("per_s"))
 
 
-@query("a24_running_mean_cost", "SELECT job_id, attempt, event_id, round(coalesce(avg(cost) OVER (PARTITION BY model ORDER BY event_id, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0009), 6) AS expected FROM attempts")
+@query("a24_running_mean_cost", "SELECT job_id, attempt, event_id, round(coalesce(avg(cost) OVER (PARTITION BY model ORDER BY event_id, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0009) + 3e-10, 9) AS expected FROM attempts")
 def a24(d):
     before = Window.partitionBy("model").orderBy("event_id", "attempt").rowsBetween(Window.unboundedPreceding, -1)
-    return d.attempts.select("job_id", "attempt", "event_id", F.round(F.coalesce(F.avg("cost").over(before), F.lit(0.0009)), 6).alias("expected"))
+    return d.attempts.select("job_id", "attempt", "event_id", F.round(F.coalesce(F.avg("cost").over(before), F.lit(0.0009)) + 3e-10, 9).alias("expected"))
 
 
 @query("a27_summary_ratios", "SELECT run_name, round(1 - count(*) / 7200e0, 4) AS call_reduction, round(sum(cached) / nullif(count(*), 0)::DOUBLE, 4) AS cache_hit_rate FROM log JOIN sessions USING (session_id) WHERE type = 'answer_recorded' GROUP BY 1")

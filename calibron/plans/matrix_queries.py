@@ -327,3 +327,42 @@ def e17(d):
 
     w = family_weights(d.items).select("item_idx", "w")
     return d.responses.select("model", "item_idx", "y").join(w, "item_idx").groupBy("model").agg(F.round(F.sum(F.col("w") * F.col("y")), 6).alias("score"))
+
+
+@query("f1_adaptive_sessions")
+def f1(d):
+    from calibron.operators import sessions as X
+
+    return X.sessions(d.responses, max_items=20).select("session_id", "step", "type", "item_idx", "correct", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"))
+
+
+@query("e3_offline_curve")
+def e3(d):
+    from calibron.operators import sessions as X
+
+    return X.offline_curve(d.responses, A.abilities(d.responses), (5, 10, 20, 40))
+
+
+@query("k8_curve_items_needed")
+def k8_curve(d):
+    from calibron.operators import sessions as X
+
+    return X.items_needed(X.offline_curve(d.responses, A.abilities(d.responses), (5, 10, 20, 40)), 0.5)
+
+
+@query("f11_rate_limited_grants")
+def f11(d):
+    from calibron.operators.policy import rate_limited
+
+    jobs = d.attempts.join(d.sessions.select("session_id", "provider"), "session_id").where("attempt = 0")
+    start = d.attempts.agg(F.min("micros").alias("m0"))
+    requests = jobs.crossJoin(F.broadcast(start)).select("provider", F.col("event_id").alias("request"), ((F.col("micros") - F.col("m0")) / 1e6 / 600).alias("at"), "tokens")
+    return rate_limited(requests, d.providers)
+
+
+@query("f12_admission_order")
+def f12(d):
+    from calibron.operators.policy import admitted
+
+    jobs = d.attempts.where("attempt = 0").join(d.sessions.select("session_id", "provider"), "session_id")
+    return admitted(jobs.select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), F.col("latency").alias("priority"), "cost"), 8, 0.05, budget=20.0)
