@@ -36,7 +36,7 @@ def item_bank(spark: SparkSession, path: str) -> DataFrame:
 
 def write_bank(bank: DataFrame, path: str) -> None:
     packed = bank.agg(F.array_sort(F.collect_list(F.struct("item_idx", "item_id", "a", "b", "dim"))).alias("r"))
-    out = packed.select(F.transform("r", lambda r: r["item_id"]).alias("item_ids"), *(F.transform("r", lambda r, c=c: r[c]).alias(c) for c in ("a", "b", "dim")), (F.array_max(F.transform("r", lambda r: r["dim"])) + 1).alias("n_dims"))
+    out = packed.select(F.transform("r", lambda r: r["item_id"]).alias("item_ids"), *(F.col(f"r.{c}").alias(c) for c in ("a", "b", "dim")), (F.array_max(F.transform("r", lambda r: r["dim"])) + 1).alias("n_dims"))
     out.coalesce(1).write.mode("overwrite").json(path)
 
 
