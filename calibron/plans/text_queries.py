@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibron.operators import grading as G
@@ -138,24 +137,6 @@ def _pool(d):
     return R.pool_rows(answers, R.family_weights(d.items.select("item_idx", "a", "b", "dim")), answers)
 
 
-@query("m13_pool_scores")
-def m13(d):
-    return R.scores(_pool(d)).select("model", F.round("s", 9).alias("s"), F.round("v", 12).alias("v"))
-
-
-@query("m12_posteriors")
-def m12(d):
-    answers = d.responses.where("item_idx % 5 = 0").select("model", "dim", "a", "b", "y")
-    return R.posteriors(answers).select("model", "dim", F.round("theta", 6).alias("theta"), F.round("var", 6).alias("var"))
-
-
-@query("k2_least_variance_item")
-def k2(d):
-    v = R.variances_after(_pool(d))
-    k = F.row_number().over(Window.partitionBy("model").orderBy("v_new", "item_idx"))
-    return v.withColumn("k", k).where("k = 1").select("model", "item_idx", F.round("v_new", 12).alias("v_new"))
-
-
 @query("m18_next_allocation")
 def m18(d):
     """The next call over all models: one grouped step on a row for each model."""
