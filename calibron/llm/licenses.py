@@ -57,9 +57,14 @@ def terms(text) -> F.Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: t != "")
 
 
+def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    """A table of fixed rows inside the plan."""
+    return spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))).alias("r")).select("r.*")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """(template, license, tf terms): a row for each term of each template."""
-    rows = spark.createDataFrame([(k, lic, t) for k, (lic, t) in enumerate(TEMPLATES)], "template int, license string, text string")
+    rows = _literal(spark, ("template", "license", "text"), [(k, lic, t) for k, (lic, t) in enumerate(TEMPLATES)])
     return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -81,9 +86,9 @@ def declared(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     text = F.coalesce("text", F.lit(""))
     n = files.agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = spark.createDataFrame([(t,) for t in _vocabulary()], "term string")
+    vocabulary = _literal(spark, ("term",), [(t,) for t in _vocabulary()])
     df = frequencies(files)
-    idf = vocabulary.join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    idf = written(vocabulary.join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "license_idf")  # one row for each term of the templates
     weights = written(templates(spark).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")), "license_weights")  # one row for each term of each template
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = weights.join(norms, "template").select("template", "license", "term", "idf", (F.col("w") / F.col("norm")).alias("w"))
