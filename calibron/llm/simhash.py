@@ -51,9 +51,13 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return map_texts(docs, run, "fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, upper: int, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of the sorted uint64 arrays with at most ``budget`` differing bits, of which at
-    most ``upper`` in the upper 32; with ``same``, pairs i < j of one array.
+#: (depth, most differing bits among the upper ``depth``) from the top down to depth 64.
+Budgets = tuple[tuple[int, int], ...]
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray, budgets: Budgets, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of the sorted uint64 arrays that differ in at most ``errors`` of the upper
+    ``depth`` bits for each (depth, errors) of ``budgets``; with ``same``, pairs i < j of one array.
 
     A node of a trie is a range of the sorted array. Pairs of nodes go down together, one bit at a time:
     children of equal bits keep the count of differing bits, children of unequal bits add one, and a pair
@@ -76,7 +80,9 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, upper: int, same: bool
             k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
             i, j = x[own] + k // v[own], w[own] + k % v[own]
             diff = a[i] ^ b[j]
-            near = (np.bitwise_count(diff) <= budget) & (np.bitwise_count(diff >> np.uint64(32)) <= upper)
+            near = np.ones(len(diff), bool)
+            for depth, errors in budgets:
+                near &= np.bitwise_count(diff >> np.uint64(64 - depth)) <= errors
             if same:
                 near &= i < j
             if near.any():
@@ -96,7 +102,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, upper: int, same: bool
         parts = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + 1)]
         crossed = tuple(t[~twin] for t in (am, ah, bl, bm, d + 1))  # of a node with itself it would come twice
         al, ah, bl, bh, d = (np.concatenate(t) for t in zip(*parts, crossed, strict=True))
-        live = (ah > al) & (bh > bl) & (d <= (upper if bit >= 32 else budget))
+        live = (ah > al) & (bh > bl) & (d <= next(errors for depth, errors in budgets if 64 - bit <= depth))
         stack.append((bit - 1, *(t[live] for t in (al, ah, bl, bh, d))))
 
 
@@ -116,14 +122,6 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _units(depth: int, upper: int) -> dict[int, list[tuple[int, int]]]:
-    """For each top node the units (node pairs within the budget) that it belongs to."""
-    flips = [0]
-    for k in range(1, upper + 1):
-        flips += _flips(depth, k)
-    return {node: [(min(node, node ^ f), max(node, node ^ f)) for f in flips] for node in range(1 << depth)}
-
-
 def _flips(depth: int, k: int) -> list[int]:
     from itertools import combinations
 
@@ -142,6 +140,7 @@ def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048) -> Da
     n = classes.count()
     depth = max(6, int(np.ceil(np.log2(max(1, n) / leaf_rows))))
     upper = budget // 2
+    budgets = ((32, upper), (64, budget))
     swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     views = [classes.select(F.lit(k).alias("turn"), "rep", key.alias("key")) for k, key in enumerate((F.col("fp"), swapped))]
     flips = [0] + [f for k in range(1, upper + 1) for f in _flips(depth, k)]
@@ -155,9 +154,9 @@ def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048) -> Da
         keys, reps = keys[order], pdf["rep"].to_numpy()[order]
         cut = int(np.searchsorted(keys >> np.uint64(64 - depth), np.uint64(pdf["high"].iloc[0])))
         if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
-            root = forest(len(keys), trie_pairs(keys, keys, budget, upper, True))
+            root = forest(len(keys), trie_pairs(keys, keys, budgets, True))
         else:
-            root = forest(len(keys), ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budget, upper, False)))
+            root = forest(len(keys), ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False)))
         moved = root != np.arange(len(root))
         return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
 
@@ -179,10 +178,98 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+# --- by similarity -------------------------------------------------------------------------------
+
+#: Odd factors that turn the hash of a shingle into those of the further words of a wide fingerprint.
+FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+WORDS = len(FACTORS)
+STRIDE = 8
+#: In every view the upper 8 bits agree (a task's share), then errors are allowed as the walk goes down.
+VIEW_BUDGETS: Budgets = ((8, 0), (16, 1), (32, 8), (64, 18))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
+    """A SimHash of 4 * 64 bits over the distinct word shingles of a text (signed longs)."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+    if not words:
+        return [0] * WORDS
+    joined = b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], stops[:-1] + 1))
+    pairs = zip(starts[: max(1, len(words) - width + 1)].tolist(), stops[min(width, len(words)) - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64))
+    out = []
+    for f in FACTORS:
+        x = h * f
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        bits = np.zeros(64, np.int64)
+        for at in range(0, len(x), CHUNK):
+            bits += np.unpackbits(x[at : at + CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * bits > len(h)).view(np.int64)[0]))
+    return out
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits, of all, that a Jaccard similarity of shingle sets leads to, and two deviations more."""
+    cosine = 2 * similarity / (1 + similarity)
+    share, n = np.arccos(cosine) / np.pi, 64 * WORDS
+    return int(n * share + 2 * np.sqrt(n * share * (1 - share)))
+
+
+def similar_edges(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Spanning edges (a, b) between ids of ``classes(w0 .. w3, rep)`` of about this similarity or more.
+
+    The trie of each word is walked from each of 8 starting bits (32 views). Within a view the errors
+    grow with the depth (``VIEW_BUDGETS``); a pair at the limit passes a view with a chance of one in
+    six, and at least one of 32 with 0.998. Pairs that pass are compared on all 256 bits.
+    """
+    limit = bits_apart(similarity)
+    names = [f"w{k}" for k in range(WORDS)]
+    turned = lambda c, r: F.col(c) if r == 0 else F.shiftleft(c, r).bitwiseOR(F.shiftrightunsigned(c, 64 - r))
+    views = F.explode(F.array(*(F.struct(F.lit(k * 64 + r).alias("turn"), F.shiftrightunsigned(turned(c, r), 64 - STRIDE).cast("int").alias("head")) for k, c in enumerate(names) for r in range(0, 64, STRIDE))))
+    units = classes.select("rep", *names, views.alias("u")).select("rep", *names, "u.turn", "u.head")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        turn = int(pdf["turn"].iloc[0])
+        rows = pdf[names].to_numpy().view(np.uint64)
+        r = np.uint64(turn % 64)
+        own = rows[:, turn // 64]
+        keys = (own << r) | (own >> (np.uint64(64) - r)) if r else own
+        order = np.argsort(keys, kind="stable")
+        keys, rows, reps = keys[order], rows[order], pdf["rep"].to_numpy()[order]
+
+        def near():
+            for i, j in trie_pairs(keys, keys, VIEW_BUDGETS, True):
+                ok = np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64) <= limit
+                yield i[ok], j[ok]
+
+        root = forest(len(keys), near())
+        moved = root != np.arange(len(root))
+        return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+
+    return units.groupBy("turn", "head").applyInPandas(join, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): groups of documents linked by similar shingle sets; equal sets are one class."""
+    names = [f"w{k}" for k in range(WORDS)]
+    wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(t, width) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in names))
+    wide = written(wide, "simhash_wide")
+    classes = written(wide.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash_wide_class")
+    roots = components(similar_edges(classes.where("rep is not null"), similarity), "simhash_edges")
+    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(*(F.col(n).alias(f"c_{n}") for n in names), F.coalesce("root", "rep").alias("component_id"))
+    match = [F.col(n) == F.col(f"c_{n}") for n in names]
+    return wide.join(labels, match).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The document with the smallest doc_id of every near-duplicate group, with all its columns.
 
-    A document whose doc_id is null cannot be named by a group and stays.
+    A document whose doc_id is null cannot be named by a group and stays; of rows with an equal doc_id
+    each stays if one does.
     """
-    keep = simhash_groups(docs.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    keep = similar_groups(docs.where("doc_id is not null"), similarity, width).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))

@@ -51,7 +51,7 @@ def test_trie_finds_all_pairs_within_the_budget():
     x = np.unique(np.concatenate([rng.integers(0, 2**63, 200).astype(np.uint64), (seeds[:, None] ^ flips() ^ flips()).ravel()]))
     diff = x[:, None] ^ x[None, :]
     near = (np.bitwise_count(diff) <= 4) & (np.bitwise_count(diff >> np.uint64(32)) <= 2)
-    got = {p for i, j in simhash.trie_pairs(x, x, 4, 2, True, most=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    got = {p for i, j in simhash.trie_pairs(x, x, ((32, 2), (64, 4)), True, most=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
 
 
@@ -64,6 +64,35 @@ def test_simhash_awkward_and_empty(awkward, nothing):
     assert kept.columns == awkward.columns and kept.where("doc_id is null").count() == 1
 
 
+def test_similar_groups_find_copies_of_similarity_08_and_leave_others(spark, prose):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rows = [(r.doc_id, r.text) for r in prose.select("doc_id", "text").collect()]
+    rng = random.Random(2)
+    made = []
+    for k, (_, text) in enumerate(rows[:40]):
+        words = text.split()
+        if len(words) > 60:
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[at] = f"changed{k}"
+            made.append((100_000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows + made, "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    sets = {i: shingles(t) for i, t in rows + made}
+    found = total = 0
+    for i in sets:
+        for j in sets:
+            if i < j:
+                alike_ = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                total += alike_ >= 0.8
+                found += alike_ >= 0.8 and group[i] == group[j]
+                if len(sets[i]) > 30 and len(sets[j]) > 30:
+                    assert alike_ > 0.4 or group[i] != group[j]
+    assert total > 10 and found >= 0.95 * total
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
