@@ -100,8 +100,20 @@ def _gathered(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     return _batch({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
 
 
+def _salts(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Zero for the first of the equal anchors among these rows, another number for each of the others."""
+    order = np.lexsort((rows["place"], rows["uid"], rows["wide"], rows["key"]))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (rows["key"][order[1:]] == rows["key"][order[:-1]]) & (rows["wide"][order[1:]] == rows["wide"][order[:-1]])
+    return np.where(again, rows["uid"] * 1_000_003 + rows["place"] + 1 | 1, 0)
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(uid, key, wide, place, first, last) of all anchors of ``docs(uid, text)``, in the scan's own tasks."""
+    """(uid, key, wide, place, first, last, salt) of all anchors of ``docs(uid, text)``, in the scan's own tasks.
+
+    Anchors that an equal one precedes among the documents at hand are repeats already; their salt keeps
+    them out of the bucket, so that a string with a third of all rows doesn't meet in one task.
+    """
 
     def run(batches):
         for batch in batches:
@@ -113,9 +125,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                         place, key, wide, first, last = anchors(raw)
                         found.append({"uid": np.full(len(place), uid, np.int64), "key": key.view(np.int64), "wide": wide.view(np.int64), "place": place + offset, "first": (place - first).astype(np.int16), "last": (place - last).astype(np.int16)})
                 if found:
-                    yield _gathered(found)
+                    rows = {k: np.concatenate([p[k] for p in found]) for k in found[0]}
+                    yield _batch({**rows, "salt": _salts(rows)})
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, key long, wide long, place long, first short, last short")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, key long, wide long, place long, first short, last short, salt long")
 
 
 def refined(rows: DataFrame) -> DataFrame:
@@ -124,10 +137,10 @@ def refined(rows: DataFrame) -> DataFrame:
     first and last are the distances from the first and last window's start to the anchor; classes counts
     the different anchors of the bucket.
     """
-    bucket = Window.partitionBy("key")
+    bucket = Window.partitionBy("key", "salt")
     order = bucket.orderBy("wide", "uid", "place")
     begins = F.coalesce(F.lag("wide").over(order) != F.col("wide"), F.lit(True))
-    marked = rows.repartition("key").withColumn("begins", begins)
+    marked = rows.repartition("key", "salt").withColumn("begins", begins & (F.col("salt") == 0))
     counted = marked.withColumn("classes", F.sum(F.col("begins").cast("long")).over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return counted.where("not begins or classes > 1").select("uid", "key", "place", "first", "last", "classes", F.col("begins").alias("rep"))
 
