@@ -175,19 +175,21 @@ class PieceModel:
         return apart
 
     def _viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Symbols of words of one length."""
+        """Symbols of words of one length. All tables are laid out by position, then word."""
         n, length = len(words), len(words[0])
-        h = _hashes(_codes(words))
-        last = np.full((n, length + 1), NONE)
-        back = np.ones((n, length + 1), np.int64)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
+        h = np.ascontiguousarray(_hashes(_codes(words)).T)
+        last = np.full((length + 1, n), NONE)
+        back = np.ones((length + 1, n), np.int8)
+        best = None if self.bpe else np.full((length + 1, n), -np.inf)
+        if best is not None:
+            best[0] = 0
         rows = np.arange(n)
         for end in range(1, length + 1):
-            todo = rows
+            todo, here = rows, h[end]
             for size in range(min(end, self.width), 0, -1):
                 start = end - size
-                key = h[todo, end] - h[todo, start] * self.powers[size]
+                before = h[start] if todo is rows else h[start][todo]
+                key = here - before * self.powers[size]
                 seen = np.flatnonzero(self.maybe[key >> np.uint64(44)])
                 if not len(seen):
                     continue
@@ -196,32 +198,38 @@ class PieceModel:
                 hit = self.keys[at] == key
                 seen = seen[hit]
                 who, piece = todo[seen], self.key_ids[at[hit]]
-                if self.bpe:
+                if best is None:
                     fit = self.whole[piece]
                     if start:
-                        fit &= self._stay_apart(np.where(fit, last[who, start], NONE), piece)
-                    who, piece = who[fit], piece[fit]
-                    gain = np.zeros(len(who))
+                        fit &= self._stay_apart(np.where(fit, last[start][who], NONE), piece)
+                    who = who[fit]
+                    last[end][who] = piece[fit]
+                    back[end][who] = size
                     rest = np.ones(len(todo), bool)
                     rest[seen[fit]] = False
-                    todo = todo[rest]
+                    todo, here = todo[rest], here[rest]
+                    if not len(todo):
+                        break
                 else:
-                    gain = best[who, start] + self.score[piece]
-                better = gain > best[who, end]
-                who, piece = who[better], piece[better]
-                best[who, end], last[who, end], back[who, end] = gain[better], piece, size
-                if not len(todo):
-                    break
-            none = np.isinf(best[:, end])  # no piece ends here: a character of its own, after the best path
-            best[none, end] = best[none, end - 1] - 1e6 if not self.bpe else 0
+                    gain = best[start][who] + self.score[piece]
+                    better = gain > best[end][who]
+                    who, piece = who[better], piece[better]
+                    best[end][who], last[end][who], back[end][who] = gain[better], piece, size
+            if best is not None:
+                none = np.isinf(best[end])  # no piece ends here: a character of its own, after the best path
+                best[end][none] = best[end - 1][none] - 1e6
         out = []
-        last_l, back_l = last.tolist(), back.tolist()
-        for word, ids, steps in zip(words, last_l, back_l, strict=True):
+        for word, ids, steps in zip(words, last.T.tolist(), back.T.tolist(), strict=True):
             at, path = length, []
             while at:
-                path.append(ids[at] if 0 <= ids[at] < self.size else ~ord(word[at - 1]))
+                p = ids[at]
+                if 0 <= p < self.size:
+                    path.append(p)
+                else:  # a character that is no piece
+                    path += reversed(self._spelled(word[at - 1]))
                 at -= steps[at]
-            out.append(tuple(chain.from_iterable((p,) if p >= 0 else self._spelled(chr(~p)) for p in reversed(path))))
+            path.reverse()
+            out.append(tuple(path))
         return out
 
     def _spelled(self, char: str) -> tuple[int, ...]:
