@@ -128,39 +128,69 @@ def _flips(depth: int, k: int) -> list[int]:
     return [sum(1 << x for x in c) for c in combinations(range(depth), k)]
 
 
-def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048) -> DataFrame:
+#: Rows of a top node that one task takes; those of a larger node are dealt out by blocks.
+NODE_ROWS = 16_384
+
+
+def top_depth(rows: int, leaf_rows: int = 2048) -> int:
+    """Levels of a trie of so many rows above nodes of about ``leaf_rows``."""
+    return int(np.ceil(np.log2(max(1, rows) / leaf_rows)))
+
+
+def walked(views: DataFrame, flips: list[int], budgets: Budgets, payload: list[str], key_of, near=None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Spanning edges (a, b) between ids of ``views(turn, node, rep, payload ...)`` that a walk of each turn's trie links.
+
+    Each top node meets itself and those that ``flips`` lead to, one unit for each pair of nodes. A node
+    of more than ``node_rows`` rows is cut into blocks by the hash of the id, and each of its blocks meets
+    each of the other node's blocks in a unit of its own: no task grows with a hot node, and no pair is
+    lost. ``key_of`` makes the walked keys of a unit's rows, ``near`` confirms pairs of them. Every unit
+    gives a star for each group that it joins rather than all its pairs.
+    """
+    blocks = F.ceil(F.col("rows") / node_rows).cast("int")
+    large = written(views.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > node_rows).select("turn", "node", blocks.alias("blocks")), "simhash_large")
+    own, other = (large.select(F.col("turn").alias(f"{x}_turn"), F.col("node").alias(f"{x}_node"), F.col("blocks").alias(f"{x}_blocks")) for x in ("own", "other"))
+    rows = views.join(own, (views["turn"] == F.col("own_turn")) & (views["node"] == F.col("own_node")), "left")
+    rows = rows.select("turn", "node", "rep", *payload, F.pmod(F.xxhash64("rep"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias("own"), F.explode(F.array(*(F.lit(f).cast("long") for f in flips))).alias("flip"))
+    rows = rows.withColumn("partner", F.col("node").bitwiseXOR(F.col("flip"))).drop("flip")
+    rows = rows.join(other, (rows["turn"] == F.col("other_turn")) & (rows["partner"] == F.col("other_node")), "left")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)))
+    twin, upper = F.col("node") == F.col("partner"), F.col("node") > F.col("partner")
+    first = F.when(twin, F.least("own", "other")).when(upper, F.col("other")).otherwise(F.col("own"))
+    second = F.when(twin, F.greatest("own", "other")).when(upper, F.col("own")).otherwise(F.col("other"))
+    units = rows.select("turn", F.least("node", "partner").alias("low"), F.greatest("node", "partner").alias("high"), first.alias("first"), second.alias("second"), F.when(twin, F.col("own") > F.col("other")).otherwise(upper).alias("side"), "rep", *payload)
+    # In a twin unit of two blocks the rows of the second block have own > other.
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["low"].iloc[0] == pdf["high"].iloc[0] and pdf["first"].iloc[0] == pdf["second"].iloc[0]
+        keys, side = key_of(pdf), pdf["side"].to_numpy(bool)
+        order = np.lexsort((keys, side))
+        keys, reps, cut = keys[order], pdf["rep"].to_numpy()[order], int(len(side) - side.sum())
+        pairs = trie_pairs(keys, keys, budgets, True) if same else ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False))
+        if near is not None:
+            kept = near(pdf, order)
+            pairs = ((i[ok], j[ok]) for i, j in pairs for ok in (kept(i, j),))
+        root = forest(len(keys), pairs)
+        moved = root != np.arange(len(root))
+        return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+
+    return units.groupBy("turn", "low", "high", "first", "second").applyInPandas(join, "a long, b long")
+
+
+def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
     """Spanning edges (a, b) between the ids of ``classes(fp, rep)`` whose fingerprints are within ``budget``.
 
     Two fingerprints within 4 bits differ in at most 2 bits of one half. So the trie is walked twice, once
     with the halves swapped, with a budget of half the bits in the first 32 levels. The top ``depth``
     levels are walked by joining node numbers (each node with those within the budget), the rest in one
     task for each pair of top nodes; ``depth`` grows with the logarithm of the rows, so a task's share
-    does not. Every unit gives a star for each group that it joins rather than all its pairs.
+    does not.
     """
-    n = classes.count()
-    depth = max(6, int(np.ceil(np.log2(max(1, n) / leaf_rows))))
+    depth = max(6, top_depth(classes.count(), leaf_rows))
     upper = budget // 2
-    budgets = ((32, upper), (64, budget))
     swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
-    views = [classes.select(F.lit(k).alias("turn"), "rep", key.alias("key")) for k, key in enumerate((F.col("fp"), swapped))]
+    views = [classes.select(F.lit(k).alias("turn"), F.shiftrightunsigned(key, 64 - depth).alias("node"), "rep", key.alias("key")) for k, key in enumerate((F.col("fp"), swapped))]
     flips = [0] + [f for k in range(1, upper + 1) for f in _flips(depth, k)]
-    node = F.shiftrightunsigned("key", 64 - depth)
-    both = views[0].unionByName(views[1]).withColumn("node", node).withColumn("flip", F.explode(F.array(*(F.lit(f).cast("long") for f in flips))))
-    units = both.select("turn", F.least("node", F.col("node").bitwiseXOR(F.col("flip"))).alias("low"), F.greatest("node", F.col("node").bitwiseXOR(F.col("flip"))).alias("high"), "rep", "key")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, reps = keys[order], pdf["rep"].to_numpy()[order]
-        cut = int(np.searchsorted(keys >> np.uint64(64 - depth), np.uint64(pdf["high"].iloc[0])))
-        if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
-            root = forest(len(keys), trie_pairs(keys, keys, budgets, True))
-        else:
-            root = forest(len(keys), ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False)))
-        moved = root != np.arange(len(root))
-        return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
-
-    return units.groupBy("turn", "low", "high").applyInPandas(join, "a long, b long")
+    return walked(views[0].unionByName(views[1]), flips, ((32, upper), (64, budget)), ["key"], lambda pdf: pdf["key"].to_numpy().view(np.uint64), node_rows=node_rows)
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
@@ -219,38 +249,32 @@ def bits_apart(similarity: float) -> int:
     return int(n * share + 2 * np.sqrt(n * share * (1 - share)))
 
 
-def similar_edges(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: int = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
     """Spanning edges (a, b) between ids of ``classes(w0 .. w3, rep)`` of about this similarity or more.
 
     The trie of each word is walked from each of 8 starting bits (32 views). Within a view the errors
     grow with the depth (``VIEW_BUDGETS``); a pair at the limit passes a view with a chance of one in
-    six, and at least one of 32 with 0.998. Pairs that pass are compared on all 256 bits.
+    six, and at least one of 32 with 0.998. Pairs that pass are compared on all 256 bits. The top nodes
+    have 8 levels, and up to 16 as the rows grow; from the ninth on a node also meets those that differ
+    in the one bit that the budget allows there, so the depth doesn't change what is found.
     """
     limit = bits_apart(similarity)
     names = [f"w{k}" for k in range(WORDS)]
+    depth = min(16, max(STRIDE, top_depth(classes.count(), leaf_rows)))
     turned = lambda c, r: F.col(c) if r == 0 else F.shiftleft(c, r).bitwiseOR(F.shiftrightunsigned(c, 64 - r))
-    views = F.explode(F.array(*(F.struct(F.lit(k * 64 + r).alias("turn"), F.shiftrightunsigned(turned(c, r), 64 - STRIDE).cast("int").alias("head")) for k, c in enumerate(names) for r in range(0, 64, STRIDE))))
-    units = classes.select("rep", *names, views.alias("u")).select("rep", *names, "u.turn", "u.head")
+    views = F.explode(F.array(*(F.struct(F.lit(k * 64 + r).alias("turn"), F.shiftrightunsigned(turned(c, r), 64 - depth).alias("node")) for k, c in enumerate(names) for r in range(0, 64, STRIDE))))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def keys(pdf: pd.DataFrame) -> np.ndarray:
         turn = int(pdf["turn"].iloc[0])
-        rows = pdf[names].to_numpy().view(np.uint64)
-        r = np.uint64(turn % 64)
-        own = rows[:, turn // 64]
-        keys = (own << r) | (own >> (np.uint64(64) - r)) if r else own
-        order = np.argsort(keys, kind="stable")
-        keys, rows, reps = keys[order], rows[order], pdf["rep"].to_numpy()[order]
-
-        def near():
-            for i, j in trie_pairs(keys, keys, VIEW_BUDGETS, True):
-                ok = np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64) <= limit
-                yield i[ok], j[ok]
-
-        root = forest(len(keys), near())
-        moved = root != np.arange(len(root))
-        return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+        own, r = pdf[names[turn // 64]].to_numpy().view(np.uint64), np.uint64(turn % 64)
+        return (own << r) | (own >> (np.uint64(64) - r)) if r else own
+
+    def near(pdf: pd.DataFrame, order: np.ndarray):
+        rows = pdf[names].to_numpy().view(np.uint64)[order]
+        return lambda i, j: np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64) <= limit
 
-    return units.groupBy("turn", "head").applyInPandas(join, "a long, b long")
+    units = classes.select("rep", *names, views.alias("u")).select("u.turn", "u.node", "rep", *names)
+    return walked(units, [0] + [1 << x for x in range(depth - STRIDE)], VIEW_BUDGETS, names, keys, near, node_rows)
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

@@ -55,6 +55,36 @@ def test_trie_finds_all_pairs_within_the_budget():
     assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
 
 
+def linked(edges):
+    """Groups of two or more that the edges join."""
+    group = {}
+    for r in edges.collect():
+        both = group.setdefault(r.a, {r.a}) | group.setdefault(r.b, {r.b})
+        for x in both:
+            group[x] = both
+    return {frozenset(g) for g in group.values()}
+
+
+def test_blocks_and_depth_of_the_trie_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    flipped = lambda x, most: x ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, most + 1))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centres = [int(x) for x in rng.integers(0, 2**63, 12)]
+    fps = sorted({flipped(c, 3) for c in centres for _ in range(25)})
+    narrow = spark.createDataFrame([(signed(f), k) for k, f in enumerate(fps)], "fp long, rep long")
+    whole = linked(simhash.near_edges(narrow))
+    brute = {frozenset({i for i, f in enumerate(fps) if (f ^ c).bit_count() <= 3}) for c in centres}
+    assert {g for g in brute if len(g) > 1} and all(any(len(g & h) > 1 for h in whole) for g in brute)
+    assert linked(simhash.near_edges(narrow, node_rows=3)) == whole
+    assert linked(simhash.near_edges(narrow, leaf_rows=1)) == whole
+    wide = [tuple(signed(flipped(int(w), 8)) for w in four) for four in rng.integers(0, 2**63, (8, 4)) for _ in range(20)]
+    rows = spark.createDataFrame([(*w, k) for k, w in enumerate(wide)], "w0 long, w1 long, w2 long, w3 long, rep long")
+    whole = linked(simhash.similar_edges(rows))
+    assert len(whole) == 8
+    assert linked(simhash.similar_edges(rows, node_rows=4)) == whole
+    assert linked(simhash.similar_edges(rows, leaf_rows=0.3)) == whole  # 10 levels
+
+
 def test_simhash_awkward_and_empty(awkward, nothing):
     rows = simhash.simhash_query(awkward).collect()
     assert len(rows) == awkward.count()
