@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import lru_cache
 from itertools import chain
 
@@ -255,24 +256,25 @@ class PieceModel:
         split = dict(zip(ordered, self._segments(ordered), strict=True))
         by_length: dict[int, list[str]] = {}
         found = self.parts
-        for s in {s for parts in split.values() for s in parts} - found.keys():
+        for s in set(chain.from_iterable(split.values())).difference(found):
             by_length.setdefault(len(s), []).append(s)
         for length, words in by_length.items():
             step = max(1, 400_000 // length)
             for at in range(0, len(words), step):
                 found.update(zip(words[at : at + step], self._viterbi(words[at : at + step]), strict=True))
         for u, parts in split.items():
-            self.cache[u] = tuple(chain.from_iterable(found[s] for s in parts))
+            self.cache[u] = found[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(found.__getitem__, parts)))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text."""
         units = [UNIT.findall((SPACE_SIGN if self.prefix else "") + t.replace(" ", SPACE_SIGN)) if t else [] for t in texts]
-        new = set().union(*units) - self.cache.keys()
+        words = set().union(*units)
+        new = words.difference(self.cache)  # a dict is probed here; its keys() would be walked as a whole
         if new:
             if len(self.cache) + len(new) > CACHE_WORDS:
                 self.cache.clear()
                 self.parts.clear()
-                new = set().union(*units)
+                new = words
             self._learn(new)
         get = self.cache.__getitem__
         return [list(chain.from_iterable(map(get, u))) for u in units]
@@ -305,7 +307,7 @@ def digests(texts: list[str | None], path: str) -> list[list]:
     ids = m.encode(texts)
     back = [m.decode(i) for i in ids]
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return [[len(i) for i in ids], [sha(np.array(i, "<i4").tobytes()) for i in ids], [sha(b.encode("utf-8", "surrogatepass")) for b in back], [b == (t or "") for b, t in zip(back, texts, strict=True)]]
+    return [[len(i) for i in ids], [sha(struct.pack(f"<{len(i)}i", *i)) for i in ids], [sha(b.encode("utf-8", "surrogatepass")) for b in back], [b == (t or "") for b, t in zip(back, texts, strict=True)]]
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
