@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibron.llm.common import LOWER_AZ, components, map_texts, written
+from calibron.llm.common import LOWER_AZ, columns_of, components, map_texts, written
 
 SEED = 42
 CHUNK = 1 << 16
@@ -137,14 +137,17 @@ def top_depth(rows: int, leaf_rows: int = 2048) -> int:
     return int(np.ceil(np.log2(max(1, rows) / leaf_rows)))
 
 
-def walked(views: DataFrame, flips: list[int], budgets: Budgets, payload: list[str], key_of, near=None, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between ids of ``views(turn, node, rep, payload ...)`` that a walk of each turn's trie links.
+#: The columns that tell the units of :func:`met` apart.
+UNIT = ("turn", "low", "high", "first", "second")
+
+
+def met(views: DataFrame, flips: list[int], payload: list[str], node_rows: int = NODE_ROWS) -> DataFrame:
+    """The rows of ``views(turn, node, rep, payload ...)`` dealt to the units (``UNIT``) in which they meet, with their side.
 
     Each top node meets itself and those that ``flips`` lead to, one unit for each pair of nodes. A node
     of more than ``node_rows`` rows is cut into blocks by the hash of the id, and each of its blocks meets
     each of the other node's blocks in a unit of its own: no task grows with a hot node, and no pair is
-    lost. ``key_of`` makes the walked keys of a unit's rows, ``near`` confirms pairs of them. Every unit
-    gives a star for each group that it joins rather than all its pairs.
+    lost.
     """
     blocks = F.ceil(F.col("rows") / node_rows).cast("int")
     large = written(views.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > node_rows).select("turn", "node", blocks.alias("blocks")), "simhash_large")
@@ -157,23 +160,33 @@ def walked(views: DataFrame, flips: list[int], budgets: Budgets, payload: list[s
     twin, upper = F.col("node") == F.col("partner"), F.col("node") > F.col("partner")
     first = F.when(twin, F.least("own", "other")).when(upper, F.col("other")).otherwise(F.col("own"))
     second = F.when(twin, F.greatest("own", "other")).when(upper, F.col("own")).otherwise(F.col("other"))
-    units = rows.select("turn", F.least("node", "partner").alias("low"), F.greatest("node", "partner").alias("high"), first.alias("first"), second.alias("second"), F.when(twin, F.col("own") > F.col("other")).otherwise(upper).alias("side"), "rep", *payload)
     # In a twin unit of two blocks the rows of the second block have own > other.
+    return rows.select("turn", F.least("node", "partner").alias("low"), F.greatest("node", "partner").alias("high"), first.alias("first"), second.alias("second"), F.when(twin, F.col("own") > F.col("other")).otherwise(upper).alias("side"), "rep", *payload)
+
+
+def unit_pairs(pdf: pd.DataFrame, keys: np.ndarray, budgets: Budgets) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """An order of a unit's rows, and the index pairs in that order which the walk of their ``keys`` finds."""
+    same = pdf["low"].iloc[0] == pdf["high"].iloc[0] and pdf["first"].iloc[0] == pdf["second"].iloc[0]
+    side = pdf["side"].to_numpy(bool)
+    order = np.lexsort((keys, side))
+    keys, cut = keys[order], int(len(side) - side.sum())
+    return order, trie_pairs(keys, keys, budgets, True) if same else ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False))
+
+
+def walked(views: DataFrame, flips: list[int], budgets: Budgets, payload: list[str], key_of, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Spanning edges (a, b) between ids of ``views(turn, node, rep, payload ...)`` that a walk of each turn's trie links.
+
+    ``key_of`` makes the walked keys of a unit's rows. Every unit gives a star for each group that it
+    joins rather than all its pairs.
+    """
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["low"].iloc[0] == pdf["high"].iloc[0] and pdf["first"].iloc[0] == pdf["second"].iloc[0]
-        keys, side = key_of(pdf), pdf["side"].to_numpy(bool)
-        order = np.lexsort((keys, side))
-        keys, reps, cut = keys[order], pdf["rep"].to_numpy()[order], int(len(side) - side.sum())
-        pairs = trie_pairs(keys, keys, budgets, True) if same else ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False))
-        if near is not None:
-            kept = near(pdf, order)
-            pairs = ((i[ok], j[ok]) for i, j in pairs for ok in (kept(i, j),))
-        root = forest(len(keys), pairs)
+        order, pairs = unit_pairs(pdf, key_of(pdf), budgets)
+        reps, root = pdf["rep"].to_numpy()[order], forest(len(pdf), pairs)
         moved = root != np.arange(len(root))
         return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
 
-    return units.groupBy("turn", "low", "high", "first", "second").applyInPandas(join, "a long, b long")
+    return met(views, flips, payload, node_rows).groupBy(*UNIT).applyInPandas(join, "a long, b long")
 
 
 def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -215,20 +228,27 @@ FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD9
 WORDS = len(FACTORS)
 STRIDE = 8
 #: In every view the upper 8 bits agree (a task's share), then errors are allowed as the walk goes down.
-VIEW_BUDGETS: Budgets = ((8, 0), (16, 1), (32, 8), (64, 18))
+VIEW_BUDGETS: Budgets = ((8, 0), (16, 2), (32, 10), (64, 24))
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
-    """A SimHash of 4 * 64 bits over the distinct word shingles of a text (signed longs)."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of a text; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
     if not words:
-        return [0] * WORDS
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], stops[:-1] + 1))
     pairs = zip(starts[: max(1, len(words) - width + 1)].tolist(), stops[min(width, len(words)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64))
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
+    """A SimHash of 4 * 64 bits over the distinct word shingles of a text (signed longs)."""
+    h = shingle_set(text, width)
+    if not len(h):
+        return [0] * WORDS
     out = []
     for f in FACTORS:
         x = h * f
@@ -243,23 +263,30 @@ def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
 
 
 def bits_apart(similarity: float) -> int:
-    """Differing bits, of all, that a Jaccard similarity of shingle sets leads to, and two deviations more."""
+    """Differing bits, of all, that a Jaccard similarity of shingle sets leads to, and five deviations more.
+
+    Only candidates are chosen by it, so it may be wide; sets of four or five shingles, whose majorities
+    are often ties, need the fifth deviation.
+    """
     cosine = 2 * similarity / (1 + similarity)
     share, n = np.arccos(cosine) / np.pi, 64 * WORDS
-    return int(n * share + 2 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + 5 * np.sqrt(n * share * (1 - share)))
 
 
-def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: int = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between ids of ``classes(w0 .. w3, rep)`` of about this similarity or more.
+def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: int = 2048, node_rows: int = NODE_ROWS, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids of ``classes(w0 .. w3, rep)`` whose similarity may be this or more, each once.
 
     The trie of each word is walked from each of 8 starting bits (32 views). Within a view the errors
-    grow with the depth (``VIEW_BUDGETS``); a pair at the limit passes a view with a chance of one in
-    six, and at least one of 32 with 0.998. Pairs that pass are compared on all 256 bits. The top nodes
-    have 8 levels, and up to 16 as the rows grow; from the ninth on a node also meets those that differ
-    in the one bit that the budget allows there, so the depth doesn't change what is found.
+    grow with the depth (``VIEW_BUDGETS``), and pairs that pass are compared on all 256 bits. The top
+    nodes have 8 levels, and up to 16 as the rows grow; from the ninth on a node also meets those that
+    differ in the two bits that the budget allows there, so the depth doesn't change what is found.
+
+    With a column ``label`` only pairs of unequal labels are given. With ``nearest`` a unit gives of each
+    row only the pair with the fewest differing bits (ties: the smallest other id) rather than all.
     """
     limit = bits_apart(similarity)
     names = [f"w{k}" for k in range(WORDS)]
+    payload = [*names, *(["label"] if "label" in classes.columns else [])]
     depth = min(16, max(STRIDE, top_depth(classes.count(), leaf_rows)))
     turned = lambda c, r: F.col(c) if r == 0 else F.shiftleft(c, r).bitwiseOR(F.shiftrightunsigned(c, 64 - r))
     views = F.explode(F.array(*(F.struct(F.lit(k * 64 + r).alias("turn"), F.shiftrightunsigned(turned(c, r), 64 - depth).alias("node")) for k, c in enumerate(names) for r in range(0, 64, STRIDE))))
@@ -269,21 +296,70 @@ def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: int =
         own, r = pdf[names[turn // 64]].to_numpy().view(np.uint64), np.uint64(turn % 64)
         return (own << r) | (own >> (np.uint64(64) - r)) if r else own
 
-    def near(pdf: pd.DataFrame, order: np.ndarray):
-        rows = pdf[names].to_numpy().view(np.uint64)[order]
-        return lambda i, j: np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64) <= limit
-
-    units = classes.select("rep", *names, views.alias("u")).select("u.turn", "u.node", "rep", *names)
-    return walked(units, [0] + [1 << x for x in range(depth - STRIDE)], VIEW_BUDGETS, names, keys, near, node_rows)
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts), ignore_index=True)
+        if len(pdf) < 2:
+            return
+        order, pairs = unit_pairs(pdf, keys(pdf), VIEW_BUDGETS)
+        rows, reps = pdf[names].to_numpy().view(np.uint64)[order], pdf["rep"].to_numpy()[order]
+        labels = pdf["label"].to_numpy()[order] if "label" in payload else reps
+        ids, rank = np.unique(reps, return_inverse=True)
+        none = np.iinfo(np.int64).max
+        best = np.full(len(reps), none)
+        for i, j in pairs:
+            for at in range(0, len(i), 1 << 20):
+                x, y = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
+                apart = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+                ok = (apart <= limit) & (labels[x] != labels[y]) & (reps[x] != reps[y])
+                x, y, apart = x[ok], y[ok], apart[ok]
+                if nearest:
+                    np.minimum.at(best, x, apart * len(ids) + rank[y])
+                    np.minimum.at(best, y, apart * len(ids) + rank[x])
+                elif len(x):
+                    yield pd.DataFrame({"a": np.maximum(reps[x], reps[y]), "b": np.minimum(reps[x], reps[y])})
+        if (best < none).any():
+            own, other = reps[best < none], ids[best[best < none] % len(ids)]
+            yield pd.DataFrame({"a": np.maximum(own, other), "b": np.minimum(own, other)})
+
+    units = classes.select("rep", *payload, views.alias("u")).select("u.turn", "u.node", "rep", *payload)
+    flips = [0] + [f for k in (1, 2) for f in _flips(depth - STRIDE, k)]
+    return met(units, flips, payload, node_rows).groupBy(*UNIT).applyInPandas(join, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose shingle sets, of ``sets(doc_id, shingles)``, have this Jaccard similarity or more."""
+    one, two = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_id")).join(two, F.col("b") == F.col("b_id"))
+    shared = both.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("shared"), (F.size("a_set") + F.size("b_set")).alias("sizes"))
+    return shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b").distinct()
+
+
+def confirmed_edges(docs: DataFrame, classes: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(a, b) that link the ids of ``classes(w0 .. w3, rep)`` as all candidates of exact similarity or more do.
+
+    First each row's nearest candidates are confirmed and joined, which brings groups of copies
+    together; then all candidates between the groups so found. A pair within a group needs no
+    comparison, so a large group of copies doesn't cost the square of its size. The sets are those of
+    rows that have a candidate.
+    """
+    pairs = written(similar_edges(classes, similarity, nearest=True), "simhash_nearest")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = columns_of(docs, "doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi")
+    sets = written(map_texts(texts, lambda texts: [[shingle_set(t, width).view(np.int64) for t in texts]], "shingles array<long>"), "simhash_sets")
+    edges = written(confirmed(pairs, sets, similarity), "simhash_near")
+    roots = components(edges, "simhash_edges")
+    labelled = classes.join(roots, classes["rep"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "rep").alias("label"))
+    rest = written(similar_edges(written(labelled, "simhash_label"), similarity), "simhash_rest")
+    return edges.unionByName(confirmed(rest, sets, similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, component_id): groups of documents linked by similar shingle sets; equal sets are one class."""
+    """(doc_id, component_id): groups of documents linked by shingle sets of this Jaccard similarity; equal sets are one class."""
     names = [f"w{k}" for k in range(WORDS)]
     wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(t, width) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in names))
     wide = written(wide, "simhash_wide")
     classes = written(wide.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash_wide_class")
-    roots = components(similar_edges(classes.where("rep is not null"), similarity), "simhash_edges")
+    roots = components(confirmed_edges(docs, classes.where("rep is not null"), similarity, width), "simhash_edges")
     labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(*(F.col(n).alias(f"c_{n}") for n in names), F.coalesce("root", "rep").alias("component_id"))
     match = [F.col(n) == F.col(f"c_{n}") for n in names]
     return wide.join(labels, match).select("doc_id", "component_id")

@@ -123,6 +123,23 @@ def test_similar_groups_find_copies_of_similarity_08_and_leave_others(spark, pro
     assert total > 10 and found >= 0.95 * total
 
 
+def test_similar_groups_confirm_by_exact_similarity(spark):
+    rng = random.Random(11)
+    text = lambda words: " ".join(words)
+    rows, wants = [], {}
+    for k, share in enumerate([0.8] * 60 + [0.79, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5] * 20):
+        n = rng.choice([16, 60, 200])
+        common = round(2 * n * share / (1 + share))  # one tail replaced: shared / (2 n - shared)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        other = words[: common + 4] + [f"v{rng.randrange(10**9)}" for _ in range(n - common)]
+        rows += [(2 * k, text(words)), (2 * k + 1, text(other))]
+        wants[k] = common / (2 * n - common) >= 0.8
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked_ = {k for k in wants if group[2 * k + 1] == 2 * k}
+    assert not {k for k in linked_ if not wants[k]}
+    assert len(linked_) >= 0.99 * sum(wants.values()) and sum(wants.values()) > 20
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
