@@ -4,8 +4,8 @@ Text is lower-cased, everything but letters becomes one space, and character 1-
 into ``DIMS`` dimensions. Vectors are (1 + log tf) * idf, of length one. The document frequencies cover
 all training documents; centroids come from spherical k-means over a bounded sample of each language
 (``sample_per_lang`` documents, those with the smallest hash of doc_id). A document takes the language
-of the centroid with the largest cosine, and is rejected if it is farther from it than the centroid's
-own sample allows.
+of the centroid with the largest cosine, and is rejected if it is farther from it than the sample of
+that language allows texts of its length to be (``floors_of``).
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 everything where nothing can be learned (no labelled training rows). Ties go to the smaller language
@@ -36,10 +36,14 @@ def held_out_col() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def counts_of(texts: list[str | None]) -> np.ndarray:
-    """Counts of the hashed n-grams, a row for each text."""
-    clean = [NOT_LETTERS.sub(" ", (t or "").lower()).strip() for t in texts]
-    out = np.zeros((len(texts), DIMS), np.float32)
+def cleaned(texts: list[str | None]) -> list[str]:
+    """Lower-cased words of letters, each a space apart."""
+    return [NOT_LETTERS.sub(" ", (t or "").lower()).strip() for t in texts]
+
+
+def counts_of(clean: list[str]) -> np.ndarray:
+    """Counts of the hashed n-grams, a row for each cleaned text."""
+    out = np.zeros((len(clean), DIMS), np.float32)
     for row, text in enumerate(clean):
         if not text:
             continue
@@ -52,21 +56,23 @@ def counts_of(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def vectors_of(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors; zero for texts without letters."""
-    tf = counts_of(texts)
+def vectors_of(clean: list[str], idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors of cleaned texts; zero for texts without letters."""
+    tf = counts_of(clean)
     v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first seeds: unit centroids, and the least cosine of each one's members."""
-    seeds = [x.mean(axis=0)]
-    best = x @ seeds[0]
-    seeds = [x[int(np.argmax(best))]]
+def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of spherical k-means from k-means++ seeds; those of a single row are dropped if others are left."""
+    rng = np.random.default_rng(0)
+    seeds = [x[int(np.argmax(x @ x.mean(axis=0)))]]
     best = x @ seeds[0]
     while len(seeds) < min(k, len(x)):
-        seeds.append(x[int(np.argmin(best))])
+        far = np.clip(1 - best.astype(np.float64), 0, None)
+        if far.sum() < 1e-6 * len(x):
+            break
+        seeds.append(x[int(rng.choice(len(x), p=far / far.sum()))])
         best = np.maximum(best, x @ seeds[-1])
     c = np.stack(seeds)
     for _ in range(rounds):
@@ -75,10 +81,49 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndar
             if (own == j).any():
                 m = x[own == j].mean(axis=0)
                 c[j] = m / max(np.linalg.norm(m), 1e-12)
-    sims = x @ c.T
-    own = np.argmax(sims, axis=1)
-    least = np.array([sims[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(c))])
-    return c, least
+    members = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[members > 1] if (members > 1).any() else c[members > 0]
+
+
+#: Letters of distinct words for which floors are found; a text takes the floor of the largest that it reaches.
+LENGTHS = np.array([4, 8, 16, 32, 64, 128, 256])
+#: Characters of a sampled text that floors are found from.
+HEAD = 4096
+
+
+def letters_of(text: str) -> int:
+    """Letters of the distinct words of a cleaned text: repeating a word makes no text longer."""
+    return sum(map(len, set(text.split(" "))))
+
+
+def cut_to(text: str, n: int) -> str | None:
+    """The beginning of a cleaned text whose distinct words have ``n`` letters, None if it has fewer."""
+    seen, letters, words = set(), 0, []
+    for w in text.split(" "):
+        words.append(w)
+        if w not in seen:
+            seen.add(w)
+            letters += len(w)
+            if letters >= n:
+                words[-1] = w[: len(w) - (letters - n)]
+                return " ".join(words)
+    return None
+
+
+def floors_of(x: np.ndarray, heads: list[str], idf: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """For each of ``LENGTHS``, ``slack`` times the 1% quantile of the cosines of a language's sample cut to it.
+
+    Each half of the sample is held against centroids of the other half. A sample of one text allows everything.
+    """
+    out = np.zeros(len(LENGTHS))
+    if len(x) < 2:
+        return out
+    halves = [cluster(x[1 - h :: 2], k) for h in (0, 1)]
+    for at, n in enumerate(LENGTHS):
+        cut = [[c for t in heads[h::2] if (c := cut_to(t, n)) is not None] for h in (0, 1)]
+        cosines = [(vectors_of(t, idf) @ c.T).max(axis=1) for t, c in zip(cut, halves, strict=True) if t]
+        out[at] = slack * np.quantile(np.concatenate(cosines), 0.01) if cosines else 0
+    return np.maximum.accumulate(out)
 
 
 @dataclass(frozen=True)
@@ -95,18 +140,20 @@ class LanguageModel:
         lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
         if not self.langs or not len(texts):
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        sims = vectors_of(texts, self.idf) @ self.centroids.T
+        clean = cleaned(texts)
+        sims = vectors_of(clean, self.idf) @ self.centroids.T
         best = np.argmax(sims, axis=1)
+        length = np.maximum(np.searchsorted(LENGTHS, [letters_of(t) for t in clean], side="right") - 1, 0)
         score = np.where(lettered, np.clip(sims[np.arange(len(texts)), best], 0, 1), 0).astype(np.float64)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < self.floors[best])
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < self.floors[best, length])
 
 
-def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack: float = 0.2) -> LanguageModel:
+def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack: float = 0.65) -> LanguageModel:
     """Learns from ``train(doc_id, text, lang)``.
 
     The idf is summed over all rows by task and dimension; only the k-means sees a sample, of at most
     ``sample_per_lang`` documents a language, whose members are found from doc_id and lang alone. A
-    centroid rejects what has less than ``slack`` times the least cosine within its sample.
+    language rejects what has less than ``slack`` times the 1% quantile of its sample's cosines at that length.
     """
     spark = train.sparkSession
     train = columns_of(train, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
@@ -123,7 +170,7 @@ def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
-                total += (counts_of(texts[at : at + 256]) > 0).sum(axis=0)
+                total += (counts_of(cleaned(texts[at : at + 256])) > 0).sum(axis=0)
             n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
 
@@ -137,23 +184,26 @@ def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack:
     sample = train.join(F.broadcast(chosen), (train["doc_id"] == chosen["id"]) & (train["lang"] == chosen["l"]), "left_semi")
 
     def sparse(texts: list[str | None]) -> list:
-        v = vectors_of(texts, shared.value)
+        clean = cleaned(texts)
+        v = vectors_of(clean, shared.value)
         at = [np.flatnonzero(r) for r in v]
-        return [[a.tolist() for a in at], [r[a].tolist() for r, a in zip(v, at, strict=True)]]
+        return [[a.tolist() for a in at], [r[a].tolist() for r, a in zip(v, at, strict=True)], [t[:HEAD] for t in clean]]
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((len(pdf), DIMS), np.float32)
         for row, (at, w) in enumerate(zip(pdf["at"], pdf["w"], strict=True)):
             x[row, np.asarray(at, np.int64)] = w
+        heads = pdf["head"].to_numpy()[x.any(axis=1)]
         x = x[x.any(axis=1)]
         if not len(x):
             return pd.DataFrame({"lang": [], "c": [], "floor": []})
-        x = x[np.lexsort(x[:, ::97].T)]  # the same whatever the order of rows
-        c, least = cluster(x, clusters)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": list(c), "floor": least * slack})
+        order = np.lexsort(x[:, ::97].T)  # the same whatever the order of rows
+        x, heads = x[order], heads[order].tolist()
+        c = cluster(x, clusters)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": list(c), "floor": [floors_of(x, heads, shared.value, clusters, slack)] * len(c)})
 
-    rows = map_texts(sample, sparse, "at array<int>, w array<float>", keep=("lang",)).groupBy("lang").applyInPandas(centroids, "lang string, c array<float>, floor double").toPandas().sort_values("lang", kind="stable")
-    return LanguageModel(idf, tuple(rows["lang"]), np.stack(rows["c"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, DIMS), np.float32), rows["floor"].to_numpy(np.float64))
+    rows = map_texts(sample, sparse, "at array<int>, w array<float>, head string", keep=("lang",)).groupBy("lang").applyInPandas(centroids, "lang string, c array<float>, floor array<double>").toPandas().sort_values("lang", kind="stable")
+    return LanguageModel(idf, tuple(rows["lang"]), np.stack(rows["c"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, DIMS), np.float32), np.stack(rows["floor"].to_list()) if len(rows) else np.zeros((0, len(LENGTHS))))
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

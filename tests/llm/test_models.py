@@ -30,6 +30,25 @@ def test_language_prediction_ignores_labels_and_rejects_what_it_has_not_learned(
     assert a == langid.predict(prose.selectExpr("doc_id + 7 as doc_id", "text", "'xx' as lang"), model).drop("doc_id").collect()
 
 
+UNLEARNED = {
+    "it": "Il governo ha annunciato ieri una nuova serie di misure per sostenere le famiglie e le imprese che soffrono a causa della crisi economica degli ultimi anni.",
+    "pl": "Rząd ogłosił wczoraj nowy pakiet środków wspierających rodziny oraz przedsiębiorstwa dotknięte skutkami kryzysu gospodarczego ostatnich lat w całym kraju.",
+    "nl": "De regering heeft gisteren een nieuwe reeks maatregelen aangekondigd om gezinnen en bedrijven te ondersteunen die lijden onder de economische crisis.",
+    "fi": "Hallitus ilmoitti eilen uudesta toimenpidekokonaisuudesta, jolla tuetaan talouskriisistä kärsiviä perheitä ja yrityksiä koko maassa viime vuosina.",
+    "tr": "Hükümet dün ekonomik krizden etkilenen aileleri ve işletmeleri desteklemek için yeni bir önlem paketi açıkladı ve bunun yakında uygulanacağını söyledi.",
+    "base64": "qL3vTzXw9Kp0RbYh2NcUeJ7sMgAoQdFi5WlBtEyHxZrVnGuCkPaSjOmDfIqLwTz8XeRbKhNvYcUsJgMaQoFdWiBlEtHyZxVrGnCuPkSaOjDmIf",
+}
+
+
+def test_latin_languages_that_were_not_learned_are_rejected(spark, prose):
+    model = langid.fit(prose.where(~langid.held_out_col()))
+    texts = [" ".join([t] * n) for t in UNLEARNED.values() for n in (1, 6)]
+    assert all(model.predict(texts)[2])
+    held = prose.where(langid.held_out_col()).select("text").toPandas()["text"].tolist()
+    assert model.predict(held)[2].mean() <= 0.02
+    assert model.predict([t[:40] for t in held])[2].mean() <= 0.05  # short clean texts stay
+
+
 def test_language_awkward_and_empty(awkward, nothing):
     assert langid.language_query(awkward).count() == awkward.count()
     assert langid.language_query(nothing).count() == 0
