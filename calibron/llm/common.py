@@ -20,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local session takes a temporary
+    folder of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="calibron-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="calibron-")
+    return _LOCAL_ROOTS[app]
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

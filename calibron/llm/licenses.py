@@ -1,55 +1,41 @@
-"""License scans: sparse TF-IDF cosine of header lines and licence files to templates, inherited by directory.
-
-Units that are compared are the lines of a text that name a licence (headers) and, of a licence file
-(LICENSE, COPYING ...), the whole text as well. A unit's vector holds tf * idf of its terms; the idf
-counts in how many of all documents a term of the templates occurs, terms outside the templates get the
-largest idf. A unit takes the template with the largest cosine (ties: the smaller licence id) if that is
-at least ``THRESHOLD``. A file without a licence of its own inherits that of the licence file in its
-nearest ancestor directory, by a join of directories with the ancestors of each distinct directory.
-
-DataFrame functions only; the templates are a fixed table of known size.
-
-Defined results: null and empty texts have no licence of their own and inherit; a text with several
-licence lines takes the best match, and of equally good ones the smaller id; if a directory has several
-licence files the best score counts, then the smaller id; a null path inherits nothing; repeated rows
-give repeated results; an empty table gives an empty result.
+"""License scans: sparse TF-IDF cosine of header blocks and licence files to templates, inherited by directory.
+
+Units that are compared are, of every text, the lines that name a licence (by ``MARKER``), the blocks of
+adjacent lines with such a line (a line without letter or digit ends a block, so a comment's ``*`` does),
+all these blocks together and, of a licence file (LICENSE, COPYING ...), the whole text. A unit's vector
+holds tf * idf of its terms; the idf counts in how many of all rows a term of the templates occurs, terms
+outside the templates get the largest idf. A unit takes the template with the largest cosine if that is
+at least ``THRESHOLD``; a row takes the best of its units, first by the template's rank (a text that names
+a licence goes before one that a family shares, and both before a bare "All rights reserved."), then by
+the cosine, then the smaller licence id. A file without a licence of its own inherits that of the licence
+file in its nearest ancestor directory, by a join of directories with the ancestors of each distinct one.
+
+How it is spread: the texts are scanned once. In the row a unit becomes the list of its known terms and
+one number for all others, so nothing that grows with a unit stands beside each of its terms; the rows
+so written carry a key of their own. All later steps join and group these small rows. DataFrame
+functions only; the templates are a fixed table (:mod:`calibron.llm.license_texts`).
+
+Defined results: every input row gives one row, also where ``file`` is null or repeated; each is judged
+by its own text. Null and empty texts have no licence of their own and inherit; very long texts are
+scanned whole, in time proportional to their length (sorting of unknown terms aside); if a directory has
+several licence files the same order decides; a null path inherits nothing; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibron.llm.common import columns_of, written
-
-# Licence ids and the sentences by which they are declared.
-TEMPLATES = (
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain, CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("Proprietary", "All rights reserved."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-MARKER = r"(?i:licen[cs]e|copyright|copying|rights reserved|public domain|redistribut|permission|creative commons|spdx|\bGPL|\bCC[ -]?BY)"
+from calibron.llm.common import columns_of, let, written
+from calibron.llm.license_texts import TEMPLATES
+
+MARKER = r"(?i:licen[cs]e|copyright|copying|rights reserved|public domain|redistribut|permission|free software|provided .?as is|endorse or promote|creative commons|mozilla public|spdx|\bGPL|\bCC[ -]?(BY|0))"
 FILE_NAME = r"(?i:(^|/)(un)?(licen[cs]e|copying|copyright)([.-][^/]*)?$)"
 NOT_TERM = r"[^\p{L}0-9.]+|\.(?![0-9])"
+BLANK_LINE = r"\n[^\p{L}\p{N}\n]*\n"
 THRESHOLD = 0.6
 
 
@@ -63,54 +49,88 @@ def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) ->
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, license, tf terms): a row for each term of each template."""
-    rows = _literal(spark, ("template", "license", "text"), [(k, lic, t) for k, (lic, t) in enumerate(TEMPLATES)])
-    return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(template, license, rank, term, tf): a row for each term of each template."""
+    rows = _literal(spark, ("template", "license", "rank", "text"), [(k, *t) for k, t in enumerate(TEMPLATES)])
+    return rows.select("template", "license", "rank", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "rank", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _vocabulary() -> list[str]:
+def vocabulary() -> list[str]:
     """Terms of the templates, as :func:`terms` splits them."""
-    import re
+    return sorted({t for _, _, text in TEMPLATES for t in re.split(r"[^a-z0-9.]+|\.(?![0-9])", text.lower()) if t})
 
-    return sorted({t for _, text in TEMPLATES for t in re.split(r"[^a-z0-9.]+|\.(?![0-9])", text.lower()) if t})
 
+def squares_of_counts(items) -> F.Column:
+    """Sum over the distinct values of an array of the square of their number, by one pass over the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
 
-def frequencies(texts: DataFrame) -> DataFrame:
-    """(term, df) of the templates' terms over all rows of ``texts(text)``."""
-    known = F.array_distinct(F.filter(terms(F.coalesce("text", F.lit(""))), lambda t: t.isin(_vocabulary())))
-    return texts.select(F.explode(known).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    def step(s, t):
+        run = F.when(s["last"].eqNullSafe(t), s["run"]).otherwise(F.lit(0.0))
+        return F.struct(t.alias("last"), (run + 1).alias("run"), (s["total"] + 2 * run + 1).alias("total"))
 
+    return F.aggregate(F.sort_array(items), start, step, lambda s: s["total"])
 
-def declared(files: DataFrame) -> DataFrame:
-    """(file, license, score): the best template of each file of ``files(file, path, text)`` that reaches the threshold."""
-    spark = files.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    n = files.agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = _literal(spark, ("term",), [(t,) for t in _vocabulary()])
-    df = frequencies(files)
-    idf = written(vocabulary.join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "license_idf")  # one row for each term of the templates
-    weights = written(templates(spark).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")), "license_weights")  # one row for each term of each template
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weights.join(norms, "template").select("template", "license", "term", "idf", (F.col("w") / F.col("norm")).alias("w"))
-
-    lines = F.when(text.rlike(MARKER), F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(MARKER)))).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) & text.rlike(MARKER), F.array(text)).otherwise(F.array().cast("array<string>"))
-    units = files.select("file", F.explode(F.concat(lines, whole)).alias("unit"))
-    # Equal units (a sentence that a third of all files hold) are scored once.
-    unit_terms = units.select("unit").distinct().select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    most = F.log(1 + F.col("n")) + 1
-    scored = unit_terms.join(idf.select(F.col("term"), "idf"), "term", "left").crossJoin(F.broadcast(n)).select("unit", "term", (F.col("tf") * F.coalesce("idf", most)).alias("u"))
-    length = scored.groupBy("unit").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("length"))
-    dots = scored.join(weights.select("template", "license", "term", "w"), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
-    best = dots.join(length, "unit").select("unit", "license", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
-    best = best.groupBy("unit").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b")).select("unit", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
-    return units.join(best, "unit").groupBy("file").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b")).select("file", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+
+def units_col(text, path) -> F.Column:
+    """The units of a text: marker lines, marker blocks, all marker blocks together, the whole of a licence file."""
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(MARKER))
+    blocks = F.filter(F.split(text, BLANK_LINE), lambda x: x.rlike(MARKER))
+    together = let(blocks, lambda b: F.concat(b, F.when(F.size(b) > 1, F.array(F.array_join(b, "\n"))).otherwise(none)))
+    whole = F.when(F.coalesce(path.rlike(FILE_NAME), F.lit(False)), F.array(text)).otherwise(none)
+    return F.when(text.rlike(MARKER), F.array_distinct(F.concat(lines, together, whole))).otherwise(none)
 
 
 def directory(path) -> F.Column:
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
 
 
+def scanned(files: DataFrame) -> DataFrame:
+    """One written row for each row of ``files(file, path, text)``: its key, directory, the templates' terms that
+    it holds (vocab), and its units as lists of known terms with the sum of squares of the others' counts."""
+    known = lambda t: t.isin(vocabulary())
+    text = F.coalesce("text", F.lit(""))
+    unit = lambda u: let(terms(u), lambda t: F.struct(F.filter(t, known).alias("known"), squares_of_counts(F.filter(t, lambda x: ~known(x))).alias("rest")))
+    return written(
+        files.select(
+            F.monotonically_increasing_id().alias("key"),
+            "file",
+            "path",
+            directory(F.col("path")).alias("dir"),
+            F.array_distinct(F.filter(terms(text), known)).alias("vocab"),
+            F.transform(units_col(text, F.col("path")), unit).alias("units"),
+        ),
+        "license_rows",
+    )
+
+
+def weights(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(term, idf) of the templates' terms over all ``rows``; (template, license, rank, term, w) of unit length; the largest idf.
+
+    Both tables are as large as the templates, whatever the input.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    df = rows.select(F.explode("vocab").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms_table = _literal(spark, ("term",), [(t,) for t in vocabulary()])
+    idf = written(terms_table.join(df, "term", "left").select("term", (F.log((1 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "license_idf")
+    w = templates(spark).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    most = float(spark.range(1).select(F.log(F.lit(1 + n)) + 1).first()[0])
+    return idf, written(w.join(norms, "template").select("template", "license", "rank", "term", (F.col("w") / F.col("norm")).alias("w")), "license_weights"), most
+
+
+def declared(rows: DataFrame) -> DataFrame:
+    """(key, license, score, rank): the best template of each row of :func:`scanned` that reaches the threshold."""
+    idf, w, most = weights(rows)
+    units = rows.where(F.size("units") > 0).select("key", F.posexplode("units").alias("unit", "u"))
+    counts = units.select("key", "unit", F.explode("u.known").alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    valued = counts.join(idf, "term").select("key", "unit", "term", (F.col("tf") * F.col("idf")).alias("u"))
+    length = valued.groupBy("key", "unit").agg(F.sum(F.col("u") * F.col("u")).alias("squares"))
+    length = length.join(units.select("key", "unit", (F.col("u.rest") * most * most).alias("others")), ["key", "unit"]).select("key", "unit", F.sqrt(F.col("squares") + F.col("others")).alias("length"))
+    dots = valued.join(w, "term").groupBy("key", "unit", "template", "license", "rank").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
+    best = dots.join(length, ["key", "unit"]).select("key", "license", "rank", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
+    return best.groupBy("key").agg(F.min(F.struct("rank", (-F.col("score")).alias("minus"), "license")).alias("b")).select("key", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), F.col("b.rank").alias("rank"))
+
+
 def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
     """(dir, from_dir, license) for each of the distinct ``directories(dir)`` below or at a row of ``licensed(dir, license)``."""
     parts = F.split("dir", "/")
@@ -121,14 +141,13 @@ def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(file, path, own_license, own_score, license, inherited_from) for each row of ``files(file, path, text)``."""
-    files = columns_of(files, "file", "path", "text")
-    own = written(declared(files), "license_own")
-    base = files.select("file", "path", directory(F.col("path")).alias("dir"))
-    with_own = base.join(own.select(F.col("file").alias("f"), F.col("license").alias("own_license"), F.col("score").alias("own_score")), F.col("file") == F.col("f"), "left").drop("f")
+    """(file, path, own_license, own_score, license, inherited_from), one row for each row of ``files(file, path, text)``."""
+    rows = scanned(columns_of(files, "file", "path", "text"))
+    own = written(declared(rows), "license_own")
+    with_own = rows.select("key", "file", "path", "dir").join(own.select("key", F.col("license").alias("own_license"), F.col("score").alias("own_score"), "rank"), "key", "left")
     named = with_own.where(F.col("path").rlike(FILE_NAME) & F.col("own_license").isNotNull())
-    licensed = named.groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), F.col("own_license"))).alias("b")).select("dir", F.col("b.own_license").alias("license"))
-    below = inherited(base.where("dir is not null").select("dir").distinct(), licensed)
+    licensed = named.groupBy("dir").agg(F.min(F.struct("rank", -F.col("own_score"), F.col("own_license"))).alias("b")).select("dir", F.col("b.own_license").alias("license"))
+    below = inherited(rows.where("dir is not null").select("dir").distinct(), licensed)
     out = with_own.join(below.select(F.col("dir").alias("d"), "from_dir", F.col("license").alias("dir_license")), F.col("dir") == F.col("d"), "left")
     return out.select("file", "path", "own_license", "own_score", F.coalesce("own_license", "dir_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("from_dir")).alias("inherited_from"))
 

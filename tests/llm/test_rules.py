@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from calibron.llm import licenses, mixing, quality, secrets
+from calibron.llm import mixing, quality, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -55,35 +55,6 @@ def test_redaction_takes_effect_and_leaves_clean_documents(spark, awkward, nothi
     assert secrets.redacted(nothing).count() == 0 and secrets.secrets_query(nothing).count() == 0
 
 
-def test_licences_are_found_and_inherited(spark, awkward, nothing):
-    files = spark.createDataFrame(
-        [
-            ("a", "repo/LICENSE", "Released under the MIT License."),
-            ("b", "repo/src/x.py", "no words on it"),
-            ("c", "repo/src/deep/y.py", "Licensed under the Apache License, Version 2.0.\ncode"),
-            ("d", "repo/vendor/COPYING", "This work is licensed under the GNU General Public License, version 3."),
-            ("e", "repo/vendor/lib/z.c", None),
-            ("f", "other/q.c", "This is a license to sing about bananas and monkeys all day long in the jungle of words"),
-            ("g", None, "All rights reserved."),
-            ("h", "top.txt", ""),
-        ],
-        "file string, path string, text string",
-    )
-    got = {r.file: (r.own_license, r.license, r.inherited_from) for r in licenses.scan(files).collect()}
-    assert got["a"][:2] == ("MIT", "MIT") and got["b"] == (None, "MIT", "repo")
-    assert got["c"][0] == "Apache-2.0" and got["d"][0] == "GPL-3.0"
-    assert got["e"] == (None, "GPL-3.0", "repo/vendor")
-    assert got["f"] == (None, None, None) and got["g"][0] == "Proprietary" and got["h"][1] is None
-    assert licenses.license_query(awkward).count() >= awkward.count()
-    assert licenses.license_query(nothing).count() == 0
-
-
-def test_licences_of_documents(prose):
-    rows = licenses.license_query(prose).join(prose.select("doc_id", "text"), "doc_id").collect()
-    line = re.compile(r"^(Released under the|Licensed under|All rights reserved|This work is licensed)", re.M)
-    assert all(bool(line.search(r.text)) == (r.own_license is not None) for r in rows)
-
-
 def brute_repeat_words(words):
     n = len(words)
     seen = collections.Counter(tuple(words[i : i + 8]) for i in range(n - 7))
