@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import sentencepiece
 
 from calibron.llm import katz, langid, pieces
@@ -60,9 +61,10 @@ def tokens_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + ["\0"]
 
 
-def test_katz_equals_brute_force_and_sums_to_one(documents, monkeypatch):
-    monkeypatch.setattr(katz, "BLOCK_BYTES", 20_000)
-    got = {r.doc_id: r for r in katz.katz_query(documents).collect()}
+@pytest.mark.parametrize(("block_bytes", "hot"), [(katz.BLOCK_BYTES, None), (5_000, 40)])
+def test_katz_equals_brute_force_and_sums_to_one(documents, block_bytes, hot):
+    model, scores = katz.trained(documents.select("doc_id", "text").withColumn("held", katz.held_out_col()), block_bytes, hot)
+    got = {r.doc_id: r for r in scores.collect()}
     texts = {r.doc_id: tokens_of(r.text) for r in documents.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
@@ -91,13 +93,28 @@ def test_katz_equals_brute_force_and_sums_to_one(documents, monkeypatch):
 
     for i, t in texts.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(one[w] > 0 for w in t), n)
+        assert (r.held_out, r.n_tokens, r.n_known, model.tokens) == (held[i], len(t), sum(one[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in t), rel_tol=1e-9)
         assert math.isclose(r.score, sum(math.log10(prob(h, w)) for h, w in itertools.pairwise([" ", *t])), rel_tol=1e-9)
     for h in list(context)[:20]:
         assert math.isclose(sum(prob(h, w) for w in one) + prob(h, "never seen"), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("hot", [None, 40])
+def test_katz_scores_any_text_from_its_tables(spark, documents, hot):
+    held = documents.select("doc_id", "text").withColumn("held", katz.held_out_col())
+    model, scores = katz.trained(held, 5_000, hot)
+    again = katz.score_texts(held.drop("held"), model)
+    want = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in scores.collect()}
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in again.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    new = spark.createDataFrame([(1, "entirely unknown wordsonly"), (2, None), (3, "lorem unknown2 ipsum dolor lorem")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in katz.score_texts(new, model).collect()}
+    assert rows[1].n_known == 1 and rows[2].n_tokens == 1 and all(math.isfinite(r.score) for r in rows.values())
+    parts = [r.n for r in model.contexts.groupBy("pairs").count().withColumnRenamed("count", "n").collect()]
+    assert max(parts) == 1 and katz.fitted(documents).tokens > model.tokens
+
+
 def test_katz_awkward_and_empty(awkward, nothing, spark):
     assert katz.katz_query(awkward).count() == awkward.count()
     assert katz.katz_query(nothing).count() == 0
