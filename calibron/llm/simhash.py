@@ -8,6 +8,7 @@ names a component; repeated rows give repeated result rows; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,52 +54,64 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 #: (depth, most differing bits among the upper ``depth``) from the top down to depth 64.
 Budgets = tuple[tuple[int, int], ...]
+#: Pairs of ranges of an array: from al to ah, from bl to bh.
+Frontier = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, budgets: Budgets, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of the sorted uint64 arrays that differ in at most ``errors`` of the upper
-    ``depth`` bits for each (depth, errors) of ``budgets``; with ``same``, pairs i < j of one array.
+def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 63, labels: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of ``keys`` (uint64) that differ in at most ``errors`` of the upper ``depth`` bits for
+    each (depth, errors) of ``budgets``, of all pairs of ranges in ``start``; ``bit`` is the first that isn't equal.
 
-    A node of a trie is a range of the sorted array. Pairs of nodes go down together, one bit at a time:
+    A node of a trie is a sorted range of the array. Pairs of nodes go down together, one bit at a time:
     children of equal bits keep the count of differing bits, children of unequal bits add one, and a pair
-    over the budget goes no further. Small pairs of nodes are compared leaf by leaf. The frontier is
-    handled in pieces of at most ``most`` pairs, so memory stays bounded.
+    over the budget goes no further, nor does one whose rows all have the same of the ``labels``. Small
+    pairs of nodes are compared leaf by leaf. The frontier is handled in pieces of at most ``most`` pairs,
+    so memory stays bounded.
     """
+    zeros: dict[int, np.ndarray] = {}
+    if labels is not None:
+        changes = np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1]), [0]))[: len(labels) + 1]
 
-    def zeros(x: np.ndarray, bit: int) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum((x >> np.uint64(bit)) & np.uint64(1) == 0)))
+    def alike(al, ah, bl, bh):
+        return (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1]) & (labels[al] == labels[bl])
 
-    za, zb = {}, {}
-    stack = [(63, *(np.array([v], np.int64) for v in (0, len(a), 0, len(b), 0)))]
+    al, ah, bl, bh = start
+    live = (ah > al) & (bh > bl)
+    stack = [(bit, *(x[live].astype(np.int64) for x in start), np.zeros(int(live.sum()), np.int64))]
     while stack:
         bit, al, ah, bl, bh, d = stack.pop()
+        if labels is not None and len(al):
+            al, ah, bl, bh, d = (x[apart] for apart in [~alike(al, ah, bl, bh)] for x in (al, ah, bl, bh, d))
+        if len(al) > most:
+            for at in range(0, len(al), most):
+                stack.append((bit, *(t[at : at + most] for t in (al, ah, bl, bh, d))))
+            continue
         small = ((ah - al) * (bh - bl) <= 32) | (bit < 0)
         if small.any():
             x, y, w, v = al[small], ah[small] - al[small], bl[small], bh[small] - bl[small]
             count = y * v
-            own = np.repeat(np.arange(len(x)), count)
-            k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = x[own] + k // v[own], w[own] + k % v[own]
-            diff = a[i] ^ b[j]
-            near = np.ones(len(diff), bool)
-            for depth, errors in budgets:
-                near &= np.bitwise_count(diff >> np.uint64(64 - depth)) <= errors
-            if same:
-                near &= i < j
-            if near.any():
-                yield i[near], j[near]
+            piece = np.cumsum(count) // (1 << 22)  # leaves of equal keys can be large
+            for of in np.unique(piece):
+                at = piece == of
+                n = count[at]
+                own = np.repeat(np.arange(len(n)), n)
+                k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                i, j = x[at][own] + k // v[at][own], w[at][own] + k % v[at][own]
+                diff = keys[i] ^ keys[j]
+                near = i < j
+                for depth, errors in budgets:
+                    near &= np.bitwise_count(diff >> np.uint64(64 - depth)) <= errors
+                if near.any():
+                    yield i[near], j[near]
             al, ah, bl, bh, d = (t[~small] for t in (al, ah, bl, bh, d))
         if not len(al):
             continue
-        if len(al) > most:
-            for at in range(0, len(al), most):
-                stack.append((bit, *(t[at : at + most] for t in (al, ah, bl, bh, d))))
-            continue
-        if bit not in za:
-            za[bit], zb[bit] = zeros(a, bit), zeros(b, bit)
-        am = al + za[bit][ah] - za[bit][al]
-        bm = bl + zb[bit][bh] - zb[bit][bl]
-        twin = (al == bl) & (ah == bh) if same else np.zeros(len(al), bool)
+        if bit not in zeros:
+            zeros[bit] = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1) == 0)))
+        z = zeros[bit]
+        am = al + z[ah] - z[al]
+        bm = bl + z[bh] - z[bl]
+        twin = (al == bl) & (ah == bh)
         parts = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + 1)]
         crossed = tuple(t[~twin] for t in (am, ah, bl, bm, d + 1))  # of a node with itself it would come twice
         al, ah, bl, bh, d = (np.concatenate(t) for t in zip(*parts, crossed, strict=True))
@@ -122,17 +135,13 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _flips(depth: int, k: int) -> list[int]:
-    from itertools import combinations
-
-    return [sum(1 << x for x in c) for c in combinations(range(depth), k)]
-
-
-#: Rows of a top node that one task takes; those of a larger node are dealt out by blocks.
+#: Rows of a top node that one unit takes; those of a larger node are dealt out by blocks.
 NODE_ROWS = 16_384
+#: Rows that a task walks together, whole units of them.
+WALK_ROWS = 1 << 16
 
 
-def top_depth(rows: int, leaf_rows: int = 2048) -> int:
+def top_depth(rows: int, leaf_rows: float = 2048) -> int:
     """Levels of a trie of so many rows above nodes of about ``leaf_rows``."""
     return int(np.ceil(np.log2(max(1, rows) / leaf_rows)))
 
@@ -141,20 +150,19 @@ def top_depth(rows: int, leaf_rows: int = 2048) -> int:
 UNIT = ("turn", "low", "high", "first", "second")
 
 
-def met(views: DataFrame, flips: list[int], payload: list[str], node_rows: int = NODE_ROWS) -> DataFrame:
-    """The rows of ``views(turn, node, rep, payload ...)`` dealt to the units (``UNIT``) in which they meet, with their side.
+def met(views: DataFrame, payload: list[str], node_rows: int = NODE_ROWS) -> DataFrame:
+    """The rows of ``views(turn, node, partner, rep, payload ...)`` dealt to the units (``UNIT``) in which they meet, with their side.
 
-    Each top node meets itself and those that ``flips`` lead to, one unit for each pair of nodes. A node
-    of more than ``node_rows`` rows is cut into blocks by the hash of the id, and each of its blocks meets
-    each of the other node's blocks in a unit of its own: no task grows with a hot node, and no pair is
-    lost.
+    A row is there once for each node that its own meets (partner), its own included. A node of more than
+    ``node_rows`` rows is cut into blocks by the hash of the id, and each of its blocks meets each of the
+    other node's blocks in a unit of its own: no task grows with a hot node, and no pair is lost.
     """
     blocks = F.ceil(F.col("rows") / node_rows).cast("int")
-    large = written(views.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > node_rows).select("turn", "node", blocks.alias("blocks")), "simhash_large")
+    own_rows = views.where("node = partner").groupBy("turn", "node").agg(F.count(F.lit(1)).alias("rows"))
+    large = written(own_rows.where(F.col("rows") > node_rows).select("turn", "node", blocks.alias("blocks")), "simhash_large")
     own, other = (large.select(F.col("turn").alias(f"{x}_turn"), F.col("node").alias(f"{x}_node"), F.col("blocks").alias(f"{x}_blocks")) for x in ("own", "other"))
     rows = views.join(own, (views["turn"] == F.col("own_turn")) & (views["node"] == F.col("own_node")), "left")
-    rows = rows.select("turn", "node", "rep", *payload, F.pmod(F.xxhash64("rep"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias("own"), F.explode(F.array(*(F.lit(f).cast("long") for f in flips))).alias("flip"))
-    rows = rows.withColumn("partner", F.col("node").bitwiseXOR(F.col("flip"))).drop("flip")
+    rows = rows.select("turn", "node", "partner", "rep", *payload, F.pmod(F.xxhash64("rep"), F.coalesce("own_blocks", F.lit(1))).cast("int").alias("own"))
     rows = rows.join(other, (rows["turn"] == F.col("other_turn")) & (rows["partner"] == F.col("other_node")), "left")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("other_blocks", F.lit(1)) - 1)))
     twin, upper = F.col("node") == F.col("partner"), F.col("node") > F.col("partner")
@@ -164,53 +172,104 @@ def met(views: DataFrame, flips: list[int], payload: list[str], node_rows: int =
     return rows.select("turn", F.least("node", "partner").alias("low"), F.greatest("node", "partner").alias("high"), first.alias("first"), second.alias("second"), F.when(twin, F.col("own") > F.col("other")).otherwise(upper).alias("side"), "rep", *payload)
 
 
-def unit_pairs(pdf: pd.DataFrame, keys: np.ndarray, budgets: Budgets) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """An order of a unit's rows, and the index pairs in that order which the walk of their ``keys`` finds."""
-    same = pdf["low"].iloc[0] == pdf["high"].iloc[0] and pdf["first"].iloc[0] == pdf["second"].iloc[0]
-    side = pdf["side"].to_numpy(bool)
-    order = np.lexsort((keys, side))
-    keys, cut = keys[order], int(len(side) - side.sum())
-    return order, trie_pairs(keys, keys, budgets, True) if same else ((i, j + cut) for i, j in trie_pairs(keys[:cut], keys[cut:], budgets, False))
+class Units:
+    """Rows of whole units, sorted by unit, side and key."""
+
+    def __init__(self, pdf: pd.DataFrame, keys_of):
+        unit = np.cumsum(changed(pdf))
+        side, keys = pdf["side"].to_numpy(bool), keys_of(pdf)
+        order = np.lexsort((keys, side, unit))
+        self.pdf, self.keys, self.unit = pdf.iloc[order], keys[order], unit[order]
+        begin = np.flatnonzero(np.diff(self.unit, prepend=-1))
+        end = np.append(begin[1:], len(order))
+        upto = np.concatenate(([0], np.cumsum(side[order])))
+        middle = end - (upto[end] - upto[begin])
+        two = (self.pdf["low"].to_numpy() != self.pdf["high"].to_numpy())[begin] | (self.pdf["first"].to_numpy() != self.pdf["second"].to_numpy())[begin]
+        #: A unit of one block meets itself, one of two blocks has its sides meet.
+        self.start = (begin, np.where(two, middle, end), np.where(two, middle, begin), end)
+
+
+def changed(pdf: pd.DataFrame) -> np.ndarray:
+    """Where a sorted frame's unit differs from that of the row before."""
+    out = np.zeros(len(pdf), bool)
+    for c in UNIT:
+        x = pdf[c].to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
 
 
-def walked(views: DataFrame, flips: list[int], budgets: Budgets, payload: list[str], key_of, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between ids of ``views(turn, node, rep, payload ...)`` that a walk of each turn's trie links.
+def whole_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition that is sorted by unit, in pieces of about ``WALK_ROWS`` that cut no unit."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= WALK_ROWS:
+            pdf = pd.concat(held, ignore_index=True)
+            last = int(np.flatnonzero(changed(pdf))[-1]) if changed(pdf).any() else 0
+            if last:
+                yield pdf.iloc[:last].reset_index(drop=True)
+            held, size = [pdf.iloc[last:]], len(pdf) - last
+    if size:
+        yield pd.concat(held, ignore_index=True)
 
-    ``key_of`` makes the walked keys of a unit's rows. Every unit gives a star for each group that it
-    joins rather than all its pairs.
-    """
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, pairs = unit_pairs(pdf, key_of(pdf), budgets)
-        reps, root = pdf["rep"].to_numpy()[order], forest(len(pdf), pairs)
-        moved = root != np.arange(len(root))
-        return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+def walked(views: DataFrame, payload: list[str], join, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Pairs (a, b) that ``join`` (an iterator over frames of whole units) makes of ``views``; few tasks, each with many units."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_units(parts):
+            yield from join(pdf)
 
-    return met(views, flips, payload, node_rows).groupBy(*UNIT).applyInPandas(join, "a long, b long")
+    return met(views, payload, node_rows).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(run, "a long, b long")
 
 
-def near_edges(classes: DataFrame, budget: int = 4, leaf_rows: int = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between the ids of ``classes(fp, rep)`` whose fingerprints are within ``budget``.
+#: Byte b of a 64-bit word, then the rest of its quarter, of its half and the other half.
+BYTES = tuple((b, b ^ 1, (b ^ 2) & ~1, (b ^ 2) | 1, *((b ^ 4) // 4 * 4 + k for k in range(4))) for b in range(8))
 
-    Two fingerprints within 4 bits differ in at most 2 bits of one half. So the trie is walked twice, once
-    with the halves swapped, with a budget of half the bits in the first 32 levels. The top ``depth``
-    levels are walked by joining node numbers (each node with those within the budget), the rest in one
-    task for each pair of top nodes; ``depth`` grows with the logarithm of the rows, so a task's share
-    does not.
+
+def near_plan(rows: int, leaf_rows: float = 2048) -> tuple[int, list[tuple[int, ...]], Budgets, list[int]]:
+    """Depth of the top nodes, the byte order of each view, the budgets, and the flips of a node to those it meets.
+
+    Two words within 4 bits differ in at most 2 bits of one half; in that half there is a quarter with at
+    most 1, and in that quarter a byte with none. So eight views, one for each byte, find every pair with
+    budgets 0, 1, 2 and 4 at depths 8, 16, 32 and 64. With more rows the top nodes get more levels and meet
+    those within the budget; from 17 levels on two views, one for each half, need fewer copies.
     """
-    depth = max(6, top_depth(classes.count(), leaf_rows))
-    upper = budget // 2
-    swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
-    views = [classes.select(F.lit(k).alias("turn"), F.shiftrightunsigned(key, 64 - depth).alias("node"), "rep", key.alias("key")) for k, key in enumerate((F.col("fp"), swapped))]
-    flips = [0] + [f for k in range(1, upper + 1) for f in _flips(depth, k)]
-    return walked(views[0].unionByName(views[1]), flips, ((32, upper), (64, budget)), ["key"], lambda pdf: pdf["key"].to_numpy().view(np.uint64), node_rows=node_rows)
+    depth = min(32, max(8, top_depth(rows, leaf_rows)))
+    if depth <= 16:
+        return depth, list(BYTES), ((8, 0), (16, 1), (32, 2), (64, 4)), [0, *(1 << k for k in range(depth - 8))]
+    flips = [0, *(1 << k for k in range(depth)), *(1 << k | 1 << m for k in range(depth) for m in range(k))]
+    return depth, [BYTES[0], BYTES[4]], ((32, 2), (64, 4)), flips
+
+
+def near_edges(classes: DataFrame, leaf_rows: float = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Spanning edges (a, b) between the ids of ``classes(fp, rep)`` whose fingerprints are within 4 bits.
+
+    Every piece of a walk gives a star for each group that it joins rather than all its pairs.
+    """
+    depth, orders, budgets, flips = near_plan(classes.count(), leaf_rows)
+    key = lambda order: reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(F.shiftrightunsigned("fp", 56 - 8 * b).bitwiseAND(F.lit(255)), 56 - 8 * k) for k, b in enumerate(order)))
+    turns = classes.select("rep", F.posexplode(F.array(*map(key, orders))).alias("turn", "key"))
+    node = F.shiftrightunsigned("key", 64 - depth)
+    views = turns.select("turn", node.alias("node"), "rep", "key", F.explode(F.array(*(F.lit(f).cast("long") for f in flips))).alias("flip"))
+    views = views.select("turn", "node", F.col("node").bitwiseXOR(F.col("flip")).alias("partner"), "rep", "key")
+    bit = 55 if depth <= 16 else 63
+
+    def join(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        u = Units(pdf, lambda x: x["key"].to_numpy().view(np.uint64))
+        reps, root = u.pdf["rep"].to_numpy(), forest(len(pdf), trie_pairs(u.keys, u.start, budgets, bit))
+        moved = root != np.arange(len(root))
+        yield pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+
+    return walked(views, ["key"], join, node_rows)
 
 
-def simhash_groups(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the SimHash of each document and the smallest doc_id that it reaches."""
     fps = written(fingerprints(docs, width), "simhash_fp")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_class")
-    roots = components(near_edges(classes.where("rep is not null"), budget), "simhash_edges")
+    roots = components(near_edges(classes.where("rep is not null")), "simhash_edges")
     labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "rep").alias("component_id"))
     return fps.join(labels, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
@@ -226,9 +285,31 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 #: Odd factors that turn the hash of a shingle into those of the further words of a wide fingerprint.
 FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 WORDS = len(FACTORS)
-STRIDE = 8
-#: In every view the upper 8 bits agree (a task's share), then errors are allowed as the walk goes down.
-VIEW_BUDGETS: Budgets = ((8, 0), (16, 2), (32, 10), (64, 24))
+NAMES = [f"w{k}" for k in range(WORDS)]
+
+
+def similar_plan(rows: int, leaf_rows: float = 2048) -> tuple[int, int, Budgets]:
+    """Depth of the top nodes (all bits equal), number of views, and the budgets within a view.
+
+    At a similarity of 0.8 a bit differs with a chance of 0.15. A view finds such a pair with a chance of
+    0.85^depth * 0.9, 0.24 at eight levels; every four levels more halve that, and double the views.
+    Together they miss about one pair in 7,000 at exactly 0.8, whatever the number of rows, and fewer above.
+    """
+    depth = min(24, max(8, top_depth(rows, leaf_rows)))
+    return depth, int(np.ceil(32 * 2 ** ((depth - 8) / 4))), ((depth, 0), (depth + 8, 2), (min(60, depth + 24), 10), (64, 24))
+
+
+def view_keys(words: np.ndarray, turn: int, depth: int) -> np.ndarray:
+    """The 64 bits of the wide fingerprints (rows of four uint64) that view ``turn`` walks.
+
+    The views of one lap begin ``depth`` bits apart, so that no two have a bit of their top nodes in
+    common; each lap after the first has the 256 bits in another order.
+    """
+    lap, at = divmod(turn, 64 * WORDS // depth)
+    order = np.arange(64 * WORDS) if lap == 0 else np.random.default_rng(lap).permutation(64 * WORDS)
+    bits = np.unpackbits(np.ascontiguousarray(words, ">u8").view(np.uint8), axis=1)
+    taken = np.ascontiguousarray(bits[:, np.roll(order, -at * depth)[:64]])
+    return np.packbits(taken, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -273,57 +354,59 @@ def bits_apart(similarity: float) -> int:
     return int(n * share + 5 * np.sqrt(n * share * (1 - share)))
 
 
-def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: int = 2048, node_rows: int = NODE_ROWS, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids of ``classes(w0 .. w3, rep)`` whose similarity may be this or more, each once.
+def wide_words(pdf: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(pdf[NAMES].to_numpy(np.int64)).view(np.uint64)
+
+
+def similar_views(classes: DataFrame, depth: int, turns: list[int]) -> DataFrame:
+    """A row (turn, node, partner = node, and all columns) for each of ``classes`` and each of the views."""
+    names = classes.columns
 
-    The trie of each word is walked from each of 8 starting bits (32 views). Within a view the errors
-    grow with the depth (``VIEW_BUDGETS``), and pairs that pass are compared on all 256 bits. The top
-    nodes have 8 levels, and up to 16 as the rows grow; from the ninth on a node also meets those that
-    differ in the two bits that the budget allows there, so the depth doesn't change what is found.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            words = wide_words(pdf)
+            for turn in turns:
+                node = (view_keys(words, turn, depth) >> np.uint64(64 - depth)).astype(np.int64)
+                yield pdf.assign(turn=np.int32(turn), node=node, partner=node)
 
-    With a column ``label`` only pairs of unequal labels are given. With ``nearest`` a unit gives of each
-    row only the pair with the fewest differing bits (ties: the smallest other id) rather than all.
+    return classes.mapInPandas(run, "turn int, node long, partner long, " + ", ".join(f"{n} long" for n in names))
+
+
+def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: float = 2048, node_rows: int = NODE_ROWS, neighbours: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids of ``classes(w0 .. w3, rep)`` whose similarity may be this or more, each once.
+
+    A pair is given if a walk finds it in some view (:func:`similar_plan`) and the whole fingerprints differ
+    in at most :func:`bits_apart` bits. With a column ``label`` only pairs of unequal labels are given.
+    With ``neighbours`` a few views give the pairs that stand side by side in the order of their keys.
     """
     limit = bits_apart(similarity)
-    names = [f"w{k}" for k in range(WORDS)]
-    payload = [*names, *(["label"] if "label" in classes.columns else [])]
-    depth = min(16, max(STRIDE, top_depth(classes.count(), leaf_rows)))
-    turned = lambda c, r: F.col(c) if r == 0 else F.shiftleft(c, r).bitwiseOR(F.shiftrightunsigned(c, 64 - r))
-    views = F.explode(F.array(*(F.struct(F.lit(k * 64 + r).alias("turn"), F.shiftrightunsigned(turned(c, r), 64 - depth).alias("node")) for k, c in enumerate(names) for r in range(0, 64, STRIDE))))
+    depth, views, budgets = similar_plan(classes.count(), leaf_rows)
+    turns = list(range(0, views, max(1, views // 6))) if neighbours else list(range(views))
+    payload = [*NAMES, *(["label"] if "label" in classes.columns else [])]
 
     def keys(pdf: pd.DataFrame) -> np.ndarray:
-        turn = int(pdf["turn"].iloc[0])
-        own, r = pdf[names[turn // 64]].to_numpy().view(np.uint64), np.uint64(turn % 64)
-        return (own << r) | (own >> (np.uint64(64) - r)) if r else own
-
-    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts), ignore_index=True)
-        if len(pdf) < 2:
-            return
-        order, pairs = unit_pairs(pdf, keys(pdf), VIEW_BUDGETS)
-        rows, reps = pdf[names].to_numpy().view(np.uint64)[order], pdf["rep"].to_numpy()[order]
-        labels = pdf["label"].to_numpy()[order] if "label" in payload else reps
-        ids, rank = np.unique(reps, return_inverse=True)
-        none = np.iinfo(np.int64).max
-        best = np.full(len(reps), none)
+        words, turn, out = wide_words(pdf), pdf["turn"].to_numpy(), np.empty(len(pdf), np.uint64)
+        for t in np.unique(turn):
+            out[turn == t] = view_keys(words[turn == t], int(t), depth)
+        return out
+
+    def join(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        u = Units(pdf, keys)
+        rows, reps = wide_words(u.pdf), u.pdf["rep"].to_numpy()
+        labels = u.pdf["label"].to_numpy() if "label" in payload else reps
+        beside = np.arange(len(reps) - 1)
+        pairs = [(beside, beside + 1)] if neighbours else trie_pairs(u.keys, u.start, budgets, 63 - depth, labels if "label" in payload else None)
         for i, j in pairs:
             for at in range(0, len(i), 1 << 20):
                 x, y = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
-                apart = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
-                ok = (apart <= limit) & (labels[x] != labels[y]) & (reps[x] != reps[y])
-                x, y, apart = x[ok], y[ok], apart[ok]
-                if nearest:
-                    np.minimum.at(best, x, apart * len(ids) + rank[y])
-                    np.minimum.at(best, y, apart * len(ids) + rank[x])
-                elif len(x):
-                    yield pd.DataFrame({"a": np.maximum(reps[x], reps[y]), "b": np.minimum(reps[x], reps[y])})
-        if (best < none).any():
-            own, other = reps[best < none], ids[best[best < none] % len(ids)]
-            yield pd.DataFrame({"a": np.maximum(own, other), "b": np.minimum(own, other)})
-
-    units = classes.select("rep", *payload, views.alias("u")).select("u.turn", "u.node", "rep", *payload)
-    flips = [0] + [f for k in (1, 2) for f in _flips(depth - STRIDE, k)]
-    return met(units, flips, payload, node_rows).groupBy(*UNIT).applyInPandas(join, "a long, b long").distinct()
+                ok = (u.unit[x] == u.unit[y]) & (labels[x] != labels[y]) & (reps[x] != reps[y])
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64) <= limit
+                if ok.any():
+                    x, y = reps[x[ok]], reps[y[ok]]
+                    yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return walked(similar_views(classes.select("rep", *payload), depth, turns), payload, join, node_rows).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -334,34 +417,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b").distinct()
 
 
+def shingle_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents that ``pairs(a, b)`` name."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = columns_of(docs, "doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi")
+    return written(map_texts(texts, lambda texts: [[shingle_set(t, width).view(np.int64) for t in texts]], "shingles array<long>"), "simhash_sets")
+
+
 def confirmed_edges(docs: DataFrame, classes: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(a, b) that link the ids of ``classes(w0 .. w3, rep)`` as all candidates of exact similarity or more do.
 
-    First each row's nearest candidates are confirmed and joined, which brings groups of copies
-    together; then all candidates between the groups so found. A pair within a group needs no
-    comparison, so a large group of copies doesn't cost the square of its size. The sets are those of
-    rows that have a candidate.
+    First the candidates that stand side by side in a few views are confirmed and joined, which brings
+    groups of copies together; then all candidates between the groups so found. A pair within a group
+    needs no comparison, and the walk leaves out pairs of nodes that lie in one group, so a large group of
+    copies doesn't cost the square of its size.
     """
-    pairs = written(similar_edges(classes, similarity, nearest=True), "simhash_nearest")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = columns_of(docs, "doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = written(map_texts(texts, lambda texts: [[shingle_set(t, width).view(np.int64) for t in texts]], "shingles array<long>"), "simhash_sets")
-    edges = written(confirmed(pairs, sets, similarity), "simhash_near")
+    pairs = written(similar_edges(classes, similarity, neighbours=True), "simhash_beside")
+    edges = written(confirmed(pairs, shingle_sets(docs, pairs, width), similarity), "simhash_near")
     roots = components(edges, "simhash_edges")
-    labelled = classes.join(roots, classes["rep"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "rep").alias("label"))
-    rest = written(similar_edges(written(labelled, "simhash_label"), similarity), "simhash_rest")
-    return edges.unionByName(confirmed(rest, sets, similarity))
+    labelled = written(classes.join(roots, classes["rep"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "rep").alias("label")), "simhash_label")
+    rest = written(similar_edges(labelled, similarity), "simhash_rest")
+    return edges.unionByName(confirmed(rest, shingle_sets(docs, rest, width), similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by shingle sets of this Jaccard similarity; equal sets are one class."""
-    names = [f"w{k}" for k in range(WORDS)]
-    wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(t, width) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in names))
+    wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(t, width) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in NAMES))
     wide = written(wide, "simhash_wide")
-    classes = written(wide.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash_wide_class")
+    classes = written(wide.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "simhash_wide_class")
     roots = components(confirmed_edges(docs, classes.where("rep is not null"), similarity, width), "simhash_edges")
-    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(*(F.col(n).alias(f"c_{n}") for n in names), F.coalesce("root", "rep").alias("component_id"))
-    match = [F.col(n) == F.col(f"c_{n}") for n in names]
+    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(*(F.col(n).alias(f"c_{n}") for n in NAMES), F.coalesce("root", "rep").alias("component_id"))
+    match = [F.col(n) == F.col(f"c_{n}") for n in NAMES]
     return wide.join(labels, match).select("doc_id", "component_id")
 
 

@@ -51,7 +51,7 @@ def test_trie_finds_all_pairs_within_the_budget():
     x = np.unique(np.concatenate([rng.integers(0, 2**63, 200).astype(np.uint64), (seeds[:, None] ^ flips() ^ flips()).ravel()]))
     diff = x[:, None] ^ x[None, :]
     near = (np.bitwise_count(diff) <= 4) & (np.bitwise_count(diff >> np.uint64(32)) <= 2)
-    got = {p for i, j in simhash.trie_pairs(x, x, ((32, 2), (64, 4)), True, most=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    got = {p for i, j in simhash.trie_pairs(x, (np.array([0]), np.array([len(x)]), np.array([0]), np.array([len(x)])), ((32, 2), (64, 4)), most=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
 
 
@@ -77,6 +77,8 @@ def test_blocks_and_depth_of_the_trie_lose_no_link(spark):
     assert {g for g in brute if len(g) > 1} and all(any(len(g & h) > 1 for h in whole) for g in brute)
     assert linked(simhash.near_edges(narrow, node_rows=3)) == whole
     assert linked(simhash.near_edges(narrow, leaf_rows=1)) == whole
+    assert linked(simhash.near_edges(narrow, leaf_rows=0.1)) == whole  # 12 levels
+    assert linked(simhash.near_edges(narrow, leaf_rows=0.001, node_rows=2)) == whole  # 18 levels, by halves
     wide = [tuple(signed(flipped(int(w), 8)) for w in four) for four in rng.integers(0, 2**63, (8, 4)) for _ in range(20)]
     rows = spark.createDataFrame([(*w, k) for k, w in enumerate(wide)], "w0 long, w1 long, w2 long, w3 long, rep long")
     whole = linked(simhash.similar_edges(rows))
