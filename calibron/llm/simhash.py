@@ -58,7 +58,7 @@ Budgets = tuple[tuple[int, int], ...]
 Frontier = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 63, labels: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 63, labels: np.ndarray | None = None, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of ``keys`` (uint64) that differ in at most ``errors`` of the upper ``depth`` bits for
     each (depth, errors) of ``budgets``, of all pairs of ranges in ``start``; ``bit`` is the first that isn't equal.
 
@@ -90,7 +90,7 @@ def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 6
         if small.any():
             x, y, w, v = al[small], ah[small] - al[small], bl[small], bh[small] - bl[small]
             count = y * v
-            piece = np.cumsum(count) // (1 << 22)  # leaves of equal keys can be large
+            piece = np.cumsum(count) // (1 << 18)  # leaves of equal keys can be large
             for of in np.unique(piece):
                 at = piece == of
                 n = count[at]
@@ -138,7 +138,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 #: Rows of a top node that one unit takes; those of a larger node are dealt out by blocks.
 NODE_ROWS = 16_384
 #: Rows that a task walks together, whole units of them.
-WALK_ROWS = 1 << 16
+WALK_ROWS = 1 << 15
 
 
 def top_depth(rows: int, leaf_rows: float = 2048) -> int:
@@ -397,8 +397,8 @@ def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: float
         beside = np.arange(len(reps) - 1)
         pairs = [(beside, beside + 1)] if neighbours else trie_pairs(u.keys, u.start, budgets, 63 - depth, labels if "label" in payload else None)
         for i, j in pairs:
-            for at in range(0, len(i), 1 << 20):
-                x, y = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
+            for at in range(0, len(i), 1 << 18):
+                x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
                 ok = (u.unit[x] == u.unit[y]) & (labels[x] != labels[y]) & (reps[x] != reps[y])
                 x, y = x[ok], y[ok]
                 ok = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64) <= limit
