@@ -58,30 +58,20 @@ Budgets = tuple[tuple[int, int], ...]
 Frontier = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 63, labels: np.ndarray | None = None, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, start: Frontier, budgets: Budgets, bit: int = 63, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of ``keys`` (uint64) that differ in at most ``errors`` of the upper ``depth`` bits for
     each (depth, errors) of ``budgets``, of all pairs of ranges in ``start``; ``bit`` is the first that isn't equal.
 
     A node of a trie is a sorted range of the array. Pairs of nodes go down together, one bit at a time:
     children of equal bits keep the count of differing bits, children of unequal bits add one, and a pair
-    over the budget goes no further, nor does one whose rows all have the same of the ``labels``. Small
-    pairs of nodes are compared leaf by leaf. The frontier is handled in pieces of at most ``most`` pairs,
-    so memory stays bounded.
+    over the budget goes no further. Small pairs of nodes are compared leaf by leaf. The frontier is
+    handled in pieces of at most ``most`` pairs, so memory stays bounded.
     """
     zeros: dict[int, np.ndarray] = {}
-    if labels is not None:
-        changes = np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1]), [0]))[: len(labels) + 1]
-
-    def alike(al, ah, bl, bh):
-        return (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1]) & (labels[al] == labels[bl])
-
-    al, ah, bl, bh = start
-    live = (ah > al) & (bh > bl)
+    live = (start[1] > start[0]) & (start[3] > start[2])
     stack = [(bit, *(x[live].astype(np.int64) for x in start), np.zeros(int(live.sum()), np.int64))]
     while stack:
         bit, al, ah, bl, bh, d = stack.pop()
-        if labels is not None and len(al):
-            al, ah, bl, bh, d = (x[apart] for apart in [~alike(al, ah, bl, bh)] for x in (al, ah, bl, bh, d))
         if len(al) > most:
             for at in range(0, len(al), most):
                 stack.append((bit, *(t[at : at + most] for t in (al, ah, bl, bh, d))))
@@ -150,15 +140,15 @@ def top_depth(rows: int, leaf_rows: float = 2048) -> int:
 UNIT = ("turn", "low", "high", "first", "second")
 
 
-def met(views: DataFrame, payload: list[str], node_rows: int = NODE_ROWS) -> DataFrame:
+def met(views: DataFrame, payload: list[str], node_rows: int = NODE_ROWS, weight: F.Column | None = None) -> DataFrame:
     """The rows of ``views(turn, node, partner, rep, payload ...)`` dealt to the units (``UNIT``) in which they meet, with their side.
 
     A row is there once for each node that its own meets (partner), its own included. A node of more than
-    ``node_rows`` rows is cut into blocks by the hash of the id, and each of its blocks meets each of the
+    ``node_rows`` rows (or of that sum of ``weight``) is cut into blocks by the hash of the id, and each of its blocks meets each of the
     other node's blocks in a unit of its own: no task grows with a hot node, and no pair is lost.
     """
     blocks = F.ceil(F.col("rows") / node_rows).cast("int")
-    own_rows = views.where("node = partner").groupBy("turn", "node").agg(F.count(F.lit(1)).alias("rows"))
+    own_rows = views.where("node = partner").groupBy("turn", "node").agg(F.sum(F.lit(1) if weight is None else weight).alias("rows"))
     large = written(own_rows.where(F.col("rows") > node_rows).select("turn", "node", blocks.alias("blocks")), "simhash_large")
     own, other = (large.select(F.col("turn").alias(f"{x}_turn"), F.col("node").alias(f"{x}_node"), F.col("blocks").alias(f"{x}_blocks")) for x in ("own", "other"))
     rows = views.join(own, (views["turn"] == F.col("own_turn")) & (views["node"] == F.col("own_node")), "left")
@@ -198,13 +188,13 @@ def changed(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def whole_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a partition that is sorted by unit, in pieces of about ``WALK_ROWS`` that cut no unit."""
+def whole_units(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition that is sorted by unit, in pieces of about ``most`` that cut no unit."""
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += len(part)
-        if size >= WALK_ROWS:
+        if size >= most:
             pdf = pd.concat(held, ignore_index=True)
             last = int(np.flatnonzero(changed(pdf))[-1]) if changed(pdf).any() else 0
             if last:
@@ -214,14 +204,21 @@ def whole_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def walked(views: DataFrame, payload: list[str], join, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Pairs (a, b) that ``join`` (an iterator over frames of whole units) makes of ``views``; few tasks, each with many units."""
+def walked(views: DataFrame, payload: list[str], key_of, pairs_of, node_rows: int = NODE_ROWS, weight: F.Column | None = None, most: int = WALK_ROWS) -> DataFrame:
+    """Spanning edges (a, b) of the pairs that ``pairs_of`` finds in whole units of ``views``, sorted by ``key_of``.
+
+    A task takes many units at a time. Each time gives a star for each group that it joins rather than
+    all its pairs, so there are never more edges than rows.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_units(parts):
-            yield from join(pdf)
+        for pdf in whole_units(parts, most):
+            u = Units(pdf, key_of)
+            reps, root = u.pdf["rep"].to_numpy(), forest(len(pdf), pairs_of(u))
+            moved = (root != np.arange(len(root))) & (reps != reps[root])
+            yield pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
 
-    return met(views, payload, node_rows).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(run, "a long, b long")
+    return met(views, payload, node_rows, weight).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(run, "a long, b long")
 
 
 #: Byte b of a 64-bit word, then the rest of its quarter, of its half and the other half.
@@ -244,10 +241,7 @@ def near_plan(rows: int, leaf_rows: float = 2048) -> tuple[int, list[tuple[int,
 
 
 def near_edges(classes: DataFrame, leaf_rows: float = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between the ids of ``classes(fp, rep)`` whose fingerprints are within 4 bits.
-
-    Every piece of a walk gives a star for each group that it joins rather than all its pairs.
-    """
+    """Spanning edges (a, b) between the ids of ``classes(fp, rep)`` whose fingerprints are within 4 bits."""
     depth, orders, budgets, flips = near_plan(classes.count(), leaf_rows)
     key = lambda order: reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(F.shiftrightunsigned("fp", 56 - 8 * b).bitwiseAND(F.lit(255)), 56 - 8 * k) for k, b in enumerate(order)))
     turns = classes.select("rep", F.posexplode(F.array(*map(key, orders))).alias("turn", "key"))
@@ -255,14 +249,7 @@ def near_edges(classes: DataFrame, leaf_rows: float = 2048, node_rows: int = NOD
     views = turns.select("turn", node.alias("node"), "rep", "key", F.explode(F.array(*(F.lit(f).cast("long") for f in flips))).alias("flip"))
     views = views.select("turn", "node", F.col("node").bitwiseXOR(F.col("flip")).alias("partner"), "rep", "key")
     bit = 55 if depth <= 16 else 63
-
-    def join(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        u = Units(pdf, lambda x: x["key"].to_numpy().view(np.uint64))
-        reps, root = u.pdf["rep"].to_numpy(), forest(len(pdf), trie_pairs(u.keys, u.start, budgets, bit))
-        moved = root != np.arange(len(root))
-        yield pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
-
-    return walked(views, ["key"], join, node_rows)
+    return walked(views, ["key"], lambda x: x["key"].to_numpy().view(np.uint64), lambda u: trie_pairs(u.keys, u.start, budgets, bit), node_rows)
 
 
 def simhash_groups(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -325,9 +312,8 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64))
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> list[int]:
-    """A SimHash of 4 * 64 bits over the distinct word shingles of a text (signed longs)."""
-    h = shingle_set(text, width)
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """A SimHash of 4 * 64 bits over a set of shingles (signed longs)."""
     if not len(h):
         return [0] * WORDS
     out = []
@@ -372,17 +358,24 @@ def similar_views(classes: DataFrame, depth: int, turns: list[int]) -> DataFrame
     return classes.mapInPandas(run, "turn int, node long, partner long, " + ", ".join(f"{n} long" for n in names))
 
 
-def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: float = 2048, node_rows: int = NODE_ROWS, neighbours: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids of ``classes(w0 .. w3, rep)`` whose similarity may be this or more, each once.
+def alike(rows: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs of ``rows`` (wide fingerprints) that differ in at most ``limit`` bits."""
+    for i, j in pairs:
+        for at in range(0, len(i), 1 << 18):
+            x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+            ok = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64) <= limit
+            if ok.any():
+                yield x[ok], y[ok]
+
 
-    A pair is given if a walk finds it in some view (:func:`similar_plan`) and the whole fingerprints differ
-    in at most :func:`bits_apart` bits. With a column ``label`` only pairs of unequal labels are given.
-    With ``neighbours`` a few views give the pairs that stand side by side in the order of their keys.
+def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: float = 2048, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Spanning edges (a, b) between ids of ``classes(w0 .. w3, rep)`` of all pairs that may have this similarity.
+
+    A pair counts if a walk finds it in some view (:func:`similar_plan`) and the whole fingerprints differ
+    in at most :func:`bits_apart` bits.
     """
     limit = bits_apart(similarity)
     depth, views, budgets = similar_plan(classes.count(), leaf_rows)
-    turns = list(range(0, views, max(1, views // 6))) if neighbours else list(range(views))
-    payload = [*NAMES, *(["label"] if "label" in classes.columns else [])]
 
     def keys(pdf: pd.DataFrame) -> np.ndarray:
         words, turn, out = wide_words(pdf), pdf["turn"].to_numpy(), np.empty(len(pdf), np.uint64)
@@ -390,59 +383,87 @@ def similar_edges(classes: DataFrame, similarity: float = 0.8, leaf_rows: float
             out[turn == t] = view_keys(words[turn == t], int(t), depth)
         return out
 
-    def join(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        u = Units(pdf, keys)
-        rows, reps = wide_words(u.pdf), u.pdf["rep"].to_numpy()
-        labels = u.pdf["label"].to_numpy() if "label" in payload else reps
-        beside = np.arange(len(reps) - 1)
-        pairs = [(beside, beside + 1)] if neighbours else trie_pairs(u.keys, u.start, budgets, 63 - depth, labels if "label" in payload else None)
-        for i, j in pairs:
-            for at in range(0, len(i), 1 << 18):
-                x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-                ok = (u.unit[x] == u.unit[y]) & (labels[x] != labels[y]) & (reps[x] != reps[y])
-                x, y = x[ok], y[ok]
-                ok = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64) <= limit
-                if ok.any():
-                    x, y = reps[x[ok]], reps[y[ok]]
-                    yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    return walked(similar_views(classes.select("rep", *payload), depth, turns), payload, join, node_rows).distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose shingle sets, of ``sets(doc_id, shingles)``, have this Jaccard similarity or more."""
-    one, two = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    both = pairs.join(one, F.col("a") == F.col("a_id")).join(two, F.col("b") == F.col("b_id"))
-    shared = both.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("shared"), (F.size("a_set") + F.size("b_set")).alias("sizes"))
-    return shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b").distinct()
-
-
-def shingle_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents that ``pairs(a, b)`` name."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = columns_of(docs, "doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi")
-    return written(map_texts(texts, lambda texts: [[shingle_set(t, width).view(np.int64) for t in texts]], "shingles array<long>"), "simhash_sets")
-
-
-def confirmed_edges(docs: DataFrame, classes: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    rows = similar_views(classes.select("rep", *NAMES), depth, list(range(views)))
+    return walked(rows, NAMES, keys, lambda u: alike(wide_words(u.pdf), trie_pairs(u.keys, u.start, budgets, 63 - depth), limit), node_rows)
+
+
+#: Shingles that one unit of the exact comparison takes, and rows that a task compares together.
+UNIT_SHINGLES = 1 << 20
+EXACT_ROWS = 1 << 12
+#: Bytes of a bit matrix (rows x shared shingles); beyond it pairs are compared set by set.
+MATRIX_BYTES = 64 << 20
+
+
+class Sets:
+    """The shingle sets of a unit's rows, as bits of those shingles that more than one row has."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), self.sizes)
+        _, own, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        column = (np.cumsum(shared) - 1)[own]
+        width = -(-int(shared.sum()) // 64) * 8
+        self.bits = None
+        if len(sets) * width <= MATRIX_BYTES:
+            bits = np.zeros((len(sets), width), np.uint8)
+            kept = shared[own]
+            row, column = row[kept], column[kept]
+            np.bitwise_or.at(bits, (row, column >> 3), np.left_shift(1, column & 7).astype(np.uint8))
+            self.bits = bits.view(np.uint64)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sets of rows i and j."""
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+        out, step = np.empty(len(i), np.int64), max(1, (1 << 22) // max(1, self.bits.shape[1]))
+        for at in range(0, len(i), step):
+            out[at : at + step] = np.bitwise_count(self.bits[i[at : at + step]] & self.bits[j[at : at + step]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def truly_similar(u: Units, similarity: float, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each unit whose shingle sets have this Jaccard similarity or more."""
+    sets, rows = u.pdf["shingles"].to_numpy(), wide_words(u.pdf)
+    for k in range(len(u.start[0])):
+        start = tuple(x[k : k + 1] for x in u.start)
+        first, held = int(start[0][0]), None
+        for i, j in alike(rows, trie_pairs(u.keys, start, ((64, 64),)), limit):
+            held = held or Sets(list(sets[first : int(start[3][0])]))
+            common = held.common(i - first, j - first)
+            sizes = held.sizes[i - first] + held.sizes[j - first]
+            ok = common >= similarity * (sizes - common)
+            if ok.any():
+                yield i[ok], j[ok]
+
+
+def confirmed_edges(docs: DataFrame, classes: DataFrame, similarity: float = 0.8, width: int = 5, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(a, b) that link the ids of ``classes(w0 .. w3, rep)`` as all candidates of exact similarity or more do.
 
-    First the candidates that stand side by side in a few views are confirmed and joined, which brings
-    groups of copies together; then all candidates between the groups so found. A pair within a group
-    needs no comparison, and the walk leaves out pairs of nodes that lie in one group, so a large group of
-    copies doesn't cost the square of its size.
+    The walk's candidates are joined to clusters first, by spanning edges, never by all pairs. The shingle
+    sets of each cluster's rows then meet in tasks of bounded size (a large cluster is cut into blocks that
+    meet pairwise) and are compared there; again only spanning edges leave the task.
     """
-    pairs = written(similar_edges(classes, similarity, neighbours=True), "simhash_beside")
-    edges = written(confirmed(pairs, shingle_sets(docs, pairs, width), similarity), "simhash_near")
-    roots = components(edges, "simhash_edges")
-    labelled = written(classes.join(roots, classes["rep"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "rep").alias("label")), "simhash_label")
-    rest = written(similar_edges(labelled, similarity), "simhash_rest")
-    return edges.unionByName(confirmed(rest, shingle_sets(docs, rest, width), similarity))
+    limit = bits_apart(similarity)
+    clusters = components(written(similar_edges(classes, similarity), "simhash_candidates"), "simhash_edges")
+    named = clusters.select(F.col("node").alias("id"), "root").unionByName(clusters.select(F.col("root").alias("id"), "root").distinct())
+    texts = columns_of(docs, "doc_id", "text").join(named, F.col("doc_id") == F.col("id"))
+
+    def sets(texts: list[str | None]) -> list:
+        found = [shingle_set(t, width) for t in texts]
+        return [[x.view(np.int64) for x in found], *map(list, zip(*(wide_fingerprint(x) for x in found), strict=True))] if texts else [[]] * (1 + WORDS)
+
+    rows = written(map_texts(texts, sets, "shingles array<long>, " + ", ".join(f"{n} long" for n in NAMES), keep=("doc_id", "root")), "simhash_sets")
+    # Of rows with an equal doc_id only those count whose text is that of the class.
+    own = [F.col(n) == F.col(f"c_{n}") for n in NAMES]
+    rows = rows.join(classes.select(F.col("rep"), *(F.col(n).alias(f"c_{n}") for n in NAMES)), [F.col("doc_id") == F.col("rep"), *own])
+    views = rows.select(F.lit(0).alias("turn"), F.col("root").alias("node"), F.col("root").alias("partner"), "rep", "shingles", *NAMES)
+    return walked(views, ["shingles", *NAMES], lambda pdf: wide_words(pdf)[:, 0], lambda u: truly_similar(u, similarity, limit), unit_shingles, F.size("shingles"), EXACT_ROWS)
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by shingle sets of this Jaccard similarity; equal sets are one class."""
-    wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(t, width) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in NAMES))
+    wide = map_texts(docs, lambda texts: list(map(list, zip(*(wide_fingerprint(shingle_set(t, width)) for t in texts), strict=True))) or [[]] * WORDS, ", ".join(f"{n} long" for n in NAMES))
     wide = written(wide, "simhash_wide")
     classes = written(wide.groupBy(*NAMES).agg(F.min("doc_id").alias("rep")), "simhash_wide_class")
     roots = components(confirmed_edges(docs, classes.where("rep is not null"), similarity, width), "simhash_edges")

@@ -232,3 +232,45 @@ def test_order_minhash_sees_order_and_awkward_tables(spark, awkward, nothing):
     assert same(1, 2) > 50 and same(1, 3) < 5
     assert order_minhash.minhash_query(awkward).count() == awkward.count()
     assert order_minhash.minhash_query(nothing).count() == 0
+
+
+def test_exact_stage_in_blocks_and_without_matrix_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for g in range(4):
+        base = [f"w{g}_{k}" for k in range(120)]
+        for c in range(12):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 9)):
+                words[at] = f"c{g}{c}{at}"
+            rows.append((g * 12 + c, " ".join(words)))
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    want = {frozenset({i}) for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8:
+                a, b = (next(g for g in want if x in g) for x in (i, j))
+                want = (want - {a, b}) | {a | b}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = [(i, *simhash.wide_fingerprint(s)) for i, s in sets.items()]
+    classes = spark.createDataFrame(wide, "rep long, w0 long, w1 long, w2 long, w3 long")
+    assert linked(simhash.confirmed_edges(docs, classes)) == {g for g in want if len(g) > 1}
+    assert linked(simhash.confirmed_edges(docs, classes, unit_shingles=400)) == {g for g in want if len(g) > 1}
+    plain, bits = simhash.Sets(list(sets.values())), simhash.Sets(list(sets.values()))
+    plain.bits = None
+    i, j = np.triu_indices(len(sets), 1)
+    assert (plain.common(i, j) == bits.common(i, j)).all() and bits.bits is not None
+
+
+def test_views_find_pairs_at_the_limit():
+    """Recall of the walk alone over simulated pairs at 0.8: each view's budgets applied to the pair's bits."""
+    rng = np.random.default_rng(6)
+    for rows in (1000, 3_000_000, 200_000_000):
+        depth, views, budgets = simhash.similar_plan(rows)
+        found = 0
+        for _ in range(300):
+            core, rest = rng.integers(0, 2**63, 160).astype(np.uint64), rng.integers(0, 2**63, 40).astype(np.uint64)
+            a, b = (np.array([simhash.wide_fingerprint(np.unique(np.concatenate((core, r))))], np.int64).view(np.uint64) for r in (rest[:20], rest[20:]))
+            diff = lambda t: int(simhash.view_keys(a, t, depth)[0] ^ simhash.view_keys(b, t, depth)[0])
+            found += any(all((d >> (64 - k)).bit_count() <= e for k, e in budgets) for d in map(diff, range(views)))
+        assert found >= 297, (rows, found)
