@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from calibron.operators.ranking import allocate
+from calibron.operators.ranking import LOOKAHEAD, expected_fall, variance_path
 
 
 class Lane:
@@ -52,6 +52,17 @@ class Lane:
         return (i, float(v[i]), int(np.isfinite(v).sum())) if np.isfinite(v[i]) else None
 
 
+def gains(lanes: list[Lane], best: list[tuple[int, float, int] | None], askable: list[int]) -> np.ndarray:
+    """Expected fall of misordered pairs a call, of each of the models ``askable``, over all pairs at once."""
+    s, v = (np.array([getattr(x, c) for x in lanes]) for c in "sv")
+    later, allowed = variance_path(v[askable], np.array([best[m][1] for m in askable]), np.array([best[m][2] for m in askable], float))
+    at, other = np.nonzero(np.array(askable)[:, None] != np.arange(len(lanes))[None, :])
+    own = np.array(askable)[at]
+    falls = np.zeros((len(askable), len(LOOKAHEAD)))
+    np.add.at(falls, at, expected_fall(s[own] - s[other], v[own], v[other], later[at]))
+    return np.where(allowed, falls / np.array(LOOKAHEAD), -np.inf).max(axis=1)
+
+
 def run(method: str, y: np.ndarray, a: np.ndarray, b: np.ndarray, dim: np.ndarray, w: np.ndarray, calls: int, seed: int = 0, idle: float = 0.0) -> list[tuple[int, int, int, float]]:
     """(call, model, item, gain) of one allocation run over answers y (models x items, NaN: not askable).
 
@@ -65,9 +76,13 @@ def run(method: str, y: np.ndarray, a: np.ndarray, b: np.ndarray, dim: np.ndarra
     for call in range(calls):
         best = [x.best(allowed[m]) for m, x in enumerate(lanes)]
         if method == "coupled":
-            m, i, g = allocate(np.array([x.s for x in lanes]), np.array([x.v for x in lanes]), best)
-            top = max(top, g)
-            if m < 0 or g < idle * top:
+            askable = [m for m, b in enumerate(best) if b is not None]
+            if not askable:
+                break
+            worth = gains(lanes, best, askable)
+            m, g = askable[int(np.argmax(worth))], float(worth.max())
+            i, top = best[m][0], max(top, g)
+            if g < idle * top:
                 break
         else:
             m, g = call % len(lanes), 0.0
@@ -81,10 +96,10 @@ def run(method: str, y: np.ndarray, a: np.ndarray, b: np.ndarray, dim: np.ndarra
 
 
 def allocation_runs(cells: DataFrame, grid: DataFrame, calls: int) -> DataFrame:
-    """For each row of ``grid(run, method, seed)`` the allocations over ``cells(model_idx, item_idx, a, b, dim, y)``.
+    """For each row of ``grid(run, method, seed)`` and each board the allocations over ``cells(board, model_idx, item_idx, a, b, dim, y)``.
 
-    Replicates run side by side; within one every call depends on the last. The cells of a run are those of
-    its few models.
+    Boards and replicates run side by side; within one every call depends on the last. A task holds the
+    cells of one board, whose few models compete.
     """
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +109,7 @@ def allocation_runs(cells: DataFrame, grid: DataFrame, calls: int) -> DataFrame:
         w = np.where(dim == 0, 0.5 / max(1, (dim == 0).sum()), 0.5 / max(1, (dim == 1).sum()))
         y = pdf.pivot_table(index="model_idx", columns="item_idx", values="y", aggfunc="max").loc[models, bank["item_idx"]].to_numpy(float)
         rows = run(pdf["method"].iloc[0], y, bank["a"].to_numpy(), bank["b"].to_numpy(), dim, w, calls, int(pdf["seed"].iloc[0]))
-        items = bank["item_idx"].to_numpy()
-        return pd.DataFrame([(int(pdf["run"].iloc[0]), pdf["method"].iloc[0], c, int(models[m]), int(items[i]), g) for c, m, i, g in rows], columns=["run", "method", "call", "model_idx", "item_idx", "gain"])
+        items, same = bank["item_idx"].to_numpy(), (int(pdf["board"].iloc[0]), int(pdf["run"].iloc[0]), pdf["method"].iloc[0])
+        return pd.DataFrame([(*same, c, int(models[m]), int(items[i]), g) for c, m, i, g in rows], columns=["board", "run", "method", "call", "model_idx", "item_idx", "gain"])
 
-    return cells.crossJoin(grid).groupBy("run").applyInPandas(each, "run int, method string, call long, model_idx long, item_idx long, gain double")
+    return cells.crossJoin(grid).groupBy("board", "run").applyInPandas(each, "board long, run int, method string, call long, model_idx long, item_idx long, gain double")

@@ -106,11 +106,12 @@ def s2(d):
     return d.responses.where("y is not null").select("model", "item_id", (F.col("y") == 1).alias("correct"))
 
 
-@query("s13_full_models", "SELECT model FROM responses WHERE dim = 0 GROUP BY model HAVING count(*) >= (SELECT count(*) * 0.8 FROM items WHERE dim = 0)")
+@query("s13_full_models", "SELECT model FROM responses JOIN items USING (item_idx) WHERE p_size BETWEEN 24 AND 26 GROUP BY model HAVING count(y) = (SELECT count(*) FROM items WHERE p_size BETWEEN 24 AND 26)")
 def s13(d):
-    n = d.items.where("dim = 0").agg((F.count(F.lit(1)) * 0.8).alias("least"))
-    per = d.responses.where("dim = 0").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    return per.crossJoin(F.broadcast(n)).where("n >= least").select("model")
+    """Models that have answered every item of the anchors' pool."""
+    pool = d.items.where("p_size between 24 and 26").select("item_idx")
+    per = d.responses.where("y is not null").join(pool, "item_idx", "left_semi").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return per.crossJoin(pool.agg(F.count(F.lit(1)).alias("all"))).where("n = all").select("model")
 
 
 @query("s14_available_items", "SELECT r.model, count(*) AS n, sum(r.item_idx)::BIGINT AS idx_sum FROM responses r JOIN items i ON r.item_idx = i.item_idx GROUP BY 1")
@@ -333,7 +334,7 @@ def e17(d):
 def f1(d):
     from calibron.operators import sessions as X
 
-    return X.sessions(d.responses, max_items=20).select("session_id", "step", "type", "item_idx", "correct", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"))
+    return X.sessions(d.responses).select("session_id", "step", "type", "item_idx", "correct", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"))
 
 
 @query("e3_offline_curve")
@@ -345,9 +346,11 @@ def e3(d):
 
 @query("k8_curve_items_needed")
 def k8_curve(d):
+    """Per selector the first budget that reaches the target, null where none does."""
     from calibron.operators import sessions as X
 
-    return X.items_needed(X.offline_curve(d.responses, A.abilities(d.responses), (5, 10, 20, 40)), 0.5)
+    curve = X.offline_curve(d.responses, A.abilities(d.responses), (5, 10, 20, 40))
+    return curve.groupBy("selector").agg(F.min(F.when(F.col("tau") >= 0.5, F.col("budget"))).alias("needed"))
 
 
 @query("f11_rate_limited_grants")
@@ -360,9 +363,16 @@ def f11(d):
     return rate_limited(requests, d.providers)
 
 
-@query("f12_admission_order")
+ADMISSION = """WITH j AS (SELECT provider, job_id AS job, event_id AS seq, latency AS priority, cost, row_number() OVER (PARTITION BY provider ORDER BY event_id) > 8 AS waits FROM attempts JOIN sessions USING (session_id) WHERE attempt = 0),
+ q AS (SELECT *, row_number() OVER o AS place, sum(cost) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM j WINDOW o AS (PARTITION BY provider ORDER BY waits, CASE WHEN waits THEN -priority ELSE 0 END, seq)),
+ c AS (SELECT q.provider, q.job, q.place, coalesce(r.upto, 0) + least(q.place - 1, 7) * 0.05e0 AS committed FROM q LEFT JOIN q r ON r.provider = q.provider AND r.place + 8 = q.place)
+ SELECT c.provider, job, place, round(committed, 6) AS committed, coalesce(place < s.stop, true) AS started FROM c LEFT JOIN (SELECT provider, min(place) AS stop FROM c WHERE committed + 0.05e0 > 20 GROUP BY 1) s ON s.provider = c.provider"""
+
+
+@query("f12_admission_order", ADMISSION)
 def f12(d):
     from calibron.operators.policy import admitted
 
     jobs = d.attempts.where("attempt = 0").join(d.sessions.select("session_id", "provider"), "session_id")
-    return admitted(jobs.select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), F.col("latency").alias("priority"), "cost"), 8, 0.05, budget=20.0)
+    rows = admitted(jobs.select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), F.col("latency").alias("priority"), "cost"), 8, 0.05, budget=20.0)
+    return rows.withColumn("committed", F.round("committed", 6))

@@ -14,9 +14,10 @@ from calibron.operators import experiments as X
 from calibron.operators import ranking as R
 from calibron.plans.registry import query
 from calibron.sources import files
-from calibron.sources.scratch import root
+from calibron.sources.scratch import root, written
 
-ANSWERS = "SELECT model, item_idx, dim, a, b, y FROM responses WHERE item_idx % 5 = 0 AND model_idx < 40"
+# Every fifth item is the part of the bank that has been asked so far; the others are open. All models take part.
+ANSWERS = "SELECT model, item_idx, dim, a, b, y FROM responses WHERE item_idx % 5 = 0"
 POST = f"""RECURSIVE ans AS MATERIALIZED ({ANSWERS}), it(k, model, dim, theta) AS (
  SELECT 0, model, dim, 0e0 FROM (SELECT DISTINCT model, dim FROM ans) UNION ALL
  SELECT any_value(k) + 1, model, dim, greatest(-6e0, least(6e0, any_value(theta) + (sum(a * (y - p)) - any_value(theta)) / (sum(a * a * p * (1 - p)) + 1)))
@@ -31,7 +32,7 @@ POST = f"""RECURSIVE ans AS MATERIALIZED ({ANSWERS}), it(k, model, dim, theta) A
 
 
 def answers(d):
-    return d.responses.where("item_idx % 5 = 0 and model_idx < 40").select("model", "item_idx", "dim", "a", "b", "y")
+    return d.responses.where("item_idx % 5 = 0").select("model", "item_idx", "dim", "a", "b", "y")
 
 
 def pool(d):
@@ -98,24 +99,37 @@ def m24(d):
 def m4(d):
     from calibron.operators.fitting import fit_2pl
 
-    bank, _ = fit_2pl(d.responses.where("model_idx < 60").select("model", "item_idx", "y"), rounds=3)
+    bank, _ = fit_2pl(d.responses.select("model", "item_idx", "y"))
     return bank.select("item_idx", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
 @query("m16_expected_misordered")
 def m16(d):
-    import pandas as pd
+    rows = written(R.scores(pool(d)), "scores")
+    return R.expected_misordered(rows).join(R.expected_misordered(rows, 0.02).withColumnRenamed("misordered", "resolvable"), "n_models")
 
-    rows = R.scores(pool(d)).withColumn("one", F.lit(1))
-    run = lambda pdf: pd.DataFrame({"n_models": [len(pdf)], "misordered": [R.expected_discordant(pdf["s"].to_numpy(), pdf["v"].to_numpy())], "resolvable": [R.expected_discordant(pdf["s"].to_numpy(), pdf["v"].to_numpy(), 0.02)]})
-    return rows.groupBy("one").applyInPandas(run, "n_models long, misordered double, resolvable double")
 
+BRANCHES = """SELECT ev.session_id, s.provider, ev.step, v.correct, CASE WHEN event_type <> 'error' THEN 'm' || CAST(user_id AS STRING) || '/i' || CAST((event_id + v.correct * 13) % 97 AS STRING) END AS key
+ FROM ev JOIN sessions s USING (session_id) CROSS JOIN (VALUES (1), (0)) v(correct)"""
+SPECULATION = f"""WITH b AS ({BRANCHES}), j AS (SELECT b.*, CASE WHEN b.key IS NULL THEN 'stop' WHEN f.key IS NOT NULL THEN 'inflight' WHEN c.key IS NOT NULL THEN 'cached' WHEN r.room < 0.3e0 THEN 'headroom' END AS why, coalesce(p.paid, 0) AS paid
+  FROM b LEFT JOIN (SELECT DISTINCT model || '/' || item_id AS key FROM attempts WHERE status = 'transient') f ON f.key = b.key LEFT JOIN cache c ON c.key = b.key
+  LEFT JOIN (SELECT provider, 1 - count(*) FILTER (WHERE status = 'running') / count(*)::DOUBLE AS room FROM sessions GROUP BY 1) r ON r.provider = b.provider
+  LEFT JOIN (SELECT session_id, sum(cost) AS paid FROM log WHERE cached = 0 GROUP BY 1) p ON p.session_id = b.session_id),
+ k AS (SELECT *, count(*) FILTER (WHERE why IS NULL) OVER (PARTITION BY session_id ORDER BY step, correct DESC ROWS UNBOUNDED PRECEDING) * 0.005e0 AS ahead FROM j)
+ SELECT session_id, step, correct, key, coalesce(why, CASE WHEN ahead > 0.2e0 * (paid + ahead) THEN 'cap' ELSE 'made' END) AS outcome FROM k"""
 
-@query("f13_speculative_branches", "SELECT session_id, step, correct, key FROM (SELECT session_id, step, v.correct, 'm' || CAST(user_id AS STRING) || '/i' || CAST((event_id + v.correct * 13) % 97 AS STRING) AS key FROM ev CROSS JOIN (VALUES (1), (0)) v(correct) WHERE event_id % 3 = 0) b WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.key = b.key)")
+
+@query("f13_speculative_branches", SPECULATION)
 def f13(d):
-    both = d.ev.where("event_id % 3 = 0").withColumn("correct", F.explode(F.array(F.lit(1), F.lit(0))))
-    keyed = both.select("session_id", "step", "correct", F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit("/i"), ((F.col("event_id") + F.col("correct") * 13) % 97).cast("string")).alias("key"))
-    return keyed.join(d.cache.select("key"), "key", "left_anti").select("session_id", "step", "correct", "key")
+    from calibron.operators.policy import speculation
+
+    branches = d.ev.join(d.sessions.select("session_id", "provider"), "session_id").withColumn("correct", F.explode(F.array(F.lit(1), F.lit(0))))
+    key = F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit("/i"), ((F.col("event_id") + F.col("correct") * 13) % 97).cast("string"))
+    branches = branches.select("session_id", "provider", "step", "correct", F.when(F.col("event_type") != "error", key).alias("key"))
+    flying = d.attempts.where("status = 'transient'").select(F.concat_ws("/", "model", "item_id").alias("key"))
+    free = d.sessions.groupBy("provider").agg((1 - F.count_if(F.col("status") == "running") / F.count(F.lit(1))).alias("room"))
+    spent = d.log.where("cached = 0").groupBy("session_id").agg(F.sum("cost").alias("paid"))
+    return speculation(branches, flying, d.cache.select("key"), free, spent, 0.005)
 
 
 @query("f2_failures_isolated", "SELECT status, count(*) AS n FROM sessions GROUP BY 1")
@@ -135,18 +149,21 @@ def f9(d):
     return d.attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("attempts"), F.when(hit("ok"), "ok").when(hit("fatal"), "fatal").otherwise("transient").alias("outcome"))
 
 
+def boards(d):
+    """All models, in leaderboards of eight that compete for calls among themselves."""
+    return d.responses.select(F.expr("model_idx div 8").alias("board"), "model_idx", "item_idx", "a", "b", "dim", "y")
+
+
 @query("f15_coupled_allocator")
 def f15(d):
-    cells = d.responses.where("model_idx < 5").select("model_idx", "item_idx", "a", "b", "dim", "y")
     grid = d.spark.createDataFrame([(0, "coupled", 0)], "run int, method string, seed int")
-    return X.allocation_runs(cells, grid, 30).select("run", "call", "model_idx", "item_idx", F.round("gain", 9).alias("gain"))
+    return X.allocation_runs(boards(d), grid, 30).select("board", "run", "call", "model_idx", "item_idx", F.round("gain", 9).alias("gain"))
 
 
 @query("e9_ranking_runs")
 def e9(d):
-    cells = d.responses.where("model_idx < 5").select("model_idx", "item_idx", "a", "b", "dim", "y")
     grid = d.spark.createDataFrame([(0, "random", 1), (1, "random", 2), (2, "independent", 0), (3, "coupled", 0)], "run int, method string, seed int")
-    return X.allocation_runs(cells, grid, 20).groupBy("run", "method", "model_idx").agg(F.count(F.lit(1)).alias("calls"))
+    return X.allocation_runs(boards(d), grid, 20).groupBy("board", "run", "method", "model_idx").agg(F.count(F.lit(1)).alias("calls"))
 
 
 @query("f18_scaled_providers", "SELECT provider, rpm * 4 AS rpm, lat_lo / 4 AS lat_lo, lat_hi / 4 AS lat_hi FROM providers")

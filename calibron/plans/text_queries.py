@@ -8,6 +8,7 @@ from calibron.operators import grading as G
 from calibron.operators import ranking as R
 from calibron.operators import spatial as S
 from calibron.plans.registry import query
+from calibron.sources.scratch import written
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"
 WORDS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty']"
@@ -132,27 +133,11 @@ def x10(d):
     return probes.join(cubes(d), ["scene", "x", "y", "z"], "left_semi")
 
 
-def _pool(d):
-    answers = d.responses.where("item_idx % 5 = 0 and model_idx < 40").select("model", "item_idx", "dim", "a", "b", "y")
-    return R.pool_rows(answers, R.family_weights(d.items.select("item_idx", "a", "b", "dim")), answers)
-
-
 @query("m18_next_allocation")
 def m18(d):
-    """The next call over all models: one grouped step on a row for each model."""
-    import numpy as np
-    import pandas as pd
-
-    pool = _pool(d)
-    v = R.variances_after(pool)
-    best = v.groupBy("model").agg(F.min(F.struct("v_new", "item_idx")).alias("b"), F.count(F.lit(1)).alias("n_open"))
-    rows = R.scores(pool).join(best, "model", "left").select(F.lit(1).alias("one"), "model", "s", "v", "b.item_idx", "b.v_new", "n_open")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("model").reset_index(drop=True)
-        each = [None if np.isnan(r.v_new) else (int(r.item_idx), r.v_new, int(r.n_open)) for r in pdf.itertuples()]
-        m, item, g = R.allocate(pdf["s"].to_numpy(), pdf["v"].to_numpy(), each)
-        total = R.expected_discordant(pdf["s"].to_numpy(), pdf["v"].to_numpy())
-        return pd.DataFrame({"model": [pdf["model"][m] if m >= 0 else None], "item_idx": [item], "gain": [g], "misordered": [total]})
-
-    return rows.groupBy("one").applyInPandas(run, "model string, item_idx long, gain double, misordered double")
+    """The next call over all models, and the misordered pairs expected before it."""
+    answers = d.responses.where("item_idx % 5 = 0").select("model", "item_idx", "dim", "a", "b", "y")  # items asked so far; the others are open
+    pool = written(R.pool_rows(answers, R.family_weights(d.items.select("item_idx", "a", "b", "dim")), answers), "pool")
+    best = R.variances_after(pool).groupBy("model").agg(F.min(F.struct("v_new", "item_idx")).alias("b"), F.count(F.lit(1)).alias("n_open"))
+    rows = written(R.scores(pool).join(best, "model", "left").select("model", "s", "v", F.col("b.item_idx").cast("long").alias("item_idx"), "b.v_new", "n_open"), "lanes")
+    return R.next_call(rows).crossJoin(R.expected_misordered(rows).select("misordered"))

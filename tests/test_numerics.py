@@ -1,5 +1,7 @@
 """Abilities, fits, rankings and sessions against numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,16 +79,51 @@ def test_scores_and_variances_equal_full_matrices(spark):
             assert after[m, i] == pytest.approx(x, rel=1e-6)
 
 
-def test_allocation_prefers_the_open_pair_and_breaks_ties_low():
-    s, v = np.array([0.50, 0.52, 0.90]), np.array([1e-3, 1e-3, 1e-3])
-    m, item, g = ranking.allocate(s, v, [(3, 8e-4, 10), (4, 8e-4, 10), (5, 8e-4, 10)])
-    assert m in (0, 1) and g > 0 and item == (3, 4)[m]
-    assert ranking.allocate(np.zeros(2), np.full(2, 1e-3), [(1, 5e-4, 4), (1, 5e-4, 4)])[0] == 0
-    assert ranking.allocate(s, v, [None, None, None])[0] == -1
-    assert ranking.expected_discordant(s, v, 0.05) < ranking.expected_discordant(s, v)
-    near = ranking.gain(0, np.array([0.50, 0.52]), np.array([1e-4, 1e-4]), np.array([2e-5]))
-    far = ranking.gain(0, np.array([0.50, 0.90]), np.array([1e-4, 1e-4]), np.array([2e-5]))
-    assert near[0] > far[0] >= -1e-12
+LANES = "model string, s double, v double, item_idx long, v_new double, n_open long"
+
+
+def brute_gain(rows, m, zone=0.0):
+    """The largest fall a call by plain loops over others, lookahead and nodes."""
+    x, w = np.polynomial.hermite_e.hermegauss(24)
+    phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    wrong = lambda gap, var: phi(-(abs(gap) + zone) / math.sqrt(var))
+    _, s, v, item, v_new, n_open = rows[m]
+    if item is None:
+        return None
+    worth = []
+    for r in (1, 2, 4, 8, 16, 32, 64):
+        if r <= n_open:
+            after = 1 / (1 / v + r * max(0.0, 1 / v_new - 1 / v))
+            fall = 0.0
+            for k, (_, s2, v2, *_) in enumerate(rows):
+                if k != m:
+                    fall += wrong(s - s2, v + v2) - sum(wk * wrong(s - s2 + math.sqrt(v - after) * xk, after + v2) for xk, wk in zip(x, w / w.sum(), strict=True))
+            worth.append(fall / r)
+    return max(worth)
+
+
+@pytest.mark.parametrize("side", [512, 3])
+def test_next_call_equals_plain_loops(spark, monkeypatch, side):
+    monkeypatch.setattr(ranking, "SIDE", side)
+    rng = np.random.default_rng(8)
+    rows = [(f"m{k:02}", float(s), float(v), None if k == 4 else k + 10, float(v * 0.7), int(n)) for k, (s, v, n) in enumerate(zip(rng.uniform(0.4, 0.7, 9), rng.uniform(2e-4, 2e-3, 9), rng.integers(1, 70, 9), strict=True))]
+    table = spark.createDataFrame(rows, LANES)
+    got = {r.model: r.gain for r in ranking.call_gains(table, 0.01).collect()}
+    want = {r[0]: brute_gain(rows, m, 0.01) for m, r in enumerate(rows)}
+    assert got == {m: pytest.approx(g, rel=1e-9) for m, g in want.items() if g is not None}
+    best = ranking.next_call(table, 0.01).collect()
+    assert len(best) == 1 and best[0].model == max(got, key=got.get)
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0]]
+    total = sum(0.5 * math.erfc((abs(a[1] - b[1]) + 0.01) / math.sqrt(2 * (a[2] + b[2]))) for a, b in pairs)
+    one = ranking.expected_misordered(table, 0.01).collect()[0]
+    assert (one.n_models, one.misordered) == (9, pytest.approx(total, rel=1e-9))
+
+
+def test_equal_gains_go_to_the_smallest_model_and_nothing_open_gives_no_row(spark):
+    twins = [("b", 0.5, 1e-3, 7, 5e-4, 4), ("a", 0.5, 1e-3, 3, 5e-4, 4)]
+    assert ranking.next_call(spark.createDataFrame(twins, LANES)).collect()[0][:2] == ("a", 3)
+    closed = [(m, s, v, None, None, 0) for m, s, v, *_ in twins]
+    assert ranking.next_call(spark.createDataFrame(closed, LANES)).count() == 0
 
 
 def test_fit_recovers_a_synthetic_world(spark):
@@ -113,9 +150,9 @@ def test_sessions_stop_select_and_replay(spark):
     first = [r.item_idx for r in sessions.sessions(cells, max_items=1).where("type = 'item_selected'").collect()]
     for m, i in enumerate(sorted(first)):
         assert i in range(40)
-    with pytest.raises(ValueError, match="no selectable"):
+    with pytest.raises(ValueError, match="no open item"):
         sessions.pick("max_info", 0.0, np.array([], int), np.array([]), np.array([]), "s", 0)
-    with pytest.raises(ValueError, match="unknown selector"):
+    with pytest.raises(ValueError, match="selector is one of"):
         sessions.pick("best", 0.0, np.array([1]), np.array([1.0]), np.array([0.0]), "s", 0)
 
 
