@@ -106,10 +106,10 @@ def s2(d):
     return d.responses.where("y is not null").select("model", "item_id", (F.col("y") == 1).alias("correct"))
 
 
-@query("s13_full_models", "SELECT model FROM responses JOIN items USING (item_idx) WHERE p_size BETWEEN 24 AND 26 GROUP BY model HAVING count(y) = (SELECT count(*) FROM items WHERE p_size BETWEEN 24 AND 26)")
+@query("s13_full_models", "SELECT model FROM responses JOIN items USING (item_idx) WHERE p_size = 25 GROUP BY model HAVING count(y) = (SELECT count(*) FROM items WHERE p_size = 25)")
 def s13(d):
     """Models that have answered every item of the anchors' pool."""
-    pool = d.items.where("p_size between 24 and 26").select("item_idx")
+    pool = d.items.where("p_size = 25").select("item_idx")
     per = d.responses.where("y is not null").join(pool, "item_idx", "left_semi").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     return per.crossJoin(pool.agg(F.count(F.lit(1)).alias("all"))).where("n = all").select("model")
 
