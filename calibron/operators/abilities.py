@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibron.functions.irt import information, map_ability
+from calibron.sources.scratch import written
 
 
 def abilities(cells: DataFrame, prior_sd: float = 1.0) -> DataFrame:
@@ -20,8 +21,10 @@ def abilities(cells: DataFrame, prior_sd: float = 1.0) -> DataFrame:
 def kendall_tau(pairs_of: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """One row with tau-b of two columns over all pairs of rows (null if a side is constant).
 
-    The pairs are of entities such as models, not of their data; the table is aggregated before.
+    The pairs are of entities such as models, not of their data; the table is aggregated and written
+    before, so that both sides of the join read it rather than compute it.
     """
+    pairs_of = written(pairs_of.select(key, x, y), "ranked")
     left = pairs_of.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
     right = pairs_of.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
     dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))

@@ -49,8 +49,8 @@ def k1(d):
     used = d.responses.where("item_idx % 4 = 0")
     open_items = state.crossJoin(F.broadcast(d.items)).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")  # the bank is a dimension table
     info = F.round(irt.information(F.col("theta"), F.col("a"), F.col("b")), 9)
-    k = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("info"), "item_idx"))
-    return open_items.withColumn("info", info).withColumn("k", k).where("k = 1").select("model", "item_idx", "item_id")
+    best = open_items.groupBy("model").agg(F.min(F.struct((-info).alias("minus"), "item_idx", "item_id")).alias("b"))
+    return best.select("model", "b.item_idx", "b.item_id")
 
 
 @query("m1_probability_information", "SELECT item_id, t.theta, round(1 / (1 + exp(-a * (t.theta - b))), 9) AS p, round(a * a * (1 / (1 + exp(-a * (t.theta - b)))) * (1 - 1 / (1 + exp(-a * (t.theta - b)))), 9) AS info FROM items CROSS JOIN (VALUES (-2e0), (0e0), (1.5e0)) t(theta)")
