@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BOUND = 6.0
+#: Newton stops after a step shorter than this.
+SMALL = 1e-9
 
 
 def sigmoid(z: Column) -> Column:
@@ -36,13 +38,18 @@ def _sums(cells: Column, theta: Column, offset: bool) -> Column:
 
 def map_ability(cells: Column, prior_sd: float = 1.0, steps: int = 25, offset: bool = False) -> Column:
     """struct(theta, se): the MAP ability of an array of (a, b, y) under N(0, prior_sd), by Newton steps
-    from 0, clipped to +-6. An empty array gives (0, prior_sd)."""
+    from 0, clipped to +-6. An empty array gives (0, prior_sd). A step after one of less than ``SMALL`` costs nothing."""
     w = 1 / prior_sd**2
 
-    def step(th: Column, _: Column) -> Column:
+    def move(th: Column) -> Column:
         return F.transform(F.array(_sums(cells, th, offset)), lambda s: F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), th + (s["g"] - th * w) / (s["i"] + w))))[0]
 
-    theta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
+    def step(now: Column, _: Column) -> Column:
+        moved = F.transform(F.array(move(now["theta"])), lambda th: F.struct(th.alias("theta"), (F.abs(th - now["theta"]) < SMALL).alias("still")))[0]
+        return F.when(now["still"], now).otherwise(moved)
+
+    start = F.struct(F.lit(0.0).alias("theta"), F.lit(False).alias("still"))
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda now: now["theta"])
     return F.transform(F.array(theta), lambda th: F.struct(th.alias("theta"), (1 / F.sqrt(_sums(cells, th, offset)["i"] + w)).alias("se")))[0]
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibron.functions.irt import information, map_ability
+from calibron.operators.policy import running
 from calibron.sources.scratch import written
 
 
@@ -34,12 +35,27 @@ def kendall_tau(pairs_of: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def next_items(state: DataFrame, bank: DataFrame, used: DataFrame) -> DataFrame:
     """For each (model, theta) of ``state`` the unused item of largest information; ties go to the lowest item_idx."""
-    open_items = state.crossJoin(F.broadcast(bank)).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
+    open_items = state.crossJoin(bank).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
     info = information(F.col("theta"), F.col("a"), F.col("b"))
-    ranked = open_items.withColumn("info", info).withColumn("k", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("info"), "item_idx")))
-    return ranked.where("k = 1").drop("k")
+    best = open_items.groupBy("model").agg(F.min(F.struct((-info).alias("minus"), "item_idx")).alias("b"))
+    return best.select("model", "b.item_idx", (-F.col("b.minus")).alias("info"))
+
+
+def placed(board: DataFrame, *order: str) -> DataFrame:
+    """``board`` with place (1, 2, ...) in the order of the columns ``order``, which must tell rows apart.
+
+    Rows are range-partitioned and numbered within their part; no task sorts them all.
+    """
+    return running(board.withColumn("everything", F.lit(0)), "everything", list(order), "everything").drop("everything", "upto")
+
+
+def place_among(board: DataFrame, score: str, anchor: Column) -> DataFrame:
+    """Rank 1 + number of strictly better anchors, by running counts of anchors over the distinct scores."""
+    each = board.groupBy(score).agg(F.count_if(anchor).alias("here")).withColumn("worse", -F.col(score)).withColumn("everything", F.lit(0))
+    ranks = running(each, "everything", ["worse"], "here").select(F.col(score).alias("scored"), (F.col("upto") - F.col("here") + 1).alias("rank"))
+    return board.join(ranks, F.col(score) == F.col("scored")).drop("scored")
 
 
 def placement_ranks(board: DataFrame, score: str) -> DataFrame:
-    """Rank 1 + number of strictly better rows, without a window over all rows' ties being broken."""
-    return board.withColumn("rank", F.rank().over(Window.orderBy(F.desc(score))))
+    """Rank 1 + number of strictly better rows."""
+    return place_among(board, score, F.lit(True))

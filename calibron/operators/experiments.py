@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from calibron.operators.abilities import placed
 from calibron.operators.ranking import LOOKAHEAD, expected_fall, variance_path
 
 
@@ -95,7 +97,14 @@ def run(method: str, y: np.ndarray, a: np.ndarray, b: np.ndarray, dim: np.ndarra
     return out
 
 
-def allocation_runs(cells: DataFrame, grid: DataFrame, calls: int) -> DataFrame:
+def model_split(models: DataFrame, train_frac: float, seed: int) -> DataFrame:
+    """(model, part): the given share of ``models(model)`` is for training, in the order of a hash of seed and name."""
+    hashed = models.select("model", F.md5(F.concat(F.lit(f"{seed}/"), "model").cast("binary")).alias("drawn"))
+    rows = placed(hashed, "drawn", "model").crossJoin(models.agg(F.count(F.lit(1)).alias("n")))
+    return rows.select("model", F.when(F.col("place") <= F.round(F.lit(train_frac) * F.col("n")), "train").otherwise("test").alias("part"))
+
+
+def allocation_runs(cells: DataFrame, grid: DataFrame, calls: int, idle: float = 0.0) -> DataFrame:
     """For each row of ``grid(run, method, seed)`` and each board the allocations over ``cells(board, model_idx, item_idx, a, b, dim, y)``.
 
     Boards and replicates run side by side; within one every call depends on the last. A task holds the
@@ -108,7 +117,7 @@ def allocation_runs(cells: DataFrame, grid: DataFrame, calls: int) -> DataFrame:
         dim = bank["dim"].to_numpy().astype(int)
         w = np.where(dim == 0, 0.5 / max(1, (dim == 0).sum()), 0.5 / max(1, (dim == 1).sum()))
         y = pdf.pivot_table(index="model_idx", columns="item_idx", values="y", aggfunc="max").loc[models, bank["item_idx"]].to_numpy(float)
-        rows = run(pdf["method"].iloc[0], y, bank["a"].to_numpy(), bank["b"].to_numpy(), dim, w, calls, int(pdf["seed"].iloc[0]))
+        rows = run(pdf["method"].iloc[0], y, bank["a"].to_numpy(), bank["b"].to_numpy(), dim, w, calls, int(pdf["seed"].iloc[0]), idle)
         items, same = bank["item_idx"].to_numpy(), (int(pdf["board"].iloc[0]), int(pdf["run"].iloc[0]), pdf["method"].iloc[0])
         return pd.DataFrame([(*same, c, int(models[m]), int(items[i]), g) for c, m, i, g in rows], columns=["board", "run", "method", "call", "model_idx", "item_idx", "gain"])
 

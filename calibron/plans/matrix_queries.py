@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibron.functions import irt
 from calibron.operators import abilities as A
 from calibron.plans.registry import query
 
+def newton(cells: str) -> str:
+    """``th(model, theta)``: the Newton steps of NEWTON over other cells (model, a, b, y)."""
+    return NEWTON.replace("SELECT model, a, b, y FROM responses", cells)
+
+
 NEWTON = """RECURSIVE cells AS MATERIALIZED (SELECT model, a, b, y FROM responses), it(k, model, theta) AS (
  SELECT 0, model, 0e0 FROM (SELECT DISTINCT model FROM cells) UNION ALL
  SELECT any_value(k) + 1, model, greatest(-6e0, least(6e0, any_value(theta) + (sum(a * (y - p)) - any_value(theta)) / (sum(a * a * p * (1 - p)) + 1)))
@@ -19,7 +23,8 @@ ABILITY = f"{NEWTON}, ability AS (SELECT c.model, count(*) AS n_items, avg(c.y)
 
 def leaderboard(d):
     board = A.abilities(d.responses).withColumns({c: F.round(c, 6) for c in ("accuracy", "theta", "se")})
-    return board.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("theta"), "model")).cast("long"))
+    placed = A.placed(board.withColumn("worse", -F.col("theta")), "worse", "model")
+    return placed.withColumn("rank", F.col("place").cast("long")).drop("worse", "place")
 
 
 @query("k4_leaderboard", f"WITH {ABILITY} SELECT model, n_items, round(accuracy, 6) AS accuracy, round(theta, 6) AS theta, round(se, 6) AS se, row_number() OVER (ORDER BY round(theta, 6) DESC, model) AS rank FROM ability")
@@ -47,7 +52,7 @@ def e1(d):
 def k1(d):
     state = A.abilities(d.responses).select("model", F.round("theta", 6).alias("theta"))
     used = d.responses.where("item_idx % 4 = 0")
-    open_items = state.crossJoin(F.broadcast(d.items)).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")  # the bank is a dimension table
+    open_items = state.crossJoin(d.items).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
     info = F.round(irt.information(F.col("theta"), F.col("a"), F.col("b")), 9)
     best = open_items.groupBy("model").agg(F.min(F.struct((-info).alias("minus"), "item_idx", "item_id")).alias("b"))
     return best.select("model", "b.item_idx", "b.item_id")
@@ -156,10 +161,11 @@ def p6(d):
     return d.responses.groupBy("model").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n)).select("model", (F.col("n") == F.col("all")).alias("complete"))
 
 
-@query("p8_stop_rule", "SELECT model, n >= least(100, 300) OR (n >= 5 AND se < 0.3) AS stop FROM (SELECT model, count(*) AS n, 1 / sqrt(1 + count(*) / 25e0) AS se FROM responses WHERE item_idx < 40 + model_idx % 100 * 2 GROUP BY model)")
+@query("p8_stop_rule", f"WITH {ABILITY} SELECT model, n_items >= least(100, (SELECT count(*) FROM items)) OR (n_items >= 5 AND round(se, 6) < 0.3) AS stop FROM ability")
 def p8(d):
-    per = d.responses.where("item_idx < 40 + model_idx % 100 * 2").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    return per.select("model", irt.stops(F.col("n"), F.lit(300), 1 / F.sqrt(1 + F.col("n") / 25)).alias("stop"))
+    """Whether each model's session would stop after all its answers."""
+    pool = d.items.agg(F.count(F.lit(1)).alias("pool"))
+    return A.abilities(d.responses).crossJoin(pool).select("model", irt.stops(F.col("n_items"), F.col("pool"), F.round("se", 6)).alias("stop"))
 
 
 @query("j4_item_indices", "SELECT r.model, i.item_idx, i.p_size FROM responses r JOIN items i ON r.item_id = i.item_id WHERE r.y = 1")
@@ -258,16 +264,40 @@ def a19(d):
 
 @query("a21_rank_error", f"SELECT round(avg(abs(rx - rz)), 6) AS error FROM (SELECT row_number() OVER (ORDER BY x, model) AS rx, row_number() OVER (ORDER BY z, model) AS rz FROM ({PAIRED}))")
 def a21(d):
-    rank = lambda c: F.row_number().over(Window.orderBy(c, "model"))
-    return paired(d).select(F.abs(rank("x") - rank("z")).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"))
+    by_x = A.placed(paired(d).select("model", "x", "z"), "x", "model").withColumnRenamed("place", "rx")
+    both = A.placed(by_x, "z", "model").withColumnRenamed("place", "rz")
+    return both.select(F.abs(F.col("rx") - F.col("rz")).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"))
 
 
-@query("a22_log_loss", "SELECT model_idx % 5 AS fold, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END), 6) AS accuracy FROM (SELECT model_idx, y, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-a * (0.3e0 - b))))) AS p FROM responses) GROUP BY 1")
-def a22(d):
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), irt.prob(F.lit(0.3), F.col("a"), F.col("b"))))
-    rows = d.responses.select((F.col("model_idx") % 5).alias("fold"), "y", p.alias("p"))
+FOLDS = newton("SELECT CAST(v.fold AS STRING) || '|' || model AS model, a, b, y FROM responses CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(fold) WHERE item_idx % 5 <> v.fold")
+HELD_OUT = f"""{FOLDS}, p AS (SELECT r.item_idx % 5 AS fold, r.y, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-r.a * (th.theta - r.b))))) AS p FROM responses r JOIN th ON th.model = CAST(r.item_idx % 5 AS STRING) || '|' || r.model),
+ folds AS (SELECT fold, count(*) AS n, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END) AS accuracy FROM p GROUP BY 1)"""
+
+
+def held_out(d):
+    """(fold, n, loss, accuracy): answers of every fifth item, predicted by abilities from the other four folds."""
+    fold = F.col("item_idx") % 5
+    name = lambda f: F.concat_ws("|", f.cast("string"), "model")
+    seen = d.responses.withColumn("fold", F.explode(F.array(*map(F.lit, range(5))))).where(fold != F.col("fold"))
+    theta = A.abilities(seen.select(name(F.col("fold")).alias("model"), "a", "b", "y")).select(F.col("model").alias("fit"), "theta")
+    rows = d.responses.withColumn("fit", name(fold)).join(theta, "fit")
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), irt.prob(F.col("theta"), F.col("a"), F.col("b"))))
+    rows = rows.select(fold.alias("fold"), "y", p.alias("p"))
     loss = -(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))
-    return rows.groupBy("fold").agg(F.round(F.avg(loss), 6).alias("loss"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")), 6).alias("accuracy"))
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"))
+
+
+@query("a22_log_loss", f"WITH {HELD_OUT} SELECT round(sum(n * loss) / sum(n), 6) AS loss, round(sum(n * accuracy) / sum(n), 6) AS accuracy FROM folds")
+def a22(d):
+    """Held-out loss and accuracy, weighted by the sizes of the folds."""
+    mean = lambda c: F.round(F.sum(F.col("n") * F.col(c)) / F.sum("n"), 6).alias(c)
+    return held_out(d).agg(mean("loss"), mean("accuracy"))
+
+
+@query("e7_cross_validation", f"WITH {HELD_OUT} SELECT fold, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM folds")
+def e7(d):
+    """Five-fold cross-validation by cell; abilities are fitted anew for each fold."""
+    return held_out(d).select("fold", "n", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("a23_constant_loss", "SELECT round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) AS loss FROM (SELECT avg(y) AS p FROM responses)")
@@ -279,7 +309,9 @@ def a23(d):
 @query("a25_median_gap", "SELECT round(quantile_cont(gap, 0.5), 6) AS gap FROM (SELECT acc - lag(acc) OVER (ORDER BY acc, model) AS gap FROM (SELECT model, avg(y) AS acc FROM responses GROUP BY 1))")
 def a25(d):
     acc = d.responses.groupBy("model").agg(F.avg("y").alias("acc"))
-    return acc.select((F.col("acc") - F.lag("acc").over(Window.orderBy("acc", "model"))).alias("gap")).agg(F.round(F.percentile("gap", 0.5), 6).alias("gap"))
+    rows = A.placed(acc, "acc", "model").select("place", "acc")
+    before = rows.select((F.col("place") + 1).alias("place"), F.col("acc").alias("below"))
+    return rows.join(before, "place").select((F.col("acc") - F.col("below")).alias("gap")).agg(F.round(F.percentile("gap", 0.5), 6).alias("gap"))
 
 
 @query("a26_mean_covariance", f"SELECT round(avg(x), 6) AS mx, round(avg(z), 6) AS mz, round(var_samp(x), 6) AS vx, round(covar_samp(x, z), 6) AS cxz, round(var_samp(z), 6) AS vz FROM ({PAIRED})")
@@ -301,7 +333,7 @@ def k5(d):
 @query("k6_dense_positions", "SELECT model, CAST(row_number() OVER (ORDER BY acc, model) - 1 AS BIGINT) AS place FROM (SELECT model, round(avg(y), 6) AS acc FROM responses GROUP BY 1)")
 def k6(d):
     acc = d.responses.groupBy("model").agg(F.round(F.avg("y"), 6).alias("acc"))
-    return acc.select("model", (F.row_number().over(Window.orderBy("acc", "model")) - 1).cast("long").alias("place"))
+    return A.placed(acc, "acc", "model").select("model", (F.col("place") - 1).cast("long").alias("place"))
 
 
 @query("k8_items_needed", "SELECT subtask, min(p_size)::BIGINT AS needed FROM (SELECT i.subtask, i.p_size, avg(y) AS acc FROM responses r JOIN items i USING (item_idx) GROUP BY 1, 2) WHERE acc >= 0.5 GROUP BY 1")

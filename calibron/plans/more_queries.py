@@ -60,39 +60,50 @@ def k2(d):
     return R.variances_after(pool(d)).withColumn("k", k).where("k = 1").select("model", "item_idx")
 
 
-@query("m20_pool_score_sd", "SELECT round(sqrt(sum(w * w * CASE WHEN dim = 0 THEN 0.4e0 * 0.6e0 ELSE 0.8e0 * 0.2e0 END)), 9) AS sd FROM (SELECT dim, 0.5e0 / count(*) OVER (PARTITION BY dim) AS w FROM items)")
+@query("m20_pool_score_sd", "SELECT round(sqrt(sum(ww * acc * (1 - acc))), 9) AS sd FROM (SELECT dim, sum(w * w) AS ww FROM (SELECT dim, 0.5e0 / count(*) OVER (PARTITION BY dim) AS w FROM items) GROUP BY 1) JOIN (SELECT dim, avg(y) AS acc FROM responses GROUP BY 1) USING (dim)")
 def m20(d):
-    w = R.family_weights(d.items)
-    spread = F.when(F.col("dim") == 0, F.lit(0.4 * 0.6)).otherwise(F.lit(0.8 * 0.2))
-    return w.agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w") * spread)), 9).alias("sd"))
+    """How far a full score would move on a fresh draw of items, at the measured accuracies of both families."""
+    weight = R.family_weights(d.items).groupBy("dim").agg(F.sum(F.col("w") * F.col("w")).alias("ww"))
+    acc = d.responses.groupBy("dim").agg(F.avg("y").alias("acc"))
+    return weight.join(acc, "dim").agg(F.round(F.sqrt(F.sum(F.col("ww") * F.col("acc") * (1 - F.col("acc")))), 9).alias("sd"))
 
 
-CONTENT = "SELECT m.model, g.subtask, round(g.share * (m.n + 1) - coalesce(c.n, 0), 9) AS deficit FROM (SELECT model, count(*) AS n FROM responses WHERE item_idx % 5 = 0 GROUP BY 1) m CROSS JOIN (SELECT subtask, count(*) / (SELECT count(*) FROM items)::DOUBLE AS share FROM items GROUP BY 1) g LEFT JOIN (SELECT model, subtask, count(*) AS n FROM responses WHERE item_idx % 5 = 0 GROUP BY 1, 2) c ON c.model = m.model AND c.subtask = g.subtask"
+CONTENT = """SELECT m.model, g.subtask, round(g.weight / t.weight * (m.n + 1) - coalesce(c.got, 0), 9) AS deficit
+ FROM (SELECT model, count(*) AS n FROM responses WHERE item_idx % 5 = 0 GROUP BY 1) m
+ CROSS JOIN (SELECT subtask, sum(w) AS weight, count(*) AS size FROM (SELECT subtask, 0.5e0 / count(*) OVER (PARTITION BY dim) AS w FROM items) GROUP BY 1) g
+ CROSS JOIN (SELECT sum(w) AS weight FROM (SELECT 0.5e0 / count(*) OVER (PARTITION BY dim) AS w FROM items)) t
+ LEFT JOIN (SELECT model, subtask, count(*) AS got FROM responses WHERE item_idx % 5 = 0 GROUP BY 1, 2) c ON c.model = m.model AND c.subtask = g.subtask
+ WHERE g.size > coalesce(c.got, 0)"""
 
 
 @query("m21_content_group", f"SELECT model, subtask FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY deficit DESC, subtask) AS k FROM ({CONTENT})) WHERE k = 1")
 def m21(d):
-    """The most under-sampled open group of each model; every group has open items here."""
+    """Each model's group with the largest lag behind its share of the score weight, among groups with an open item."""
     asked = d.responses.where("item_idx % 5 = 0")
-    n = asked.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    per = asked.groupBy("model", "subtask").agg(F.count(F.lit(1)).alias("got"))
-    total = d.items.agg(F.count(F.lit(1)).alias("all"))
-    share = d.items.groupBy("subtask").agg(F.count(F.lit(1)).alias("size")).crossJoin(F.broadcast(total)).select("subtask", (F.col("size") / F.col("all")).alias("share"))
-    rows = n.crossJoin(F.broadcast(share)).join(per, ["model", "subtask"], "left")
-    deficit = F.round(F.col("share") * (F.col("n") + 1) - F.coalesce("got", F.lit(0)), 9)
-    k = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("deficit"), "subtask"))
-    return rows.withColumn("deficit", deficit).withColumn("k", k).where("k = 1").select("model", "subtask")
+    weights = R.family_weights(d.items)
+    return R.content_group(asked, weights).select("model", "subtask")
 
 
-@query("m27_parameter_range", "SELECT round(min(a), 6) AS a_lo, round(max(a), 6) AS a_hi, round(min(b), 6) AS b_lo, round(max(b), 6) AS b_hi FROM items")
+@query("m27_parameter_range", "SELECT round(min(a), 6) AS a_lo, round(max(a), 6) AS a_hi, round(min(b), 6) AS b_lo, round(max(b), 6) AS b_hi, round(corr(b, 1 - acc), 6) AS hardness FROM items LEFT JOIN (SELECT item_idx, avg(y) AS acc FROM responses GROUP BY 1) USING (item_idx)")
 def m27(d):
-    return d.items.agg(*(F.round(f(c), 6).alias(f"{c}_{n}") for c in "ab" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    """Range of the parameters, and how far difficulty agrees with the share of wrong answers."""
+    acc = d.responses.groupBy("item_idx").agg(F.avg("y").alias("acc"))
+    ranges = (F.round(f(c), 6).alias(f"{c}_{n}") for c in "ab" for f, n in ((F.min, "lo"), (F.max, "hi")))
+    return d.items.join(acc, "item_idx", "left").agg(*ranges, F.round(F.corr("b", 1 - F.col("acc")), 6).alias("hardness"))
 
 
-@query("m24_backoff_bounds", "SELECT job_id, attempt, event_id, round(least(8e0, 0.1e0 * pow(2, attempt)) * 0.5e0, 6) AS lo, round(least(8e0, 0.1e0 * pow(2, attempt)) * 1.5e0, 6) AS hi FROM attempts WHERE status = 'transient'")
+WAIT = "least(8e0, 0.1e0 * pow(2, attempt)) * (0.5e0 + ('0x' || substr(md5(job_id || '/' || CAST(attempt AS STRING)), 1, 7))::BIGINT / 268435456e0)"
+
+
+def wait():
+    """Seconds before the next attempt: doubled each time up to 8, times a factor in [0.5, 1.5) drawn from the job and attempt."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", "job_id", F.col("attempt").cast("string")).cast("binary")), 1, 7), 16, 10).cast("double") / 268435456
+    return F.least(F.lit(8.0), F.lit(0.1) * F.pow(F.lit(2.0), F.col("attempt"))) * (F.lit(0.5) + drawn)
+
+
+@query("m24_backoff_waits", f"SELECT job_id, attempt, event_id, round({WAIT}, 6) AS wait FROM attempts WHERE status = 'transient'")
 def m24(d):
-    base = F.least(F.lit(8.0), F.lit(0.1) * F.pow(F.lit(2), F.col("attempt")))
-    return d.attempts.where("status = 'transient'").select("job_id", "attempt", "event_id", F.round(base * 0.5, 6).alias("lo"), F.round(base * 1.5, 6).alias("hi"))
+    return d.attempts.where("status = 'transient'").select("job_id", "attempt", "event_id", F.round(wait(), 6).alias("wait"))
 
 
 @query("m4_fit_2pl")
@@ -132,9 +143,29 @@ def f13(d):
     return speculation(branches, flying, d.cache.select("key"), free, spent, 0.005)
 
 
-@query("f2_failures_isolated", "SELECT status, count(*) AS n FROM sessions GROUP BY 1")
+JOBS = f"""SELECT session_id, job_id, coalesce(arg_min(status, attempt) FILTER (WHERE status <> 'transient'), 'exhausted') AS outcome, coalesce(min(attempt) FILTER (WHERE status <> 'transient'), max(attempt)) + 1 AS tried
+ FROM (SELECT DISTINCT session_id, job_id, attempt, status FROM attempts) GROUP BY 1, 2"""
+
+
+def jobs(d):
+    """Each call after its retries: the first outcome that isn't transient, and how many attempts it took."""
+    decided = F.col("status") != "transient"
+    rows = d.attempts.select("session_id", "job_id", "attempt", "status").distinct().groupBy("session_id", "job_id")
+    first = F.min(F.when(decided, F.struct("attempt", "status")))
+    return rows.agg(F.coalesce(first["status"], F.lit("exhausted")).alias("outcome"), (F.coalesce(first["attempt"], F.max("attempt")) + 1).alias("tried"))
+
+
+
+@query("f2_failures_isolated", f"""SELECT s.session_id, CASE WHEN f.step IS NULL THEN 'done' ELSE 'failed' END AS status, f.step AS failed_at, count(j.step) FILTER (WHERE j.outcome = 'ok' AND (f.step IS NULL OR j.step < f.step)) AS answers
+ FROM sessions s LEFT JOIN (SELECT session_id, outcome, CAST(split_part(job_id, ':', 3) AS BIGINT) AS step FROM ({JOBS})) j ON j.session_id = s.session_id
+ LEFT JOIN (SELECT session_id, min(CAST(split_part(job_id, ':', 3) AS BIGINT)) AS step FROM ({JOBS}) WHERE outcome <> 'ok' GROUP BY 1) f ON f.session_id = s.session_id GROUP BY s.session_id, f.step""")
 def f2(d):
-    return d.sessions.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """A session ends at its first call that fails for good and keeps the answers before it; no other session notices."""
+    calls = jobs(d).select("session_id", F.struct(F.substring_index("job_id", ":", -1).cast("long").alias("step"), "outcome").alias("c"))
+    per = calls.groupBy("session_id").agg(F.min(F.when(F.col("c.outcome") != "ok", F.col("c.step"))).alias("failed_at"))
+    rows = calls.join(per, "session_id").groupBy("session_id", "failed_at").agg(F.count_if((F.col("c.outcome") == "ok") & (F.col("failed_at").isNull() | (F.col("c.step") < F.col("failed_at")))).alias("answers"))
+    out = d.sessions.select("session_id").join(rows, "session_id", "left")
+    return out.select("session_id", F.when(F.col("failed_at").isNull(), "done").otherwise("failed").alias("status"), "failed_at", F.coalesce("answers", F.lit(0)).alias("answers"))
 
 
 @query("f7_deduplicated_results", "SELECT session_id, min(step) AS first_step, count(*) AS n FROM (SELECT DISTINCT session_id, step FROM log WHERE type = 'answer_recorded') GROUP BY 1")
@@ -143,10 +174,14 @@ def f7(d):
     return rows.groupBy("session_id").agg(F.min("step").alias("first_step"), F.count(F.lit(1)).alias("n"))
 
 
-@query("f9_call_outcomes", "SELECT job_id, count(*) AS attempts, CASE WHEN bool_or(status = 'ok') THEN 'ok' WHEN bool_or(status = 'fatal') THEN 'fatal' ELSE 'transient' END AS outcome FROM attempts GROUP BY 1")
+@query("f9_call_outcomes", f"""SELECT j.job_id, j.tried, j.outcome, round(coalesce(w.waited, 0), 6) AS waited FROM ({JOBS}) j LEFT JOIN
+ (SELECT j.job_id, sum(a.wait) AS waited FROM ({JOBS}) j JOIN (SELECT DISTINCT job_id, attempt, {WAIT} AS wait FROM attempts WHERE status = 'transient') a ON a.job_id = j.job_id AND a.attempt + 1 < j.tried GROUP BY 1) w ON w.job_id = j.job_id""")
 def f9(d):
-    hit = lambda s: F.bool_or(F.col("status") == s)
-    return d.attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("attempts"), F.when(hit("ok"), "ok").when(hit("fatal"), "fatal").otherwise("transient").alias("outcome"))
+    """Calls with their attempts, outcome and the seconds waited between attempts."""
+    calls = jobs(d)
+    waits = d.attempts.where("status = 'transient'").select("job_id", "attempt", wait().alias("wait")).distinct()
+    waited = waits.join(calls.select("job_id", "tried"), "job_id").where("attempt + 1 < tried").groupBy("job_id").agg(F.sum("wait").alias("waited"))
+    return calls.join(waited, "job_id", "left").select("job_id", "tried", "outcome", F.round(F.coalesce("waited", F.lit(0.0)), 6).alias("waited"))
 
 
 def boards(d):
@@ -160,15 +195,26 @@ def f15(d):
     return X.allocation_runs(boards(d), grid, 30).select("board", "run", "call", "model_idx", "item_idx", F.round("gain", 9).alias("gain"))
 
 
+@query("f16_idle_rule")
+def f16(d):
+    """Calls of the coupled allocator that stops a board once the gain is under half of its largest so far."""
+    grid = d.spark.createDataFrame([(0, "coupled", 0)], "run int, method string, seed int")
+    return X.allocation_runs(boards(d), grid, 30, idle=0.5).groupBy("board").agg(F.count(F.lit(1)).alias("calls"), F.round(F.min("gain"), 9).alias("least_gain"))
+
+
 @query("e9_ranking_runs")
 def e9(d):
     grid = d.spark.createDataFrame([(0, "random", 1), (1, "random", 2), (2, "independent", 0), (3, "coupled", 0)], "run int, method string, seed int")
     return X.allocation_runs(boards(d), grid, 20).groupBy("board", "run", "method", "model_idx").agg(F.count(F.lit(1)).alias("calls"))
 
 
-@query("f18_scaled_providers", "SELECT provider, rpm * 4 AS rpm, lat_lo / 4 AS lat_lo, lat_hi / 4 AS lat_hi FROM providers")
+@query("f18_scaled_providers", "SELECT p.provider, p.rpm * 4 AS rpm, round(avg(a.latency) / 4, 6) AS latency, round(greatest(1, ceil(any_value(p.rpm) * 4 / 60 * (avg(a.latency) / 4))), 0) AS calls_in_flight FROM providers p JOIN sessions s ON s.provider = p.provider JOIN attempts a ON a.session_id = s.session_id WHERE a.status = 'ok' GROUP BY p.provider, p.rpm")
 def f18(d):
-    return d.providers.select("provider", (F.col("rpm") * 4).alias("rpm"), (F.col("lat_lo") / 4).alias("lat_lo"), (F.col("lat_hi") / 4).alias("lat_hi"))
+    """Providers four times as fast: limits, mean latency of good calls, and the window that keeps them busy."""
+    calls = d.attempts.where("status = 'ok'").join(d.sessions.select("session_id", "provider"), "session_id").groupBy("provider").agg((F.avg("latency") / 4).alias("latency"))
+    rpm = F.col("rpm") * 4
+    window = F.greatest(F.lit(1.0), F.ceil(rpm / 60 * F.col("latency")).cast("double"))
+    return d.providers.join(calls, "provider").select("provider", rpm.alias("rpm"), F.round("latency", 6).alias("latency"), window.alias("calls_in_flight"))
 
 
 @query("f19_replayed_calls", "SELECT i.item_id, CASE WHEN r.y IS NULL THEN 'fatal' ELSE 'ok' END AS outcome, r.y AS correct FROM items i LEFT JOIN (SELECT item_idx, y FROM responses WHERE model_idx = 3) r USING (item_idx)")
@@ -183,11 +229,9 @@ def e2(d):
     return rows.groupBy("run_name").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("cached") == 0).alias("paid"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.max("finished_at") - F.min("started_at"), 6).alias("wall_s"))
 
 
-@query("e4_model_split")
+@query("e4_model_split", "SELECT model, CASE WHEN row_number() OVER (ORDER BY md5('1/' || model), model) <= round(0.7e0 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM (SELECT DISTINCT model FROM responses)")
 def e4(d):
-    names = [r.model for r in d.responses.select("model_idx", "model").distinct().orderBy("model_idx").collect()]
-    train, test = files.split_models(names, 0.7, 1)
-    return d.spark.createDataFrame([(m, "train") for m in train] + [(m, "test") for m in test], "model string, part string")
+    return X.model_split(d.responses.select("model").distinct(), 0.7, 1)
 
 
 @query("e5_random_subsets")
@@ -198,30 +242,30 @@ def e5(d):
     return A.abilities(rows).select(F.substring_index("model", "|", 1).alias("seed"), F.substring_index("model", "|", -1).alias("model"), F.round("theta", 6).alias("theta"))
 
 
-@query("e7_cross_validation", "SELECT fold, count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM (SELECT r.item_idx % 5 AS fold, r.y, greatest(0.02e0, least(0.98e0, (t.s - f.s) / nullif(t.n - f.n, 0)::DOUBLE)) AS p FROM responses r JOIN (SELECT model, sum(y) AS s, count(*) AS n FROM responses GROUP BY 1) t ON t.model = r.model JOIN (SELECT model, item_idx % 5 AS fold, sum(y) AS s, count(*) AS n FROM responses GROUP BY 1, 2) f ON f.model = r.model AND f.fold = r.item_idx % 5) GROUP BY 1")
-def e7(d):
-    """Held-out loss of each model's accuracy on the other folds."""
-    r = d.responses.select("model", (F.col("item_idx") % 5).alias("fold"), "y")
-    folds = r.groupBy("model", "fold").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = folds.groupBy("model").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))))
-    rows = r.join(folds.join(whole, "model").select("model", "fold", p.alias("p")), ["model", "fold"])
-    loss = -(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))
-    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("loss"))
-
-
-@query("e15_scaling_summary", "SELECT size, round(avg(x - z), 6) AS mean, count(*) FILTER (WHERE x - z > 1e-9) AS won, count(*) FILTER (WHERE x - z < -1e-9) AS lost FROM (SELECT model_idx % 4 AS size, model, avg(y) FILTER (WHERE dim = 0) AS x, avg(y) FILTER (WHERE dim = 1) AS z FROM responses GROUP BY 1, 2) GROUP BY 1")
+@query("e15_scaling_summary", "SELECT size, round(avg(x - z), 6) AS mean, round(1.96e0 * stddev_samp(x - z) / sqrt(count(x - z)), 6) AS half_width, count(*) FILTER (WHERE x - z > 1e-9) AS won, count(*) FILTER (WHERE abs(x - z) <= 1e-9) AS tied, count(*) FILTER (WHERE x - z < -1e-9) AS lost FROM (SELECT model_idx % 4 AS size, model, avg(y) FILTER (WHERE dim = 0) AS x, avg(y) FILTER (WHERE dim = 1) AS z FROM responses GROUP BY 1, 2) GROUP BY 1")
 def e15(d):
+    """Paired differences by size, with a 95 % interval, and how often each side won."""
     per = d.responses.groupBy((F.col("model_idx") % 4).alias("size"), "model").pivot("dim", [0, 1]).agg(F.avg("y"))
     diff = F.col("0") - F.col("1")
-    return per.groupBy("size").agg(F.round(F.avg(diff), 6).alias("mean"), F.count_if(diff > 1e-9).alias("won"), F.count_if(diff < -1e-9).alias("lost"))
+    half = F.lit(1.96) * F.stddev_samp(diff) / F.sqrt(F.count(diff))
+    return per.groupBy("size").agg(F.round(F.avg(diff), 6).alias("mean"), F.round(half, 6).alias("half_width"), F.count_if(diff > 1e-9).alias("won"), F.count_if(F.abs(diff) <= 1e-9).alias("tied"), F.count_if(diff < -1e-9).alias("lost"))
 
 
-@query("e16_live_report", "SELECT a.model, count(*) AS calls, round(avg(l.correct), 6) AS accuracy, round(quantile_cont(a.latency, 0.5), 6) AS p50 FROM attempts a JOIN log l ON l.session_id = a.session_id AND l.item_id = a.item_id AND l.type = 'answer_recorded' WHERE a.status = 'ok' AND a.attempt = 0 GROUP BY 1")
+LIVE = "SELECT s.model, avg(l.correct) AS accuracy, count(*) AS calls FROM log l JOIN sessions s USING (session_id) WHERE l.type = 'answer_recorded' GROUP BY 1"
+
+
+@query("e16_live_report", f"""SELECT m.model, m.calls, round(m.accuracy, 6) AS accuracy, round(t.p50, 6) AS p50, round(t.p95, 6) AS p95, round(g.agreement, 6) AS agreement,
+ 1 + (SELECT count(*) FROM (SELECT round(accuracy, 6) AS acc FROM ({LIVE}) WHERE CAST(substr(model, 2) AS BIGINT) % 4 = 0) o WHERE o.acc > round(m.accuracy, 6)) AS rank
+ FROM ({LIVE}) m JOIN (SELECT model, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95 FROM attempts WHERE status = 'ok' GROUP BY 1) t ON t.model = m.model
+ JOIN (SELECT s.model, avg(CASE WHEN (i.acc >= 0.5) = (l.correct = 1) THEN 1 ELSE 0 END) AS agreement FROM log l JOIN sessions s USING (session_id) JOIN (SELECT item_id, avg(correct) AS acc FROM log WHERE type = 'answer_recorded' GROUP BY 1) i ON i.item_id = l.item_id WHERE l.type = 'answer_recorded' GROUP BY 1) g ON g.model = m.model""")
 def e16(d):
-    answers_ = d.log.where("type = 'answer_recorded'").select("session_id", "item_id", "correct")
-    rows = d.attempts.where("status = 'ok' and attempt = 0").join(answers_, ["session_id", "item_id"])
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.percentile("latency", 0.5), 6).alias("p50"))
+    """Live models: calls, accuracy, latency, agreement with most answers to each item, and place among the anchors (every fourth)."""
+    live = d.log.where("type = 'answer_recorded'").join(d.sessions.select("session_id", "model"), "session_id").select("model", "item_id", "correct")
+    usual = live.groupBy("item_id").agg((F.avg("correct") >= 0.5).alias("usual"))
+    rows = live.join(usual, "item_id").groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg((F.col("usual") == (F.col("correct") == 1)).cast("int")), 6).alias("agreement"))
+    times = d.attempts.where("status = 'ok'").groupBy("model").agg(F.round(F.percentile("latency", 0.5), 6).alias("p50"), F.round(F.percentile("latency", 0.95), 6).alias("p95"))
+    anchor = F.substring("model", 2, 20).cast("long") % 4 == 0
+    return A.place_among(rows, "accuracy", anchor).join(times, "model").select("model", "calls", "accuracy", "p50", "p95", "agreement", "rank")
 
 
 @query("j9_alignment", "SELECT count(*) AS differing FROM (SELECT item_idx, item_id FROM items EXCEPT SELECT DISTINCT item_idx, item_id FROM responses WHERE model_idx % 2 = 0)")
@@ -240,14 +284,14 @@ def scratch(d, name: str) -> str:
     return f"{root(d.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-GRID = "SELECT CAST(m.model_idx AS INT) AS model_idx, m.model, i.item_idx, i.item_id, r.y AS correct FROM (SELECT DISTINCT model_idx, model FROM responses WHERE model_idx < 6) m CROSS JOIN items i LEFT JOIN responses r ON r.model = m.model AND r.item_idx = i.item_idx"
+GRID = "SELECT CAST(m.model_idx AS INT) AS model_idx, m.model, i.item_idx, i.item_id, r.y AS correct FROM (SELECT DISTINCT model_idx, model FROM responses) m CROSS JOIN items i LEFT JOIN responses r ON r.model = m.model AND r.item_idx = i.item_idx"
 
 
-@query("s1_matrix_json", f"SELECT dense_rank() OVER (ORDER BY model_idx)::INT - 1 AS model_idx, model, item_idx, item_id, correct FROM ({GRID})")
+@query("s1_matrix_json", GRID)
 def s1(d):
-    """A matrix written as JSON and read back, missing cells as null."""
-    few = d.responses.where("model_idx < 6").select(F.col("model_idx").cast("int").alias("model_idx"), "model").distinct()
-    grid = few.crossJoin(F.broadcast(d.items.select("item_idx", "item_id"))).join(d.responses.select("model", "item_idx", F.col("y").alias("correct")), ["model", "item_idx"], "left")
+    """The whole matrix written as JSON and read back, missing cells as null."""
+    models = d.responses.select(F.col("model_idx").cast("int").alias("model_idx"), "model").distinct()
+    grid = models.crossJoin(d.items.select("item_idx", "item_id")).join(d.responses.select("model", "item_idx", F.col("y").alias("correct")), ["model", "item_idx"], "left")
     path = scratch(d, "matrix")
     files.write_matrix(grid.select("model_idx", "model", "item_idx", "item_id", "correct"), path)
     return files.response_matrix(d.spark, path)
@@ -260,6 +304,58 @@ def s6(d):
     return files.item_bank(d.spark, path)
 
 
+@query("s4_checkpoint_files", "SELECT 'part/' || v.c AS model, item_id, CAST(CASE v.c WHEN 's1' THEN p_size % 2 ELSE 1 - p_size % 2 END AS INT) AS correct, v.c = 's2' AS held_out FROM items CROSS JOIN (VALUES ('s1'), ('s2')) v(c)")
+def s4(d):
+    """Results in several files, one checkpoint held out and one (s3) without any result, which is left out."""
+    path = scratch(d, "checkpoints")
+    odd = F.col("p_size") % 2
+    wide = d.items.select(F.col("item_id").alias("id"), odd.alias("s1"), (1 - odd).alias("s2"), F.lit(None).cast("int").alias("s3"), "dim")
+    wide.write.partitionBy("dim").option("header", True).csv(path)
+    stem = F.concat(F.lit("part/"), F.substring_index("model", "/", -1))
+    rows = files.checkpoint_set(d.spark, f"{path}/dim=*")
+    return rows.select(stem.alias("model"), "item_id", "correct", stem.endswith("s2").alias("held_out"))
+
+
+@query("s5_items_json", "SELECT item_id, 'how large is ' || item_id AS question, CAST(p_size AS STRING) AS answer, subtask FROM items")
+def s5(d):
+    """Items written as JSON maps, one for each group, and read back."""
+    path = scratch(d, "items")
+    rows = d.items.select("item_id", F.concat(F.lit("how large is "), "item_id").alias("question"), F.col("p_size").cast("string").alias("answer"), "subtask", F.col("subtask").alias("part"))
+    files.write_items(rows, path, "part")
+    return files.items_json(d.spark, path).select("item_id", "question", "answer", "subtask")
+
+
+@query("x1_model_list", "SELECT DISTINCT model FROM responses WHERE model_idx % 4 IN (1, 2)")
+def x1(d):
+    """A list of models with comments, blanks and padded names, read back."""
+    path = scratch(d, "models")
+    kind = F.col("model_idx") % 4
+    line = F.when(kind == 0, F.concat(F.lit("# "), "model")).when(kind == 1, F.concat(F.lit("  "), "model", F.lit(" "))).when(kind == 2, F.col("model")).otherwise("")
+    d.responses.select("model_idx", "model").distinct().select(line.alias("value")).write.text(path)
+    return files.model_list(d.spark, path)
+
+
+@query("x22_item_hashed_keys", """SELECT DISTINCT model, item_id, sha256('{"item": "' || substr(sha256('{"answer": "' || CAST(p_size AS STRING) || '", "question": "' || subtask || '"}'), 1, 16) || '", "item_id": "' || item_id || '", "model": "' || model || '"}') AS key FROM responses JOIN (SELECT item_idx, p_size FROM items) USING (item_idx)""")
+def x22(d):
+    """Cache keys that change with the content of the item: its hash stands in the key."""
+    content = F.sha2(F.format_string('{"answer": "%d", "question": "%s"}', "p_size", "subtask").cast("binary"), 256)
+    rows = d.responses.select("model", "item_idx", "item_id", "subtask").join(d.items.select("item_idx", "p_size"), "item_idx")
+    text = F.format_string('{"item": "%s", "item_id": "%s", "model": "%s"}', F.substring(content, 1, 16), "item_id", "model")
+    return rows.select("model", "item_id", F.sha2(text.cast("binary"), 256).alias("key")).distinct()
+
+
+@query("e6_prior_sweep", "WITH RECURSIVE cells AS MATERIALIZED (SELECT CAST(v.sd AS STRING) || '|' || model AS model, v.sd, a, b, y FROM responses CROSS JOIN (VALUES (0.5e0), (1e0), (2e0)) v(sd) WHERE dim = 0), it(k, model, theta) AS (SELECT 0, model, 0e0 FROM (SELECT DISTINCT model FROM cells) UNION ALL SELECT any_value(k) + 1, model, greatest(-6e0, least(6e0, any_value(theta) + (sum(a * (y - p)) - any_value(theta) / any_value(sd * sd)) / (sum(a * a * p * (1 - p)) + any_value(1 / (sd * sd))))) FROM (SELECT it.k, it.model, it.theta, c.a, c.y, c.sd, 1 / (1 + exp(-c.a * (it.theta - c.b))) AS p FROM it JOIN cells c ON it.model = c.model WHERE it.k < 20) GROUP BY model), p AS (SELECT v.sd, y, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-a * (theta - b))))) AS p FROM responses r CROSS JOIN (VALUES (0.5e0), (1e0), (2e0)) v(sd) JOIN it ON it.k = 20 AND it.model = CAST(v.sd AS STRING) || '|' || r.model WHERE dim = 1) SELECT sd, count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM p GROUP BY 1")
+def e6(d):
+    """Loss on the family that wasn't fitted, for each width of the ability's prior."""
+    grid = (0.5, 1.0, 2.0)
+    packed = d.responses.where("dim = 0").groupBy("model").agg(F.collect_list(F.struct("a", "b", F.col("y").cast("double").alias("y"))).alias("cells"))
+    fits = F.array(*(F.struct(F.lit(sd).alias("sd"), irt.map_ability(F.col("cells"), sd)["theta"].alias("theta")) for sd in grid))
+    theta = packed.select("model", F.explode(fits).alias("f")).select("model", "f.sd", "f.theta")
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), irt.prob(F.col("theta"), F.col("a"), F.col("b"))))
+    rows = d.responses.where("dim = 1").join(theta, "model").select("sd", "y", p.alias("p"))
+    return rows.groupBy("sd").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))), 6).alias("loss"))
+
+
 @query("s3_checkpoint_csv", "SELECT 'part/' || v.c AS model, item_id, CASE v.c WHEN 's1' THEN p_size % 2 ELSE p_size % 3 END AS correct FROM items CROSS JOIN (VALUES ('s1'), ('s2')) v(c) WHERE item_id LIKE 'PROMO%' AND NOT (v.c = 's2' AND p_size % 3 = 2)")
 def s3(d):
     """Checkpoints as CSV columns; empty cells are left out."""
@@ -281,12 +377,23 @@ def s15(d):
     return d.spark.range(10).select(i.cast("int").alias("item_idx"), F.concat(F.lit("q"), i.cast("string")).alias("item_id"), F.round(F.lit(-1.5) + F.lit(3.0) * i / 9, 9).alias("b"))
 
 
-@query("x12_budget_exhausted", "SELECT run_name, waiting > 0 AND inflight = 0 AND spent + 0.05 > 2.0 AS exhausted FROM (SELECT s.run_name, count(*) FILTER (WHERE l.type = 'item_selected') - count(*) FILTER (WHERE l.type = 'answer_recorded') AS waiting, 0 AS inflight, coalesce(sum(l.cost), 0) AS spent FROM log l JOIN sessions s USING (session_id) GROUP BY 1)")
+PENDING = "SELECT s.run_name, s.status = 'running' AS flying FROM log l JOIN sessions s USING (session_id) WHERE l.type = 'item_selected' AND NOT EXISTS (SELECT 1 FROM log r WHERE r.session_id = l.session_id AND r.step = l.step AND r.type = 'answer_recorded')"
+
+
+def pending(d):
+    """Calls without an answer: in flight where their session runs, else waiting."""
+    asked = d.log.where("type = 'item_selected'").select("session_id", "step")
+    answered = d.log.where("type = 'answer_recorded'").select("session_id", "step")
+    return asked.join(answered, ["session_id", "step"], "left_anti").join(d.sessions.select("session_id", "run_name", (F.col("status") == "running").alias("flying")), "session_id")
+
+
+@query("x12_budget_exhausted", f"SELECT r.run_name, coalesce(p.waiting, 0) > 0 AND coalesce(p.flying, 0) = 0 AND r.spent + r.expected > 2.0 AS exhausted FROM (SELECT s.run_name, coalesce(sum(l.cost), 0) AS spent, coalesce(avg(l.cost) FILTER (WHERE l.cached = 0), 0) AS expected FROM log l JOIN sessions s USING (session_id) GROUP BY 1) r LEFT JOIN (SELECT run_name, count(*) FILTER (WHERE NOT flying) AS waiting, count(*) FILTER (WHERE flying) AS flying FROM ({PENDING}) GROUP BY 1) p ON p.run_name = r.run_name")
 def x12(d):
-    pick = lambda t: F.count_if(F.col("type") == t)
-    rows = d.log.join(d.sessions.select("session_id", "run_name"), "session_id").groupBy("run_name")
-    state = rows.agg((pick("item_selected") - pick("answer_recorded")).alias("waiting"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent"))
-    return state.select("run_name", ((F.col("waiting") > 0) & (F.col("spent") + 0.05 > 2.0)).alias("exhausted"))
+    """Work waits, none is in flight, and the budget of 2 has no room for a call of mean cost."""
+    spent = d.log.join(d.sessions.select("session_id", "run_name"), "session_id").groupBy("run_name").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent"), F.coalesce(F.avg(F.when(F.col("cached") == 0, F.col("cost"))), F.lit(0.0)).alias("expected"))
+    open_ = pending(d).groupBy("run_name").agg(F.count_if(~F.col("flying")).alias("waiting"), F.count_if("flying").alias("flying"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return spent.join(open_, "run_name", "left").select("run_name", ((zero("waiting") > 0) & (zero("flying") == 0) & (F.col("spent") + F.col("expected") > 2.0)).alias("exhausted"))
 
 
 @query("x17_allocation_rows", "SELECT session_id, step, item_id FROM log WHERE type = 'allocation'")
@@ -296,9 +403,15 @@ def x17(d):
     return E.first_of(rows, E.KEY, ("t_s",)).select("session_id", "step", "item_id")
 
 
-@query("x20_lane_totals", "SELECT run_name, count(*) FILTER (WHERE status = 'running') AS live, count(*) FILTER (WHERE status <> 'running') AS closed FROM sessions GROUP BY 1")
+@query("x20_lane_totals", f"SELECT r.run_name, r.live, r.closed, r.calls, coalesce(p.inflight, 0) AS inflight, round(coalesce(p.inflight, 0) * 0.005e0, 6) AS committed FROM (SELECT run_name, count(*) FILTER (WHERE status = 'running') AS live, count(*) FILTER (WHERE status <> 'running') AS closed, CAST(sum(coalesce(n, 0)) AS BIGINT) AS calls FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM log WHERE type = 'answer_recorded' GROUP BY 1) l ON l.session_id = s.session_id AND CAST(substr(s.model, 2) AS BIGINT) % 4 <> 0 GROUP BY 1) r LEFT JOIN (SELECT run_name, count(*) FILTER (WHERE flying) AS inflight FROM ({PENDING}) GROUP BY 1) p ON p.run_name = r.run_name")
 def x20(d):
-    return d.sessions.groupBy("run_name").agg(F.count_if(F.col("status") == "running").alias("live"), F.count_if(F.col("status") != "running").alias("closed"))
+    """Lanes by state, calls made (those of anchors left out), calls in flight and what they are expected to cost."""
+    answered = d.log.where("type = 'answer_recorded'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.substring("model", 2, 20).cast("long") % 4 != 0, F.col("n")).otherwise(0)
+    runs = d.sessions.join(answered, "session_id", "left").groupBy("run_name").agg(F.count_if(F.col("status") == "running").alias("live"), F.count_if(F.col("status") != "running").alias("closed"), F.sum(F.coalesce(own, F.lit(0))).alias("calls"))
+    flying = pending(d).groupBy("run_name").agg(F.count_if("flying").alias("inflight"))
+    n = F.coalesce("inflight", F.lit(0))
+    return runs.join(flying, "run_name", "left").select("run_name", "live", "closed", "calls", n.alias("inflight"), F.round(n * 0.005, 6).alias("committed"))
 
 
 @query("m2_information", "SELECT item_idx, round(a * a * (1 / (1 + exp(-a * (0.7e0 - b)))) * (1 - 1 / (1 + exp(-a * (0.7e0 - b)))), 9) AS info FROM items")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibron.operators import grading as G
@@ -133,11 +136,34 @@ def x10(d):
     return probes.join(cubes(d), ["scene", "x", "y", "z"], "left_semi")
 
 
+def lanes(d):
+    """Score, variance, least variance after one more answer and open items of every model; every fifth item has been asked."""
+    answers = d.responses.where("item_idx % 5 = 0").select("model", "item_idx", "dim", "a", "b", "y")
+    pool = written(R.pool_rows(answers, R.family_weights(d.items.select("item_idx", "a", "b", "dim")), answers), "pool")
+    best = R.variances_after(pool).groupBy("model").agg(F.min(F.struct("v_new", "item_idx")).alias("b"), F.count(F.lit(1)).alias("n_open"))
+    return written(R.scores(pool).join(best, "model", "left").select("model", "s", "v", F.col("b.item_idx").cast("long").alias("item_idx"), "b.v_new", "n_open"), "lanes")
+
+
 @query("m18_next_allocation")
 def m18(d):
     """The next call over all models, and the misordered pairs expected before it."""
-    answers = d.responses.where("item_idx % 5 = 0").select("model", "item_idx", "dim", "a", "b", "y")  # items asked so far; the others are open
-    pool = written(R.pool_rows(answers, R.family_weights(d.items.select("item_idx", "a", "b", "dim")), answers), "pool")
-    best = R.variances_after(pool).groupBy("model").agg(F.min(F.struct("v_new", "item_idx")).alias("b"), F.count(F.lit(1)).alias("n_open"))
-    rows = written(R.scores(pool).join(best, "model", "left").select("model", "s", "v", F.col("b.item_idx").cast("long").alias("item_idx"), "b.v_new", "n_open"), "lanes")
+    rows = lanes(d)
     return R.next_call(rows).crossJoin(R.expected_misordered(rows).select("misordered"))
+
+
+@query("e11_lookahead_sets")
+def e11(d):
+    """The next call under shorter and longer lookahead."""
+    rows = lanes(d)
+    sets = {"one": (1,), "short": (1, 2, 4), "default": R.LOOKAHEAD, "long": (*R.LOOKAHEAD, 128, 256)}
+    named = [R.next_call(rows, lookahead=steps).withColumn("steps", F.lit(name)) for name, steps in sets.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query("f17_anchors_never_asked")
+def f17(d):
+    """Gains where every fourth model is an anchor: it counts in the ranking of the others, and is never asked."""
+    anchor = F.substring_index("model", "-", -1).cast("long") % 4 == 0
+    rows = lanes(d)
+    shut = rows.select("model", "s", "v", *(F.when(~anchor, F.col(c)).alias(c) for c in ("item_idx", "v_new", "n_open")))
+    return R.call_gains(shut).select("model", "item_idx", F.round("gain", 9).alias("gain"))

@@ -173,8 +173,32 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.model for r in files.model_list(spark, str(tmp_path / "models.txt")).collect()] == ["a/b", "c"]
     (tmp_path / "items.json").write_text('{"i1": {"question": "q", "answer": "4", "aliases": ["four"]}, "i2": {"question": "r", "answer": "red", "options": ["red", "blue"]}}')
     assert {(r.item_id, r.answer) for r in files.items_json(spark, str(tmp_path / "items.json")).collect()} == {("i1", "4"), ("i2", "red")}
-    train, test = files.split_models([f"m{k}" for k in range(10)], 0.7, 1)
-    assert len(train) == 7 and train == sorted(train) and not set(train) & set(test)
+    (tmp_path / "csv" / "late.csv").write_text("id,s9\narc_1,\n")
+    found = files.checkpoint_set(spark, str(tmp_path / "csv" / "*.csv"), ("run/s2",)).select("model", "held_out").distinct()
+    assert {tuple(r) for r in found.collect()} == {("run/s1", False), ("run/s2", True)}
+    with pytest.raises(ValueError, match="run/s7"):
+        files.checkpoint_set(spark, str(tmp_path / "csv" / "run.csv"), ("run/s7",))
+    with pytest.raises(ValueError, match="no results"):
+        files.checkpoint_set(spark, str(tmp_path / "csv" / "late.csv"))
+
+
+def test_model_split_is_a_share_and_repeats(spark):
+    from calibron.operators import experiments
+
+    models = spark.createDataFrame([(f"m{k}",) for k in range(10)], "model string")
+    first, again = ({(r.model, r.part) for r in experiments.model_split(models, 0.7, 1).collect()} for _ in range(2))
+    assert first == again and sorted(p for _, p in first) == ["test"] * 3 + ["train"] * 7
+
+
+def test_places_and_ranks_without_one_window(spark):
+    from calibron.operators import abilities
+
+    scores = [(f"m{k}", float(k % 4)) for k in range(30)]
+    board = spark.createDataFrame(scores, "model string, score double")
+    rows = abilities.placed(board, "score", "model").collect()
+    assert [(r.score, r.model) for r in sorted(rows, key=lambda r: r.place)] == sorted((s, m) for m, s in scores)
+    ranks = {(r.model, r["rank"]) for r in abilities.placement_ranks(board, "score").collect()}
+    assert ranks == {(m, 1 + sum(o > s for _, o in scores)) for m, s in scores}
 
 
 def test_live_sessions_and_appends_survive_restarts(spark, tmp_path):
