@@ -8,9 +8,11 @@ joined on the blocks of ``SCOPE`` characters that they touch, so a block meets i
 
 All positions count code points, ends are exclusive. DataFrame functions only.
 
-Defined results: a null text is empty and has no spans; a weak candidate that overlaps a base span is no
-candidate; rows with equal doc_id and text get equal results, repeated rows stay repeated; an empty
-table gives an empty result.
+Defined results: a null text is empty and has no spans; texts of any length are searched whole, in the task
+that scans them; a weak candidate that overlaps a base span is no candidate; rows with equal doc_id and text
+(doc_id may be null) get equal results, repeated rows stay repeated; equal starts are ordered by kind;
+further columns, whatever their names, are ignored by the query and kept by :func:`redacted`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibron.llm.common import columns_of, let
+from calibron.llm.common import columns_of, let, written
 
 #: Kinds in their order, with pattern, least length of the match and of its second group.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -133,8 +135,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans. The spans are written once, so that no text is searched twice."""
     rows = scanned(columns_of(docs, "doc_id", "text")).select("doc_id", F.col("__key").alias("key"), F.col("__base").alias("base"), F.col("__weak").alias("weak"))
+    rows = written(rows, "secret_spans")
     added = linked(rows).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "added")
     out = rows.join(added, (rows["key"] == added["k"]) & rows["doc_id"].eqNullSafe(added["d"]), "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -152,10 +155,11 @@ def _cut(text, spans) -> F.Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every reported span replaced by [REDACTED] and n_chars counted anew; all other columns stay.
 
-    Only the weak candidates move to be joined; the added spans come back by key and doc_id.
+    The texts are searched once and written with their spans. Only the weak candidates move to be joined; the
+    added spans come back by key and doc_id.
     """
     names = docs.columns
-    rows = scanned(docs)
+    rows = written(scanned(docs), "secret_rows")
     added = linked(rows.select(F.col("__key").alias("key"), "doc_id", F.col("__base").alias("base"), F.col("__weak").alias("weak"))).select(F.col("key").alias("__k"), F.col("doc_id").alias("__d"), F.col("added").alias("__added"))
     # Most texts have no weak candidate and need no partner; only the others take part in the join.
     plain = rows.where(F.size("__weak") == 0).withColumn("__added", F.array().cast(NO_SPANS))
