@@ -182,6 +182,8 @@ def fit(train: DataFrame, clusters: int = 4, sample_per_lang: int = 256, slack:
 
     shared = spark.sparkContext.broadcast(idf)
     sample = train.join(F.broadcast(chosen), (train["doc_id"] == chosen["id"]) & (train["lang"] == chosen["l"]), "left_semi")
+    # One row for each sampled doc_id and language, so that an id of very many rows is no more than one of the sample.
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def sparse(texts: list[str | None]) -> list:
         clean = cleaned(texts)
