@@ -2,12 +2,13 @@
 
 A text's tokens are its words, long ones cut after 16 characters; two neighbouring tokens make a k-mer
 (a text of one token is one k-mer). Equal k-mers get occurrence numbers in text order, (k-mer, number)
-is hashed, the hash's upper bits choose one of 64 bins, and every bin keeps its two smallest hashes. Put
-back into text order, the k-mers of a bin are hashed as a tuple: one 32-bit component of the fingerprint,
-which changes if the text's order changes and not only if its k-mers do.
+is hashed, the hashes lie on a ring that is cut into 64 bins, and every bin takes the two hashes that
+follow its start, if need be from later bins. Put back into text order, the k-mers of these two are hashed
+as a tuple: one 32-bit component of the fingerprint, which changes if the text's order changes and not only
+if its k-mers do. So a short text also has pairs in all its bins; only a text of one k-mer has no order.
 
 Everything up to the fingerprint is computed within the row, in time n log n. Likeness is the share of
-equal components among the bins that either fingerprint fills; two empty fingerprints are alike.
+equal components; two empty fingerprints are alike.
 
 Defined results: a null text is empty; texts without words have the empty fingerprint (all zeros); equal
 texts have equal fingerprints. The next document is that with the next larger doc_id (after the last the
@@ -60,7 +61,7 @@ def kmers(text) -> F.Column:
 
 
 def signature(text) -> F.Column:
-    """The 64 components (array<int>, zero for an empty bin)."""
+    """The 64 components (array<int>) in the order of the signed hash, all zero for a text without words."""
 
     def of(k):
         by_kmer = F.sort_array(F.transform(k, lambda h, i: _packed(h, i)))
@@ -70,20 +71,23 @@ def signature(text) -> F.Column:
 
         by_hash = F.sort_array(F.flatten(_runs(by_kmer, PLACE_BITS, numbered)))
 
-        def component(first, after, v):
-            places = F.sort_array(F.transform(F.slice(v, first + 1, F.least(F.lit(KEEP), after - first)), lambda x: x.bitwiseAND(F.lit(PLACE).cast("long"))))
-            tuple_hash = F.xxhash64(F.transform(places, lambda p: F.get(k, p.cast("int"))))
+        def stretch(first, after, v):
+            """The component of a bin with k-mers, once for it and once for each empty bin before it."""
+            n = F.size(v)
+            own = F.transform(_upto(F.least(F.lit(KEEP), n)), lambda j: F.get(v, (first + j) % n).bitwiseAND(F.lit(PLACE).cast("long")))
+            tuple_hash = F.xxhash64(F.transform(F.sort_array(own), lambda p: F.get(k, p.cast("int"))))
             low = tuple_hash.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
-            return F.struct(F.shiftrightunsigned(F.get(v, first), 64 - BIN_BITS).cast("int").alias("bin"), F.greatest(low, F.lit(1)).alias("c"))
+            bins = F.shiftright(F.get(v, first), 64 - BIN_BITS) - F.coalesce(F.shiftright(F.get(v, first - 1), 64 - BIN_BITS), F.lit(-BINS // 2 - 1))
+            return F.array_repeat(F.greatest(low, F.lit(1)), bins.cast("int"))
 
-        filled = F.map_from_entries(_runs(by_hash, 64 - BIN_BITS, component))
-        return let(filled, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(m[b], F.lit(0))))
+        filled = F.flatten(_runs(by_hash, 64 - BIN_BITS, stretch))
+        return let(filled, lambda c: F.concat(c, F.array_repeat(F.coalesce(F.get(c, 0), F.lit(0)), F.lit(BINS) - F.size(c))))
 
     return let(kmers(text), of)
 
 
 def likeness(a, b) -> F.Column:
-    """Share of equal components among the bins that a or b fills, 1 if neither fills any."""
+    """Share of equal components, 1 if neither text has words."""
     equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda t: t))
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda t: t))
     return F.when(used == 0, F.lit(1.0)).otherwise(equal / used)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from calibron.llm import order_minhash, simhash, suffix_dedup
 
@@ -198,12 +199,13 @@ def omh_signature(text):
     for i, h in enumerate(k):
         c = seen[h >> 28] = seen.get(h >> 28, -1) + 1
         packed.append(chain([(h >> 28).to_bytes(8, "little"), c.to_bytes(4, "little")]) & ~low | i)
-    out, bins = [0] * 64, {}
-    for x in sorted(packed, key=lambda x: x - (1 << 64) if x >> 63 else x):
-        bins.setdefault(x >> 58, []).append(x & low)
-    for b, places in bins.items():
-        out[b] = max(1, chain([k[p].to_bytes(8, "little") for p in sorted(places[:2])]) & 0x7FFFFFFF)
-    return out
+    ring = sorted((x - (1 << 64) if x >> 63 else x) for x in packed)
+    out = []
+    for b in range(-32, 32 if ring else -32):
+        after = [x for x in ring if x >> 58 >= b] + ring
+        places = sorted({x & low for x in after[:2]})
+        out.append(max(1, chain([k[p].to_bytes(8, "little") for p in places]) & 0x7FFFFFFF))
+    return out or [0] * 64
 
 
 def alike(a, b):
@@ -234,6 +236,19 @@ def test_order_minhash_sees_order_and_awkward_tables(spark, awkward, nothing):
     assert order_minhash.minhash_query(nothing).count() == 0
 
 
+def test_order_minhash_sees_the_order_of_short_texts(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(20, 60))]
+        half = len(words) // 2
+        texts += [(i, 0, " ".join(words)), (i, 1, " ".join(words[half:] + words[:half])), (i, 2, " ".join(words[:half] + ["new"] + words[half:]))]
+    docs = spark.createDataFrame(texts, "id int, form int, text string").withColumn("sig", order_minhash.signature(F.col("text")))
+    own, other = docs.where("form = 0").select("id", F.col("sig").alias("own")), docs.where("form > 0")
+    mean = {r.form: r.m for r in other.join(own, "id").groupBy("form").agg(F.avg(order_minhash.likeness(F.col("own"), F.col("sig"))).alias("m")).collect()}
+    assert mean[1] < 0.6 and mean[2] > 0.8, mean
+
+
 def test_exact_stage_in_blocks_and_without_matrix_equals_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
