@@ -2,7 +2,7 @@
 
 import itertools
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,11 +46,39 @@ def test_running_sums_over_parts(spark):
         assert [u for *_, u in mine] == [sum(n for n, *_ in mine[: k + 1]) for k in range(len(mine))]
 
 
-def test_token_bucket_rate_burst_and_refusal():
-    requests = pd.DataFrame({"at": [0.0] * 13, "tokens": [1] * 13})
-    got = policy.bucket_grants(requests, rpm=10 * 60, tpm=1e9, burst_s=0.3)["granted"].tolist()
-    assert got[:3] == [0.0] * 3 and got[-1] == pytest.approx(1.0, abs=0.05)
-    assert policy.bucket_grants(pd.DataFrame({"at": [0.0], "tokens": [501]}), 6_000, 60_000, 0.5)["granted"].isna().all()
+def buckets(requests, rpm, tpm, burst):
+    """The levels of both buckets followed from request to request."""
+    rate, rate_tok = rpm / 60, tpm / 60
+    cap, cap_tok = max(1.0, rate * burst), rate_tok * burst
+    level, level_tok, now, out = cap, cap_tok, 0.0, {}
+    for at, request, n in sorted(requests):
+        if n > cap_tok:
+            out[request] = None
+            continue
+        t = max(at, now)
+        level, level_tok = min(cap, level + (t - now) * rate), min(cap_tok, level_tok + (t - now) * rate_tok)
+        wait = max(0.0, (1 - level) / rate, (n - level_tok) / rate_tok)
+        level, level_tok, now = min(cap, level + wait * rate) - 1, min(cap_tok, level_tok + wait * rate_tok) - n, t + wait
+        out[request] = now
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_token_bucket_in_blocks_equals_plain_loop(spark, parts):
+    rng = np.random.default_rng(6)
+    limits = {"hot": (600.0, 60_000.0), "slow": (120.0, 9_000.0)}
+    rows = [("hot" if k % 6 else "slow", k, float(round(rng.uniform(0, 40), 1)), int(rng.integers(1, 1100))) for k in range(600)]
+    providers = spark.createDataFrame([(p, *v) for p, v in limits.items()], "provider string, rpm double, tpm double")
+    requests = spark.createDataFrame(rows, "provider string, request long, at double, tokens long")
+    got = policy.rate_limited(requests, providers, 1.0, parts).collect()
+    assert len(got) == 600
+    for p, (rpm, tpm) in limits.items():
+        want = buckets([(at, k, n) for q, k, at, n in rows if q == p], rpm, tpm, 1.0)
+        assert {r.request: r.granted for r in got if r.provider == p} == {k: g if g is None else pytest.approx(g, abs=1e-9) for k, g in want.items()}
+        assert any(g is None for g in want.values())
+    burst = spark.createDataFrame([("hot", k, 0.0, 1) for k in range(15)], requests.schema)
+    times = sorted(r.granted for r in policy.rate_limited(burst, providers, 0.5).collect())
+    assert times[:5] == [0.0] * 5 and times[-1] == pytest.approx(1.0)
 
 
 def test_speculation_guards_in_order(spark):
