@@ -1,60 +1,145 @@
-"""Joint MAP fit of the 2PL model by alternating Newton solves: abilities by model, parameters by item."""
+"""Joint MAP fits by alternation: abilities by model, item parameters from sums over their answers.
+
+The answers to one item are never gathered: Newton steps for items need a few sums each, which Spark
+aggregates partially before the shuffle. Only one model's answers, at most one for each item, meet in a row.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibron.functions.irt import map_ability
+from calibron.functions.irt import map_ability, sigmoid
 from calibron.sources.scratch import written
 
+#: No step moves a log slope or a difficulty further than this.
+REACH = 1.0
+
+
+def clipped(move: Column) -> Column:
+    return F.greatest(F.lit(-REACH), F.least(F.lit(REACH), move))
 
-def item_solve(theta: np.ndarray, y: np.ndarray, log_a: float, b: float, sigma_log_a: float, sigma_b: float) -> tuple[float, float]:
-    """Newton steps (damped until the objective falls) for one item's log a and b at given abilities."""
-
-    def objective(la: float, d: float) -> float:
-        z = np.exp(la) * (theta - d)
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (la / sigma_log_a) ** 2 + 0.5 * (d / sigma_b) ** 2)
-
-    now = objective(log_a, b)
-    for _ in range(25):
-        a = np.exp(log_a)
-        p = 1 / (1 + np.exp(-a * (theta - b)))
-        g = p - y
-        u = a * (theta - b)
-        grad = np.array([(g * u).sum() + log_a / sigma_log_a**2, -(g * a).sum() + b / sigma_b**2])
-        q = p * (1 - p)
-        hess = np.array([[(q * u * u).sum() + 1 / sigma_log_a**2, -(q * u * a).sum()], [-(q * u * a).sum(), (q * a * a).sum() + 1 / sigma_b**2]])
-        move = np.linalg.solve(hess, grad)
-        size = 1.0
-        while size > 1e-6 and objective(log_a - size * move[0], b - size * move[1]) > now:
-            size /= 2
-        log_a, b = log_a - size * move[0], b - size * move[1]
-        now = objective(log_a, b)
-        if np.abs(size * move).max() < 1e-8:
-            break
-    return float(log_a), float(b)
-
-
-def fit_2pl(cells: DataFrame, sigma_log_a: float = 0.5, sigma_b: float = 2.0, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(bank(item_idx, a, b), abilities(model, theta)) of ``cells(model, item_idx, y)``.
-
-    Priors: theta ~ N(0, 1), log a ~ N(0, sigma_log_a), b ~ N(0, sigma_b). Each round is two shuffles of the
-    cells; banks and abilities are written in between, so that the lineage stays short.
+
+def fit_2pl(cells: DataFrame, sigma_log_a: float = 0.5, sigma_b: float = 2.0, rounds: int = 12, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(bank(item_idx, a, b), abilities(model, theta)) of ``cells(model, item_idx, y)``; null answers don't count.
+
+    Priors: theta ~ N(0, 1), log a ~ N(0, sigma_log_a), b ~ N(0, sigma_b). A round fits all abilities, then
+    takes ``steps`` scoring steps for the items, each one aggregation of the cells; a round is two jobs.
     """
     cells = written(cells.where("y is not null").select("model", "item_idx", F.col("y").cast("double").alias("y")), "fit_cells")
     rate = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.avg("y")))
-    bank = cells.groupBy("item_idx").agg(rate.alias("p")).select("item_idx", F.lit(1.0).alias("a"), (-F.ln(F.col("p") / (1 - F.col("p")))).alias("b"))
+    bank = written(cells.groupBy("item_idx").agg(rate.alias("p")).select("item_idx", F.lit(1.0).alias("a"), (-F.ln(F.col("p") / (1 - F.col("p")))).alias("b")), "fit_bank")
     theta = None
     for _ in range(rounds):
         packed = cells.join(bank, "item_idx").groupBy("model").agg(F.collect_list(F.struct("a", "b", "y")).alias("c"))
         theta = written(packed.select("model", map_ability(F.col("c"))["theta"].alias("theta")), "fit_theta")
+        for _ in range(steps):
+            u = F.col("a") * (F.col("theta") - F.col("b"))
+            rows = cells.join(theta, "model").join(bank, "item_idx").select("item_idx", "a", "b", "y", u.alias("u"), sigmoid(u).alias("p"))
+            q = F.col("p") * (1 - F.col("p"))
+            sums = rows.groupBy("item_idx", "a", "b").agg(F.sum((F.col("p") - F.col("y")) * F.col("u")).alias("gu"), F.sum(F.col("p") - F.col("y")).alias("g"), F.sum(q * F.col("u") * F.col("u")).alias("quu"), F.sum(q * F.col("u")).alias("qu"), F.sum(q).alias("q"))
+            at = sums.select("item_idx", "a", "b", (F.col("gu") + F.ln("a") / sigma_log_a**2).alias("g1"), (F.col("b") / sigma_b**2 - F.col("g") * F.col("a")).alias("g2"), (F.col("quu") + 1 / sigma_log_a**2).alias("h11"), (-F.col("qu") * F.col("a")).alias("h12"), (F.col("q") * F.col("a") * F.col("a") + 1 / sigma_b**2).alias("h22"))
+            det = F.col("h11") * F.col("h22") - F.col("h12") * F.col("h12")
+            move_a, move_b = (F.col("h22") * F.col("g1") - F.col("h12") * F.col("g2")) / det, (F.col("h11") * F.col("g2") - F.col("h12") * F.col("g1")) / det
+            bank = at.select("item_idx", (F.col("a") * F.exp(-clipped(move_a))).alias("a"), (F.col("b") - clipped(move_b)).alias("b"))
+        bank = written(bank, "fit_bank")
+    return bank, theta
 
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            la, b = item_solve(pdf["theta"].to_numpy(), pdf["y"].to_numpy(), float(np.log(pdf["a"].iloc[0])), float(pdf["b"].iloc[0]), sigma_log_a, sigma_b)
-            return pd.DataFrame({"item_idx": [pdf["item_idx"].iloc[0]], "a": [np.exp(la)], "b": [b]})
 
-        bank = written(cells.join(theta, "model").join(bank, "item_idx").groupBy("item_idx").applyInPandas(solve, "item_idx long, a double, b double"), "fit_bank")
-    return bank, theta
+def _normal_sums(items: DataFrame, groups: int, width: int, tau: float | None) -> dict[int, np.ndarray]:
+    """For each run the sums over its items from which the design's and the slopes' common step follows.
+
+    With residuals these are eliminated item by item, so that the step is that of all parameters together.
+    What arrives at the driver has the size of the design, not of the data.
+    """
+    size = width + groups
+
+    def partial(batches):
+        for pdf in batches:
+            for run, part in pdf.groupby("run"):
+                x = np.zeros((len(part), size))
+                x[:, :width] = np.stack(part["x"].to_numpy())
+                slope = np.zeros((len(part), size))
+                slope[np.arange(len(part)), width + part["grp"].to_numpy()] = 1
+                r, q, u, c, uu, eps = (part[k].to_numpy() for k in ("r", "q", "u", "c", "uu", "eps"))
+                h = (x * q[:, None]).T @ x + (slope * uu[:, None]).T @ slope - (x * c[:, None]).T @ slope - (slope * c[:, None]).T @ x
+                g = -x.T @ r + slope.T @ u
+                if tau is not None:
+                    v, own = x * q[:, None] - slope * c[:, None], q + 1 / tau**2
+                    h, g = h - (v / own[:, None]).T @ v, g - v.T @ ((eps / tau**2 - r) / own)
+                flat = np.concatenate([h.ravel(), g])
+                yield pd.DataFrame({"run": run, "at": np.arange(len(flat)), "value": flat})
+
+    sums = items.select("run", "grp", "x", "r", "q", "u", "c", "uu", "eps").mapInPandas(partial, "run int, at int, value double")
+    out: dict[int, np.ndarray] = {}
+    for row in sums.groupBy("run", "at").agg(F.sum("value").alias("value")).collect():
+        out.setdefault(row["run"], np.zeros(size * size + size))[row["at"]] = row["value"]
+    return out
+
+
+def fit_explanatory(cells: DataFrame, features: DataFrame, groups: int, width: int, tau: float | None = 0.5, sigma_log_a: float = 0.5, sigma_beta: float = 2.0, rounds: int = 8) -> tuple[DataFrame, DataFrame, dict[int, dict[str, list[float]]]]:
+    """Item difficulties explained by features: logit = a[grp] * theta[dim] - (x . beta + eps).
+
+    ``cells(run, model, item_idx, y)`` holds one table of answers for each run (folds, splits, variants: all
+    are fitted side by side), ``features(run, item_idx, grp, dim, x)`` the items: grp below ``groups`` shares
+    a slope, dim is the ability it loads on, x has ``width`` values. ``tau`` is the spread of the residuals
+    eps, None for none. Null answers don't count.
+    Returns items(run, item_idx, grp, dim, a, fixed, eps) for all items and runs, an item without answers
+    having eps 0; abilities(run, model, dim, theta); and for each run its slopes and beta.
+    """
+    cells = written(cells.where("y is not null").select("run", "model", "item_idx", F.col("y").cast("double").alias("y")), "fit_cells")
+    spark = cells.sparkSession
+    items = written(features.select("run", "item_idx", "grp", "dim", "x", F.lit(0.0).alias("eps")), "fit_items")
+    runs = sorted(r["run"] for r in items.select("run").distinct().collect())
+    values = {r: (np.zeros(width), np.zeros(groups)) for r in runs}
+
+    def parameters() -> DataFrame:
+        rows = [(r, np.exp(la).tolist(), beta.tolist()) for r, (beta, la) in values.items()]
+        return spark.createDataFrame(rows, "run int, slopes array<double>, beta array<double>")
+
+    def current() -> DataFrame:
+        fixed = F.aggregate(F.zip_with("x", "beta", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+        return items.join(F.broadcast(parameters()), "run").select("run", "item_idx", "grp", "dim", "x", "eps", F.get("slopes", F.col("grp")).alias("a"), fixed.alias("fixed"))
+
+    theta = None
+    for _ in range(rounds):
+        now = current()
+        known = cells.join(now.select("run", "item_idx", "dim", "a", (F.col("fixed") + F.col("eps")).alias("b")), ["run", "item_idx"])
+        packed = known.groupBy("run", "model", "dim").agg(F.collect_list(F.struct("a", "b", "y")).alias("c"))
+        theta = packed.select("run", "model", "dim", map_ability(F.col("c"), offset=True)["theta"].alias("theta"))
+        u = F.col("a") * F.col("theta")
+        rows = known.join(theta, ["run", "model", "dim"]).select("run", "item_idx", u.alias("u"), "y", sigmoid(u - F.col("b")).alias("p"))
+        miss, q = F.col("p") - F.col("y"), F.col("p") * (1 - F.col("p"))
+        sums = rows.groupBy("run", "item_idx").agg(F.sum(miss).alias("r"), F.sum(q).alias("q"), F.sum(miss * F.col("u")).alias("u"), F.sum(q * F.col("u")).alias("c"), F.sum(q * F.col("u") * F.col("u")).alias("uu"))
+        held = written(now.join(sums, ["run", "item_idx"], "left").fillna(0.0, ["r", "q", "u", "c", "uu"]), "fit_sums")
+        moves = []
+        for run, flat in _normal_sums(held, groups, width, tau).items():
+            beta, la = values[run]
+            size = width + groups
+            h = flat[: size * size].reshape(size, size) + np.diag([1 / sigma_beta**2] * width + [1 / sigma_log_a**2] * groups)
+            g = flat[size * size :] + np.concatenate([beta / sigma_beta**2, la / sigma_log_a**2])
+            move = np.clip(-np.linalg.solve(h, g), -REACH, REACH)
+            moves.append((run, move[:width].tolist(), move[width:].tolist()))
+            values[run] = (beta + move[:width], la + move[width:])
+        if tau is not None:
+            steps = spark.createDataFrame(moves, "run int, db array<double>, da array<double>")
+            pull = F.aggregate(F.zip_with("x", "db", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+            own = (F.col("r") - F.col("eps") / tau**2 - F.col("q") * pull + F.col("c") * F.get("da", F.col("grp"))) / (F.col("q") + 1 / tau**2)
+            items = held.join(F.broadcast(steps), "run").select("run", "item_idx", "grp", "dim", "x", (F.col("eps") + clipped(own)).alias("eps"))
+    out = written(current().select("run", "item_idx", "grp", "dim", "a", "fixed", "eps"), "fit_bank")
+    return out, written(theta, "fit_theta"), {r: {"slopes": np.exp(la).tolist(), "beta": beta.tolist()} for r, (beta, la) in values.items()}
+
+
+def held_out_loss(cells: DataFrame, items: DataFrame, theta: DataFrame) -> DataFrame:
+    """(run, n, loss, accuracy) of the answers ``cells(run, model, item_idx, y)`` under a fit of other answers.
+
+    A model or dimension without answers in the fit has ability 0; probabilities are cut at 1e-9.
+    """
+    rows = cells.where("y is not null").join(items, ["run", "item_idx"]).join(theta, ["run", "model", "dim"], "left")
+    p = sigmoid(F.col("a") * F.coalesce("theta", F.lit(0.0)) - F.col("fixed") - F.col("eps"))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    scored = rows.select("run", "y", p.alias("p"))
+    loss = -F.avg(F.when(F.col("y") == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p"))))
+    return scored.groupBy("run").agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))

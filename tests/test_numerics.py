@@ -135,6 +135,51 @@ def test_fit_recovers_a_synthetic_world(spark):
     assert np.corrcoef(b[good], truth["b"][good])[0, 1] > 0.85 and np.corrcoef(t, truth["theta"])[0, 1] > 0.8
 
 
+def test_fit_2pl_ends_where_the_gradient_vanishes(spark):
+    cells, _ = files.synthetic_responses(spark, 30, 12, seed=2)
+    rows = cells.withColumnRenamed("correct", "y")
+    bank, theta = fitting.fit_2pl(rows, rounds=10)
+    ability, slope, hard = ({r[0]: r[k] for r in t.collect()} for t, k in ((theta, 1), (bank, 1), (bank, 2)))
+    g_a, g_b = {i: np.log(a) / 0.5**2 for i, a in slope.items()}, {i: b / 2.0**2 for i, b in hard.items()}
+    for r in rows.collect():
+        u = slope[r.item_idx] * (ability[r.model] - hard[r.item_idx])
+        miss = 1 / (1 + np.exp(-u)) - r.y
+        g_a[r.item_idx] += miss * u
+        g_b[r.item_idx] -= miss * slope[r.item_idx]
+    assert max(map(abs, [*g_a.values(), *g_b.values()])) < 0.1
+
+
+@pytest.mark.parametrize("tau", [None, 0.5])
+def test_explanatory_fit_ends_where_the_gradient_vanishes(spark, tau):
+    """All gradients of the penalised likelihood by plain loops, for two runs; the second misses some items."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.eye(3)[np.arange(24) % 3], rng.normal(size=24)])
+    grp, dim = np.arange(24) % 3, (np.arange(24) % 3 > 0).astype(int)
+    ability = rng.normal(size=(25, 2))
+    z = np.array([1.4, 0.8, 1.0])[grp] * ability[:, dim] - x @ np.array([0.5, -0.5, 0.0, 0.8]) - rng.normal(0, 0.4, 24)
+    y = (rng.random((25, 24)) < 1 / (1 + np.exp(-z))).astype(int)
+    rows = [(run, f"m{m}", i, int(y[m, i])) for run in (0, 1) for m in range(25) for i in range(24) if run == 0 or i % 6]
+    cells = spark.createDataFrame(rows, "run int, model string, item_idx int, y int")
+    features = spark.createDataFrame([(run, i, int(grp[i]), int(dim[i]), x[i].tolist()) for run in (0, 1) for i in range(24)], "run int, item_idx int, grp int, dim int, x array<double>")
+    items, theta, values = fitting.fit_explanatory(cells, features, 3, 4, tau, rounds=10)
+    eps = {(r.run, r.item_idx): r.eps for r in items.collect()}
+    at = {(r.run, r.model, r.dim): r.theta for r in theta.collect()}
+    for run in (0, 1):
+        beta, slopes = np.array(values[run]["beta"]), np.array(values[run]["slopes"])
+        g_beta, g_slope = beta / 4, np.log(slopes) / 0.25
+        g_eps = {i: (eps[run, i] / tau**2 if tau else 0.0) for i in range(24)}
+        for r, m, i, answer in rows:
+            if r == run:
+                u = slopes[grp[i]] * at[r, m, int(dim[i])]
+                miss = 1 / (1 + np.exp(-(u - x[i] @ beta - eps[r, i]))) - answer
+                g_beta, g_slope[grp[i]], g_eps[i] = g_beta - miss * x[i], g_slope[grp[i]] + miss * u, g_eps[i] - miss
+        assert max(abs(g_beta).max(), abs(g_slope).max()) < 0.1
+        assert not tau or max(map(abs, g_eps.values())) < 0.1
+        assert run == 0 or all(eps[1, i] == 0 for i in range(0, 24, 6))
+    loss = fitting.held_out_loss(cells.where("run = 1"), items, theta).collect()[0]
+    assert loss.n == 500 and loss.loss < 0.65 and loss.accuracy > 0.6
+
+
 def test_sessions_stop_select_and_replay(spark):
     a, b, _ = bank_of(40)
     rng = np.random.default_rng(4)
