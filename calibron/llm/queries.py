@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibron.llm import katz, langid, licenses, mixing, order_minhash, pieces, quality, secrets, simhash, suffix_dedup
+from calibron.llm import alignment, katz, langid, licenses, mixing, order_minhash, packing, pieces, quality, secrets, simhash, suffix_dedup, whitening
 from calibron.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": _over_documents(pieces.pieces_query),
         "op9_source_mixing": _over_documents(mixing.mixing_query),
         "op10_language_id": _over_documents(langid.language_query),
+        "op11_token_alignment": _over_documents(alignment.alignment_query),
+        "op12_embedding_whitening": lambda spark, sf_dir: whitening.whitening_query(table(spark, sf_dir, "embeddings")),
+        "op13_best_fit_packing": _over_documents(packing.packing_query),
     }
 
 
