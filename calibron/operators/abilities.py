@@ -19,20 +19,6 @@ def abilities(cells: DataFrame, prior_sd: float = 1.0) -> DataFrame:
     return packed.withColumn("m", map_ability(F.col("cells"), prior_sd)).select("model", "n_items", "accuracy", F.col("m.theta").alias("theta"), F.col("m.se").alias("se"))
 
 
-def kendall_tau(pairs_of: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """One row with tau-b of two columns over all pairs of rows (null if a side is constant).
-
-    The pairs are of entities such as models, not of their data; the table is aggregated and written
-    before, so that both sides of the join read it rather than compute it.
-    """
-    pairs_of = written(pairs_of.select(key, x, y), "ranked")
-    left = pairs_of.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    right = pairs_of.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    sums = left.join(right, F.col("k1") < F.col("k2")).agg(F.sum(dx * dy).alias("s"), F.count_if(dx != 0).alias("nx"), F.count_if(dy != 0).alias("ny"), F.count(F.lit(1)).alias("n_pairs"))
-    return sums.select("n_pairs", F.try_divide(F.col("s"), F.sqrt(F.col("nx").cast("double") * F.col("ny"))).alias("tau"))
-
-
 def next_items(state: DataFrame, bank: DataFrame, used: DataFrame) -> DataFrame:
     """For each (model, theta) of ``state`` the unused item of largest information; ties go to the lowest item_idx."""
     open_items = state.crossJoin(bank).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from calibron.functions import irt
 from calibron.operators import abilities as A
+from calibron.operators.agreement import distant_pairs, kendall_tau, pair_order
 from calibron.plans.registry import query
+from calibron.sources.scratch import written
 
 def newton(cells: str) -> str:
     """``th(model, theta)``: the Newton steps of NEWTON over other cells (model, a, b, y)."""
@@ -40,7 +42,7 @@ def m3(d):
 @query("a17_kendall_tau", f"WITH {ABILITY} SELECT count(*) AS n_pairs, round(sum(sign(l.theta - r.theta) * sign(l.accuracy - r.accuracy)) / sqrt(count(*) FILTER (WHERE l.theta <> r.theta)::DOUBLE * count(*) FILTER (WHERE l.accuracy <> r.accuracy)), 6) AS tau FROM (SELECT model, round(theta, 6) AS theta, round(accuracy, 6) AS accuracy FROM ability) l JOIN (SELECT model, round(theta, 6) AS theta, round(accuracy, 6) AS accuracy FROM ability) r ON l.model < r.model")
 def a17(d):
     board = A.abilities(d.responses).select("model", F.round("theta", 6).alias("theta"), F.round("accuracy", 6).alias("accuracy"))
-    return A.kendall_tau(board, "theta", "accuracy", "model").select("n_pairs", F.round("tau", 6).alias("tau"))
+    return kendall_tau(board, "theta", "accuracy").select("n_pairs", F.round("tau", 6).alias("tau"))
 
 
 @query("e1_full_reference", f"WITH {ABILITY} SELECT model, round(theta, 6) AS theta, round(accuracy, 6) AS accuracy FROM ability")
@@ -255,11 +257,10 @@ def a18(d):
 
 @query("a19_pair_accuracy", f"SELECT round(avg(CASE WHEN sign(l.x - r.x) = sign(l.z - r.z) THEN 1 ELSE 0 END), 6) AS right_pairs, round(coalesce(avg(CASE WHEN abs(l.z - r.z) >= 0.05 THEN CASE WHEN sign(l.x - r.x) = sign(l.z - r.z) THEN 1 ELSE 0 END END), 1), 6) AS resolvable FROM ({PAIRED}) l JOIN ({PAIRED}) r ON l.model < r.model")
 def a19(d):
-    p = paired(d)
-    l, r = p.select("model", "x", "z"), p.select(F.col("model").alias("m2"), F.col("x").alias("x2"), F.col("z").alias("z2"))
-    ok = (F.signum(F.col("x") - F.col("x2")) == F.signum(F.col("z") - F.col("z2"))).cast("int")
-    far = F.avg(F.when(F.abs(F.col("z") - F.col("z2")) >= 0.05, ok))
-    return l.join(r, F.col("model") < F.col("m2")).agg(F.round(F.avg(ok), 6).alias("right_pairs"), F.round(F.coalesce(far, F.lit(1.0)), 6).alias("resolvable"))
+    board = written(paired(d), "paired")
+    near = pair_order(board, "x", "z").select((F.col("concordant") + F.col("tied_both")).alias("right"), "n_pairs")
+    far = distant_pairs(board, "x", "z", 0.05)
+    return near.crossJoin(far).select(F.round(F.col("right") / F.col("n_pairs"), 6).alias("right_pairs"), F.round(F.when(F.col("n_far") > 0, F.col("n_right") / F.col("n_far")).otherwise(1.0), 6).alias("resolvable"))
 
 
 @query("a21_rank_error", f"SELECT round(avg(abs(rx - rz)), 6) AS error FROM (SELECT row_number() OVER (ORDER BY x, model) AS rx, row_number() OVER (ORDER BY z, model) AS rz FROM ({PAIRED}))")
