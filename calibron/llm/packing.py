@@ -21,6 +21,7 @@ an empty result; further columns, whatever their names, are ignored unless named
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -38,8 +39,11 @@ BINS = 1024
 #: Tasks whose leftovers meet in one of the next round.
 FAN = 16
 END = 1
-#: Words, and characters of words, that a worker remembers before it starts anew.
-CACHE_WORDS, CACHE_CHARS = 400_000, 32_000_000
+#: Words, and bytes of words, of a generation of the cache.
+CACHE_WORDS, CACHE_CHARS = 600_000, 48_000_000
+#: A-Z, a-z and U+00C0 to U+012F without signs: NFC leaves them alone, each has one lower-case letter, and no pre-token ends between two.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf])+")
+MARKS = b".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -50,7 +54,8 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with a cache of words."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, with a cache of words in two generations: where the
+    young one is full it becomes the old one, from which words that come again are taken over."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,16 +63,34 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.chars = 0
 
+    def _known(self, word: bytes) -> bytes | None:
+        known = self.cache.get(word)
+        return self.old.get(word) if known is None else known
+
     def learn(self, words: list[bytes]) -> None:
+        """Makes sure that the cache has the words, none of which is empty."""
         if len(self.cache) + len(words) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.cache.clear()
-            self.chars = 0
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+            self.cache, self.old, self.chars = {}, self.cache, 0
+        new, ended = [], []
+        for w in words:
+            if (known := self._known(w)) is not None:
+                self.cache[w] = known
+                continue
+            core = w.rstrip(MARKS)
+            if LETTERS.fullmatch(core):  # letters that the normaliser only lowers, then marks: pre-tokens of their own
+                ended.append((w, core.lower(), w[len(core) :]))
+            else:
+                new.append(w)
+        new += dict.fromkeys(part for _, core, marks in ended for part in (core, marks) if part and self._known(part) is None)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             made = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
             self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
+        for w, core, marks in ended:
+            self.cache[w] = self._known(core) + (self._known(marks) if marks else b"")
         self.chars += sum(map(len, words))
 
     def encode(self, text: str | None) -> bytes:
@@ -75,10 +98,9 @@ class WordTokenizer:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            new = list(dict.fromkeys(w for w in words if w not in self.cache))
-            if len(self.cache) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
-                new = list(dict.fromkeys(words))
-            self.learn(new)
+            wanted = dict.fromkeys(words)
+            missing = [w for w in wanted if w not in self.cache]
+            self.learn(missing if len(self.cache) + len(missing) <= CACHE_WORDS and self.chars <= CACHE_CHARS else list(wanted))
             return b"".join(map(self.cache.__getitem__, words))
 
 
