@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibron.llm.common import columns_of, written
+from calibron.llm.common import byte_level_table, columns_of, written
 
 #: Characters of the documents of a block.
 BLOCK_CHARS = 4_000_000
@@ -47,6 +47,8 @@ BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space after white space, where a unit doesn't end.
 AWKWARD = re.compile(f"[{BLANK}] ")
 BORDER = re.compile(f"(?<=[^{BLANK}]) ")
+#: Letters of A-Z, a-z and U+00C0 to U+012F, then at most eight marks.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]{0,8})")
 #: Links of a group beyond which equal ids are brought together before they expand.
 WIDE = 1 << 16
 
@@ -106,6 +108,8 @@ class Units:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.model, self.byte_level = self.a.model, byte_level_table()
+        self.marks: dict[str, list[int]] = {"": []}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.raw_a = self._byte_level([self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())])
         n = self.b.get_piece_size()
@@ -121,10 +125,8 @@ class Units:
 
     @staticmethod
     def _byte_level(tokens: list[str]) -> list[bytes]:
-        """The bytes that the characters of byte-level entries stand for: printable ones for themselves, the others from U+0100 on."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+        """The bytes that the characters of byte-level entries stand for."""
+        of = {c: b for b, c in byte_level_table().items()}
         return [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in tokens]
 
     def clear(self) -> None:
@@ -140,7 +142,17 @@ class Units:
         return len(self.index) > CACHE_UNITS or self.chars > CACHE_CHARS
 
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        """Ids of A and of B of each unit. Letters after a space are one pre-token of A, marks after them another."""
+        a: list[list[int] | None] = [None] * len(units)
+        for k, u in enumerate(units):
+            if found := PLAIN.fullmatch(u):
+                core, marks = found.groups()
+                if marks not in self.marks:
+                    self.marks[marks] = self.a.encode(marks, add_special_tokens=False).ids
+                a[k] = [t.id for t in self.model.tokenize((" " + core).encode().decode("latin-1").translate(self.byte_level))] + self.marks[marks]
+        rest = [k for k, ids in enumerate(a) if ids is None]
+        for k, e in zip(rest, self.a.encode_batch([" " + units[k] for k in rest], add_special_tokens=False), strict=True):
+            a[k] = e.ids
         b = self.b.encode(units, num_threads=1)
         return a, [ids if u else [self.space] for u, ids in zip(units, b, strict=True)]
 

@@ -112,3 +112,11 @@ def map_texts(df: DataFrame, fn, schema: str, keep: tuple[str, ...] = ("doc_id",
 
 #: Rows of an Arrow batch that are handled together.
 TEXTS_AT_ONCE = 512
+
+
+def byte_level_table() -> dict[int, str]:
+    """For each byte, as a character of Latin-1, the character that stands for it in byte-level vocabularies:
+    printable ones for themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}

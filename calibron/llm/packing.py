@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibron.llm.common import columns_of, written
+from calibron.llm.common import byte_level_table, columns_of, written
 
 SIZE = 4096
 #: Bins that a task keeps open.
@@ -43,6 +43,7 @@ END = 1
 CACHE_WORDS, CACHE_CHARS = 600_000, 48_000_000
 #: A-Z, a-z and U+00C0 to U+012F without signs: NFC leaves them alone, each has one lower-case letter, and no pre-token ends between two.
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf])+")
+#: Runs of these after letters are pre-tokens; at most eight, so that there are few.
 MARKS = b".,;:!?"
 
 
@@ -62,35 +63,44 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.byte_level = self.tokenizer.model, byte_level_table()
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
         self.chars = 0
 
-    def _known(self, word: bytes) -> bytes | None:
-        known = self.cache.get(word)
-        return self.old.get(word) if known is None else known
+    def _of_letters(self, core: bytes) -> bytes:
+        """Ids of letters: one pre-token that the normaliser only lowers, so its lower case goes straight to the merges."""
+        low = core.decode().lower().encode()
+        known = self.cache.get(low) or self.old.get(low)
+        if known is None:
+            known = array("I", [t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.byte_level))]).tobytes()
+            self.cache[low] = known
+        return known
 
     def learn(self, words: list[bytes]) -> None:
         """Makes sure that the cache has the words, none of which is empty."""
         if len(self.cache) + len(words) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.cache, self.old, self.chars = {}, self.cache, 0
-        new, ended = [], []
+        cache, old, new, letters = self.cache, self.old, [], LETTERS.fullmatch
         for w in words:
-            if (known := self._known(w)) is not None:
-                self.cache[w] = known
-                continue
-            core = w.rstrip(MARKS)
-            if LETTERS.fullmatch(core):  # letters that the normaliser only lowers, then marks: pre-tokens of their own
-                ended.append((w, core.lower(), w[len(core) :]))
-            else:
-                new.append(w)
-        new += dict.fromkeys(part for _, core, marks in ended for part in (core, marks) if part and self._known(part) is None)
+            if w in old:
+                cache[w] = old[w]
+            elif w not in cache:
+                core = w.rstrip(MARKS)
+                if not letters(core) or len(w) > len(core) + 8:
+                    new.append(w)
+                elif core == w:
+                    cache[w] = self._of_letters(core)
+                else:
+                    marks = w[len(core) :]
+                    if marks not in self.marks:
+                        self.marks[marks] = array("I", self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids).tobytes()
+                    cache[w] = self._of_letters(core) + self.marks[marks]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             made = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
-        for w, core, marks in ended:
-            self.cache[w] = self._known(core) + (self._known(marks) if marks else b"")
+            cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
         self.chars += sum(map(len, words))
 
     def encode(self, text: str | None) -> bytes:

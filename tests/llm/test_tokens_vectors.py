@@ -122,7 +122,7 @@ def test_alignment_of_awkward_and_empty_tables(awkward, nothing):
     assert alignment.alignment_query(awkward).count() == awkward.count()
     assert alignment.alignment_query(nothing).collect() == []
     kept = alignment.aligned(awkward, keep=("doc_id", "block", "text")).where("doc_id = 300").collect()
-    assert [(r.block, r.text, r.n_a, r.groups_sha256) for r in kept] == [("clash", None, 0, "")]
+    assert [(r.block, r.text, r.n_a, r.groups_sha256) for r in kept] == [("clash block", None, 0, "")]
 
 
 def brute_whitening(rows):
