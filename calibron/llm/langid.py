@@ -225,5 +225,8 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
     names = docs.columns
     model = fit(docs.where(~held_out_col()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = map_texts(docs, lambda texts: [shared.value.predict(texts)[2]], "rejected_language boolean", keep=tuple(names))
-    return marked.where(~F.col("rejected_language")).select(*(F.col(f"`{n}`") for n in names))
+    mark = "rejected_language"
+    while mark in map(str.lower, names):
+        mark += "_"
+    marked = map_texts(docs, lambda texts: [shared.value.predict(texts)[2]], f"{mark} boolean", keep=tuple(names))
+    return marked.where(~F.col(mark)).select(*(F.col(f"`{n}`") for n in names))

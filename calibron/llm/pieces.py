@@ -17,7 +17,11 @@ Characters that no piece holds become byte pieces. Words are cut where no piece
 neighbouring characters, which no path and no merge can cross.
 
 Defined results: null and empty texts have no ids; decoding gives the text back, except that U+2581,
-the model's own sign for a space, comes back as a space; repeated rows give repeated results.
+the model's own sign for a space, comes back as a space; repeated rows give repeated results. Texts of any length
+are encoded whole; a word of over ``LONG`` characters that can't be cut advances alone, in time in
+proportion to its length. Of equal paths of a unigram model the one whose last piece is longest is taken, a
+BPE model has no equal ones. An empty table gives an empty result; further columns, whatever their names, are
+ignored unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ NONE = np.int64(-1)
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 600_000
 LATE = np.int64(1 << 40)
+#: Words longer than this advance alone, without arrays; and neighbours of pieces that are remembered for them.
+LONG, CACHE_PAIRS = 256, 1_000_000
 
 
 def default_model() -> str:
@@ -120,6 +126,7 @@ class PieceModel:
                 a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = rank[k]
+        self.pairs, self.neighbours = pairs, {}
         self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
         self.pair_rank = np.array([pairs[k] for k in sorted(pairs)] or [0], np.int64)
         self.maybe_pair = np.zeros(1 << 20, bool)
@@ -175,6 +182,63 @@ class PieceModel:
                 live, x, y, used_x, used_y = live[go], x[go], y[go], used_x[go], used_y[go]
         return apart
 
+    def _apart(self, u: int, v: int) -> bool:
+        """:meth:`_stay_apart` of two pieces, remembered: a long word has the same neighbours again and again."""
+        key = (u << 32) | v
+        known = self.neighbours.get(key)
+        if known is None:
+            x, y, used_x, used_y, known = u, v, int(LATE), int(LATE), True
+            while True:
+                rank_x, rank_y, right, left = int(self.rank[x]), int(self.rank[y]), int(self.right[x]), int(self.left[y])
+                merge = self.pairs.get((x << 32) | y)
+                if merge is not None and (when := max(int(merge), rank_x, rank_y)) < used_x and when <= used_y:
+                    known = False
+                    break
+                if right < 0 and left < 0:
+                    break
+                if rank_x >= rank_y and right >= 0:
+                    used_x, x = rank_x, right
+                else:
+                    used_y, y = rank_y, left
+            if len(self.neighbours) >= CACHE_PAIRS:
+                self.neighbours.clear()
+            self.neighbours[key] = known
+        return known
+
+    def _alone(self, word: str) -> tuple[int, ...]:
+        """:meth:`_viterbi` of one long word, in time that grows with its length."""
+        n, get = len(word), self.symbol.get
+        last, back = [-1] * (n + 1), [1] * (n + 1)
+        best = None if self.bpe else [0.0] + [-np.inf] * n
+        for end in range(1, n + 1):
+            for size in range(min(end, self.width), 0, -1):
+                start = end - size
+                piece = get(word[start:end])
+                if piece is None:
+                    continue
+                if best is None:
+                    if self.whole[piece] and (start == 0 or last[start] < 0 or self._apart(last[start], piece)):
+                        last[end], back[end] = piece, size
+                        break
+                elif (gain := best[start] + self.score[piece]) > best[end]:
+                    best[end], last[end], back[end] = gain, piece, size
+            if best is not None and best[end] == -np.inf:
+                best[end] = best[end - 1] - 1e6
+        return self._path(word, last, back)
+
+    def _path(self, word: str, last: list[int], back: list[int]) -> tuple[int, ...]:
+        """The pieces of a word from its last end back to its start."""
+        at, path = len(word), []
+        while at:
+            p = last[at]
+            if 0 <= p < self.size:
+                path.append(p)
+            else:  # a character that is no piece
+                path += reversed(self._spelled(word[at - 1]))
+            at -= back[at]
+        path.reverse()
+        return tuple(path)
+
     def _viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
         """Symbols of words of one length. All tables are laid out by position, then word."""
         n, length = len(words), len(words[0])
@@ -219,19 +283,7 @@ class PieceModel:
             if best is not None:
                 none = np.isinf(best[end])  # no piece ends here: a character of its own, after the best path
                 best[end][none] = best[end - 1][none] - 1e6
-        out = []
-        for word, ids, steps in zip(words, last.T.tolist(), back.T.tolist(), strict=True):
-            at, path = length, []
-            while at:
-                p = ids[at]
-                if 0 <= p < self.size:
-                    path.append(p)
-                else:  # a character that is no piece
-                    path += reversed(self._spelled(word[at - 1]))
-                at -= steps[at]
-            path.reverse()
-            out.append(tuple(path))
-        return out
+        return [self._path(word, ids, steps) for word, ids, steps in zip(words, last.T.tolist(), back.T.tolist(), strict=True)]
 
     def _spelled(self, char: str) -> tuple[int, ...]:
         """Byte pieces of a character, or the unknown piece if the model has none."""
@@ -259,6 +311,9 @@ class PieceModel:
         for s in set(chain.from_iterable(split.values())).difference(found):
             by_length.setdefault(len(s), []).append(s)
         for length, words in by_length.items():
+            if length > LONG:
+                found.update((w, self._alone(w)) for w in words)
+                continue
             step = max(1, 400_000 // length)
             for at in range(0, len(words), step):
                 found.update(zip(words[at : at + step], self._viterbi(words[at : at + step]), strict=True))

@@ -128,16 +128,19 @@ def linked(candidates: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with __base and __weak, the spans of each text, and __key, a hash of text and doc_id."""
-    text = F.coalesce("text", F.lit(""))
-    first = docs.select(*(F.col(f"`{c}`") for c in docs.columns), base_spans(text).alias("__base"))
-    return first.withColumn("__weak", weak_spans(text, F.col("__base"))).withColumn("__key", F.xxhash64(text, "doc_id"))
+    """``row``, a struct of all columns of ``docs``, with doc_id, base and weak, the spans of each text, and key, a hash of text and doc_id.
+
+    As the columns of ``docs`` stand in one struct, none of them can clash with those of the scan.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    first = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(text, F.col("row.doc_id")).alias("key"), base_spans(text).alias("base"))
+    return first.withColumn("weak", weak_spans(text, F.col("base")))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans. The spans are written once, so that no text is searched twice."""
-    rows = scanned(columns_of(docs, "doc_id", "text")).select("doc_id", F.col("__key").alias("key"), F.col("__base").alias("base"), F.col("__weak").alias("weak"))
-    rows = written(rows, "secret_spans")
+    rows = written(scanned(columns_of(docs, "doc_id", "text")).select("doc_id", "key", "base", "weak"), "secret_spans")
     added = linked(rows).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "added")
     out = rows.join(added, (rows["key"] == added["k"]) & rows["doc_id"].eqNullSafe(added["d"]), "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -145,11 +148,33 @@ def secrets_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(every).alias("spans"))
 
 
+#: Characters of a chunk of a text that is cut.
+CHUNK = 256
+
+
+def _between(text, starts, ends) -> F.Column:
+    """The parts of a text from each start up to its end; each is taken from the chunks that hold it, so no part is searched for from the start of the text."""
+    part = lambda chunks, a, b: F.substring(F.array_join(F.slice(chunks, (F.floor(a / CHUNK) + 1).cast("int"), (F.floor(b / CHUNK) - F.floor(a / CHUNK) + 1).cast("int")), ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: F.zip_with(starts, ends, lambda a, b: part(chunks, a, b)))
+
+
 def _cut(text, spans) -> F.Column:
-    """The text with every span replaced by [REDACTED]; overlapping spans become one."""
-    pieces = F.transform(spans, lambda s, i: let(F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda p: p["end"])), F.lit(0).cast("long")), lambda upto: F.when(s["start"] >= upto, F.concat(F.substring(text, (upto + 1).cast("int"), (s["start"] - upto).cast("int")), F.lit("[REDACTED]"))).otherwise(F.lit(""))))
-    end = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.concat(F.array_join(pieces, ""), F.substring(text, (end + 1).cast("int"), F.length(text)))
+    """The text with every span replaced by [REDACTED]; overlapping spans become one.
+
+    Spans are sorted by start. All of the first k have ended before the next one begins if, and only if, the
+    k-th smallest end isn't behind its start; there one run of spans ends and another begins.
+    """
+    none = F.lit(None).cast("long")
+    present = lambda a: F.filter(a, lambda x: x.isNotNull())
+
+    def of(ends):
+        heads = present(F.transform(spans, lambda s, i: F.when((i == 0) | (F.get(ends, i - 1) <= s["start"]), s["start"]).otherwise(none)))
+        tails = present(F.transform(ends, lambda e, i: F.when((i == F.size(ends) - 1) | (e <= F.get(spans, i + 1)["start"]), e).otherwise(none)))
+        starts = F.concat(F.array(F.lit(0).cast("long")), tails)
+        stops = F.concat(heads, F.array(F.length(text).cast("long")))
+        return F.array_join(_between(text, starts, stops), "[REDACTED]")
+
+    return let(F.array_sort(F.transform(spans, lambda s: s["end"])), of)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -160,13 +185,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     rows = written(scanned(docs), "secret_rows")
-    added = linked(rows.select(F.col("__key").alias("key"), "doc_id", F.col("__base").alias("base"), F.col("__weak").alias("weak"))).select(F.col("key").alias("__k"), F.col("doc_id").alias("__d"), F.col("added").alias("__added"))
+    added = linked(rows.select("key", "doc_id", "base", "weak")).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "added")
+    none = F.array().cast(NO_SPANS)
     # Most texts have no weak candidate and need no partner; only the others take part in the join.
-    plain = rows.where(F.size("__weak") == 0).withColumn("__added", F.array().cast(NO_SPANS))
-    joined = rows.where(F.size("__weak") > 0)
-    joined = joined.join(added, (joined["__key"] == added["__k"]) & joined["doc_id"].eqNullSafe(added["__d"]), "left").drop("__k", "__d").withColumn("__added", F.coalesce("__added", F.array().cast(NO_SPANS)))
-    both = plain.unionByName(joined).withColumn("__all", F.array_sort(F.concat("__base", "__added")))
-    clean = F.when(F.size("__all") > 0, _cut(F.col("text"), F.col("__all"))).otherwise(F.col("text"))
-    out = both.withColumn("__text", clean)
-    made = {"text": F.col("__text"), "n_chars": F.when(F.size("__all") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {"text": F.col("__text")}
-    return out.select(*((made[c].alias(c)) if c in made else F.col(f"`{c}`") for c in names))
+    plain = rows.where(F.size("weak") == 0).select("row", F.col("base").alias("spans"))
+    joined = rows.where(F.size("weak") > 0)
+    joined = joined.join(added, (joined["key"] == added["k"]) & joined["doc_id"].eqNullSafe(added["d"]), "left").select("row", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    text = F.col("row.text")
+    cut = plain.unionByName(joined).select("row", F.size("spans").alias("found"), F.when(F.size("spans") > 0, _cut(text, F.col("spans"))).otherwise(text).alias("clean"))
+    made = {"text": F.col("clean")}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(F.col("found") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return cut.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in names))

@@ -42,8 +42,8 @@ def awkward(spark, documents):
 
     more = spark.createDataFrame([(None, "no id here at all", "en", "src0", 17), (1, "another text of document one", "en", "src9", 28), (306, "one", "de", "src3", 3)], SCHEMA)
     rows = documents.unionByName(more)
-    for name in ("fp", "key", "uid", "block", "size", "score", "position", "pass", "start", "hash", "k", "file", "path"):
-        rows = rows.withColumn(name, F.lit("clash"))
+    for name in ("fp", "key", "uid", "block", "size", "score", "position", "pass", "start", "hash", "k", "file", "path", "row", "base", "weak", "__base", "__weak", "__added", "__key", "__text", "__size", "__pass", "__position", "__source_size", "rejected_language", "ids"):
+        rows = rows.withColumn(name, F.lit(f"clash {name}"))
     return rows
 
 

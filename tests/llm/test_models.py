@@ -4,7 +4,9 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -166,3 +168,26 @@ def test_pieces_query_awkward_and_empty(awkward, nothing):
     assert pieces.pieces_query(nothing).count() == 0
     back = {r.doc_id: r.decoded for r in pieces.decode(pieces.encode(awkward)).collect()}
     assert back[306] == "one" and back[300] == ""
+
+
+def test_long_words_equal_the_library_in_proportional_time():
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    model = pieces.model_of(pieces.default_model())
+    rng = random.Random(8)
+    texts = ["=" * 100_000, "-=" * 20_000, "a" + " " * 30_000 + "b", "\n" * 30_000, "".join(rng.choice(["=", "--", "_", "ab", "the", "XX", "0", "é", "日"]) for _ in range(20_000))]
+    texts += ["".join(rng.choice(["=", "--", "_", "ab", "ing", "0", "é"]) for _ in range(rng.randint(200, 900))) for _ in range(60)]
+    assert model.encode(texts) == library.encode(texts)
+    began = time.time()
+    assert len(model.encode(["=" * 1_000_000])[0]) > 0
+    assert time.time() - began < 90
+
+
+@pytest.mark.parametrize("bpe", [False, True])
+def test_a_word_alone_is_as_among_others(bpe, monkeypatch):
+    rng = random.Random(12)
+    rows = [("<unk>", 0.0, 2)] + [(c, -5.0 - k, 1) for k, c in enumerate("ab▁")]
+    rows += [("aa", -1.0, 1), ("ab", -2.0, 1), ("aab", -2.5, 1), ("aaaa", -3.0, 1), ("ba", -3.5, 1), ("abab", -4.0, 1)]
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    want = pieces.PieceModel.of(rows, bpe=bpe).encode(texts)
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert pieces.PieceModel.of(rows, bpe=bpe).encode(texts) == want
