@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibron.sources.scratch import written
@@ -135,3 +135,34 @@ def distant_pairs(rows: DataFrame, x: str, y: str, gap: float) -> DataFrame:
     right = crossings(sides, []).select(F.coalesce("crossings", none).alias("n_right"))
     far = crossings(sides.withColumn("q", 1 - F.col("tie")), []).select(F.coalesce("crossings", none).alias("n_far"))
     return far.crossJoin(right)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(keys, share, quantile): exact quantiles with linear interpolation between neighbours; nulls don't count.
+
+    Rows are range-partitioned by key and value once. Counts by part tell which parts hold the wanted ranks, and
+    only those are numbered, so no buffer holds the values of a key and several shares cost one pass.
+    """
+    rows = written(rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null"), "quantile_rows")
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // PART_ROWS)))
+    ranged = written(rows.repartitionByRange(parts, *keys, "v").withColumn("part", F.spark_partition_id()), "quantile_parts") if parts > 1 else rows.withColumn("part", F.lit(0))
+    counts = ranged.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    per = Window.partitionBy(*keys)
+    ends = F.sum("n").over(per.orderBy("part"))
+    counts = counts.withColumns({"before": ends - F.col("n"), "upto": ends, "all": F.sum("n").over(per)})
+    at = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
+    wanted = counts.withColumn("share", at).withColumn("rank", F.col("share") * (F.col("all") - 1))
+    low = F.floor("rank")
+    places = F.array(F.struct(low.alias("place"), (1 - (F.col("rank") - low)).alias("weight")), F.struct((low + 1).alias("place"), (F.col("rank") - low).alias("weight")))
+    wanted = wanted.withColumn("w", F.explode(places)).where("w.place >= before and w.place < upto").select(*keys, "part", "share", "before", F.col("w.place").alias("place"), F.col("w.weight").alias("weight"))
+    wanted = written(wanted, "quantile_ranks")
+    held = ranged.join(wanted.select(*keys, "part", "before").distinct(), [*keys, "part"])
+    nth = held.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("v")) - 1)
+    found = nth.select(*keys, "part", "place", "v").join(wanted.drop("before"), [*keys, "part", "place"])
+    return found.groupBy(*keys, "share").agg(F.sum(F.col("v") * F.col("weight")).alias("quantile"))
+
+
+def quantile_columns(rows: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """:func:`quantiles` with a column for each name of ``named``."""
+    each = quantiles(rows, keys, value, tuple(named.values()))
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in named.items()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +79,62 @@ def triple_questions(marks3: DataFrame) -> DataFrame:
     best = Window.partitionBy("scene", "subtask")
     won = rows.withColumn("top", F.max("value").over(best)).where("value = top")
     return won.groupBy("scene", "subtask").agg(F.count(F.lit(1)).alias("n"), F.min("colour").alias("answer")).where("n = 1").drop("n")
+
+
+#: Colours of marks in their order.
+MARKS = ("red", "blue", "green")
+
+
+def chosen(candidates: list[tuple[int, int, int]], n: int, hard: bool) -> tuple[int, list[tuple[int, int, int]]] | None:
+    """(spread, cubes): n of the sorted candidates with the largest, or if ``hard`` the smallest, distance between their
+    furthest two on screen. Three or more differ on every axis that questions ask about, two in their place on screen.
+    Of equal spreads the first in the order of the candidates; None if there is no such set.
+
+    Branch and bound: a set that grows keeps its spread or widens it, and can't exceed the widest pair with any
+    of the candidates that are left.
+    """
+    at = [(x - y, z, x + y) for x, y, z in candidates]
+    apart = [[abs(p[0] - q[0]) + abs(p[1] - q[1]) for q in at] for p in at]
+    fits = [[all(a != b for a, b in zip(p, q, strict=True)) if n > 2 else p[:2] != q[:2] for q in at] for p in at]
+    reach = max((max(row) for row in apart), default=0)
+    best: list = [None, None]
+
+    def better(spread: int) -> bool:
+        return best[0] is None or (spread < best[0] if hard else spread > best[0])
+
+    def grow(first: int, taken: list[int], spread: int) -> None:
+        if len(taken) == n:
+            if better(spread):
+                best[:] = [spread, list(taken)]
+            return
+        if not better(spread if hard else reach):
+            return
+        for k in range(first, len(at) - (n - len(taken)) + 1):
+            if all(fits[k][t] for t in taken):
+                grow(k + 1, [*taken, k], max([spread, *(apart[k][t] for t in taken)]))
+
+    grow(0, [], 0)
+    return None if best[0] is None else (best[0], [candidates[k] for k in best[1]])
+
+
+def marked(visible_cubes: DataFrame, n: int = 2, hard: bool = False, min_share: float = 0.5) -> DataFrame:
+    """(scene, spread, colour, x, y, z): the marks of each scene; a scene without enough clearly visible cubes has none.
+
+    A cube shows clearly if its share of the picture (``cells`` of :func:`visible`) is ``min_share`` of the largest
+    or more. The candidates of a scene meet in its row, so a scene is searched in one task.
+    """
+    if not 2 <= n <= len(MARKS):
+        raise ValueError(f"2 to {len(MARKS)} cubes can be marked, not {n}")
+    cube = F.struct("x", "y", "z", "cells")
+    packed = visible_cubes.groupBy("scene").agg(F.collect_list(cube).alias("c"), F.max("cells").alias("most"))
+    clear = packed.select("scene", F.array_sort(F.transform(F.filter("c", lambda c: c["cells"] >= min_share * F.col("most")), lambda c: F.array(c["x"].cast("int"), c["y"].cast("int"), c["z"].cast("int")))).alias("clear")).where(F.size("clear") >= n)
+
+    def search(batches):
+        for pdf in batches:
+            rows = []
+            for scene, cubes_ in zip(pdf["scene"], pdf["clear"], strict=True):
+                if (found := chosen([tuple(map(int, c)) for c in cubes_], n, hard)) is not None:
+                    rows += [(scene, found[0], MARKS[k], *c) for k, c in enumerate(found[1])]
+            yield pd.DataFrame(rows, columns=["scene", "spread", "colour", "x", "y", "z"])
+
+    return clear.mapInPandas(search, f"scene {visible_cubes.schema['scene'].dataType.simpleString()}, spread int, colour string, x int, y int, z int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibron.plans import fit_queries, loading_queries, log_queries, matrix_queries, more_queries, stream_queries, text_queries  # noqa: F401  they register themselves
+from calibron.plans import fit_queries, loading_queries, log_queries, matrix_queries, more_queries, placement_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 from calibron.plans.registry import QUERIES, SQL
 from calibron.sources.domain import Domain
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibron.operators import eventlog as E
+from calibron.operators.agreement import quantile_columns
 from calibron.plans.registry import query
 
 big = lambda c: F.col(c).cast("long").alias(c)
@@ -134,13 +135,13 @@ def a4(d):
 
 @query("a5_median_session_latency", "SELECT round(quantile_cont(finished_at - started_at, 0.5), 6) AS median_s FROM sessions WHERE status = 'done'")
 def a5(d):
-    return d.sessions.where("status = 'done'").agg(F.round(F.percentile(F.col("finished_at") - F.col("started_at"), 0.5), 6).alias("median_s"))
+    rows = d.sessions.where("status = 'done'").select((F.col("finished_at") - F.col("started_at")).alias("took"))
+    return quantile_columns(rows, [], "took", {"median_s": 0.5}).select(F.round("median_s", 6).alias("median_s"))
 
 
 @query("a6_latency_percentiles", "SELECT status, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95 FROM attempts GROUP BY 1")
 def a6(d):
-    p = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95)))
-    return d.attempts.groupBy("status").agg(p.alias("p")).select("status", F.round(F.get("p", 0), 6).alias("p50"), F.round(F.get("p", 1), 6).alias("p95"))
+    return quantile_columns(d.attempts, ["status"], "latency", {"p50": 0.5, "p95": 0.95}).select("status", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("a7_wall_clock", "SELECT model, count(*) AS calls, round((max(micros) - min(micros)) / 1e6, 6) AS wall_s, round(count(*) / nullif((max(micros) - min(micros)) / 1e6, 0), 9) AS per_s FROM attempts GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calibron.functions import irt
 from calibron.operators import abilities as A
-from calibron.operators.agreement import distant_pairs, kendall_tau, pair_order
+from calibron.operators.agreement import distant_pairs, kendall_tau, pair_order, quantile_columns
 from calibron.plans.registry import query
 from calibron.sources.scratch import written
 
@@ -312,7 +312,7 @@ def a25(d):
     acc = d.responses.groupBy("model").agg(F.avg("y").alias("acc"))
     rows = A.placed(acc, "acc", "model").select("place", "acc")
     before = rows.select((F.col("place") + 1).alias("place"), F.col("acc").alias("below"))
-    return rows.join(before, "place").select((F.col("acc") - F.col("below")).alias("gap")).agg(F.round(F.percentile("gap", 0.5), 6).alias("gap"))
+    return rows.join(before, "place").select((F.col("acc") - F.col("below")).alias("step")).transform(lambda r: quantile_columns(r, [], "step", {"gap": 0.5})).select(F.round("gap", 6).alias("gap"))
 
 
 @query("a26_mean_covariance", f"SELECT round(avg(x), 6) AS mx, round(avg(z), 6) AS mz, round(var_samp(x), 6) AS vx, round(covar_samp(x, z), 6) AS cxz, round(var_samp(z), 6) AS vz FROM ({PAIRED})")

@@ -40,6 +40,16 @@ def t3(d):
     return d.replies.select("conv_id", "turn", G.extracted(F.col("reply"), F.col("answer"), options()).alias("got"))
 
 
+ALIASED = GRADED.replace("CASE WHEN options = '' THEN answer ELSE options END", "answer || ',' || options")
+
+
+@query("t3_extract_aliases", f"SELECT conv_id, turn, got FROM ({ALIASED})")
+def t3_aliases(d):
+    """What is extracted where the words of ``options`` are aliases of the answer and no options are named."""
+    none = F.array().cast("array<string>")
+    return d.replies.select("conv_id", "turn", G.extracted(F.col("reply"), F.col("answer"), none, options()).alias("got"))
+
+
 @query("t4_grade", f"SELECT conv_id, turn, coalesce(got = answer, false) AS correct FROM ({GRADED})")
 def t4(d):
     return d.replies.select("conv_id", "turn", G.graded(F.col("reply"), F.col("answer"), options()).alias("correct"))
@@ -167,3 +177,15 @@ def f17(d):
     rows = lanes(d)
     shut = rows.select("model", "s", "v", *(F.when(~anchor, F.col(c)).alias(c) for c in ("item_idx", "v_new", "n_open")))
     return R.call_gains(shut).select("model", "item_idx", F.round("gain", 9).alias("gain"))
+
+
+@query("g6_marked_cubes")
+def g6(d):
+    """Two and three coloured cubes of each scene, as far apart and as close together as its visible cubes allow."""
+    seen = written(S.visible(cubes(d)), "visible")
+    out = None
+    for n in (2, 3):
+        for hard in (False, True):
+            rows = S.marked(seen, n, hard).withColumns({"n": F.lit(n), "hard": F.lit(hard)})
+            out = rows if out is None else out.unionByName(rows)
+    return out
