@@ -1,7 +1,10 @@
-"""Joint MAP fits by alternation: abilities by model, item parameters from sums over their answers.
+"""Joint MAP fits. 2PL: item parameters by L-BFGS over partitioned vectors, abilities solved in each evaluation.
+Explanatory: abilities by model and scoring steps for the design in turn.
 
-The answers to one item are never gathered: Newton steps for items need a few sums each, which Spark
-aggregates partially before the shuffle. Only one model's answers, at most one for each item, meet in a row.
+For given items the ability of a model has one best value, which Newton steps find in the model's row; with it
+put in, the objective depends on the items alone and its gradient is that of the cells at these abilities. The
+answers to one item are never gathered: its part of the gradient is two sums, which Spark aggregates partially
+before the shuffle. Only one model's answers, at most one for each item, meet in a row.
 """
 
 from __future__ import annotations
@@ -12,40 +15,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibron.functions.irt import map_ability, sigmoid
+from calibron.operators.lbfgs import Trace, minimise
 from calibron.sources.scratch import written
 
-#: No step moves a log slope or a difficulty further than this.
+#: No scoring step of the explanatory fit moves a log slope or a weight further than this.
 REACH = 1.0
+#: Log slopes are kept within +-6 of 0 where they enter a probability.
+STEEPEST = 6.0
+#: What an answer is taken to add to the curvature along its item, to scale the search by.
+TYPICAL = 0.2
 
 
 def clipped(move: Column) -> Column:
     return F.greatest(F.lit(-REACH), F.least(F.lit(REACH), move))
 
 
-def fit_2pl(cells: DataFrame, sigma_log_a: float = 0.5, sigma_b: float = 2.0, rounds: int = 12, steps: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(bank(item_idx, a, b), abilities(model, theta)) of ``cells(model, item_idx, y)``; null answers don't count.
+def _softplus(z: Column) -> Column:
+    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
 
-    Priors: theta ~ N(0, 1), log a ~ N(0, sigma_log_a), b ~ N(0, sigma_b). A round fits all abilities, then
-    takes ``steps`` scoring steps for the items, each one aggregation of the cells; a round is two jobs.
+
+def item_sums(cells: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums over the answers at the best abilities, and these abilities.
+
+    ``cells(run, model, item_idx, y)``, ``bank(run, item_idx, dim, a, b)`` with logit a * theta[dim] - b, theta ~ N(0, 1).
+    Gives (run, item_idx, r, u): sums of p - y and of (p - y) * a * theta, and in rows of null item_idx as r the
+    models' parts of the objective; and (run, model, dim, theta).
+    """
+    packed = cells.join(bank, ["run", "item_idx"]).groupBy("run", "model", "dim").agg(F.collect_list(F.struct("a", "b", "y", "item_idx")).alias("c"))
+    solved = packed.withColumn("theta", map_ability(F.col("c"), offset=True)["theta"])
+    z = lambda x: x["a"] * F.col("theta") - x["b"]
+    lost = F.aggregate(F.transform("c", lambda x: _softplus(z(x)) - x["y"] * z(x)), F.col("theta") * F.col("theta") / 2, lambda s, v: s + v)
+    miss = lambda x: sigmoid(z(x)) - x["y"]
+    parts = F.concat(F.transform("c", lambda x: F.struct(x["item_idx"].alias("item_idx"), miss(x).alias("r"), (miss(x) * x["a"] * F.col("theta")).alias("u"))), F.array(F.struct(F.lit(None).cast("int").alias("item_idx"), lost.alias("r"), F.lit(0.0).alias("u"))))
+    each = solved.select("run", F.explode(parts).alias("p")).select("run", F.col("p.item_idx").cast("long").alias("item_idx"), "p.r", "p.u")
+    return each.groupBy("run", "item_idx").agg(F.sum("r").alias("r"), F.sum("u").alias("u")), solved.select("run", "model", "dim", "theta")
+
+
+def _steep(log_a: Column) -> Column:
+    return F.exp(F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), log_a)))
+
+
+def fit_2pl(cells: DataFrame, sigma_log_a: float = 0.5, sigma_b: float = 2.0, rounds: int = 100, tol: float = 1e-5) -> tuple[DataFrame, DataFrame, Trace]:
+    """(bank(item_idx, a, b), abilities(model, theta), trace) of ``cells(model, item_idx, y)``; null answers don't count.
+
+    Priors: theta ~ N(0, 1), log a ~ N(0, sigma_log_a), b ~ N(0, sigma_b). Ends once no entry of the gradient is
+    over ``tol``; keys 2 i and 2 i + 1 are log a and b of item i.
     """
-    cells = written(cells.where("y is not null").select("model", "item_idx", F.col("y").cast("double").alias("y")), "fit_cells")
+    cells = written(cells.where("y is not null").select(F.lit(0).alias("run"), "model", "item_idx", F.col("y").cast("double").alias("y")), "fit_cells")
     rate = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.avg("y")))
-    bank = written(cells.groupBy("item_idx").agg(rate.alias("p")).select("item_idx", F.lit(1.0).alias("a"), (-F.ln(F.col("p") / (1 - F.col("p")))).alias("b")), "fit_bank")
-    theta = None
-    for _ in range(rounds):
-        packed = cells.join(bank, "item_idx").groupBy("model").agg(F.collect_list(F.struct("a", "b", "y")).alias("c"))
-        theta = written(packed.select("model", map_ability(F.col("c"))["theta"].alias("theta")), "fit_theta")
-        for _ in range(steps):
-            u = F.col("a") * (F.col("theta") - F.col("b"))
-            rows = cells.join(theta, "model").join(bank, "item_idx").select("item_idx", "a", "b", "y", u.alias("u"), sigmoid(u).alias("p"))
-            q = F.col("p") * (1 - F.col("p"))
-            sums = rows.groupBy("item_idx", "a", "b").agg(F.sum((F.col("p") - F.col("y")) * F.col("u")).alias("gu"), F.sum(F.col("p") - F.col("y")).alias("g"), F.sum(q * F.col("u") * F.col("u")).alias("quu"), F.sum(q * F.col("u")).alias("qu"), F.sum(q).alias("q"))
-            at = sums.select("item_idx", "a", "b", (F.col("gu") + F.ln("a") / sigma_log_a**2).alias("g1"), (F.col("b") / sigma_b**2 - F.col("g") * F.col("a")).alias("g2"), (F.col("quu") + 1 / sigma_log_a**2).alias("h11"), (-F.col("qu") * F.col("a")).alias("h12"), (F.col("q") * F.col("a") * F.col("a") + 1 / sigma_b**2).alias("h22"))
-            det = F.col("h11") * F.col("h22") - F.col("h12") * F.col("h12")
-            move_a, move_b = (F.col("h22") * F.col("g1") - F.col("h12") * F.col("g2")) / det, (F.col("h11") * F.col("g2") - F.col("h12") * F.col("g1")) / det
-            bank = at.select("item_idx", (F.col("a") * F.exp(-clipped(move_a))).alias("a"), (F.col("b") - clipped(move_b)).alias("b"))
-        bank = written(bank, "fit_bank")
-    return bank, theta
+    begin = cells.groupBy("run", "item_idx").agg(rate.alias("p"), (TYPICAL * F.count("y")).alias("h"))
+    of = lambda odd, x, h: F.struct((F.col("item_idx") * 2 + odd).cast("long").alias("key"), x.alias("x"), h.alias("h"))
+    keys = F.array(of(0, F.lit(0.0), F.col("h") + 1 / sigma_log_a**2), of(1, -F.ln(F.col("p") / (1 - F.col("p"))), F.col("h") + 1 / sigma_b**2))
+    start = written(begin.select("run", F.explode(keys).alias("k")).select("run", "k.*"), "fit_start")
+
+    def bank_of(points: DataFrame) -> DataFrame:
+        at = lambda odd: F.max(F.when(F.col("key") % 2 == odd, F.col("x")))
+        rows = points.groupBy("run", F.expr("key div 2").alias("item_idx")).agg(at(0).alias("log_a"), at(1).alias("b"))
+        return rows.select("run", "item_idx", F.lit(0).alias("dim"), "log_a", _steep(F.col("log_a")).alias("a"), F.col("b").alias("hard"), (_steep(F.col("log_a")) * F.col("b")).alias("b"))
+
+    def evaluate(points: DataFrame) -> DataFrame:
+        bank = bank_of(points)
+        sums, _ = item_sums(cells, bank.select("run", "item_idx", "dim", "a", "b"))
+        rows = sums.where("item_idx is not null").join(bank, ["run", "item_idx"])
+        prior = F.col("log_a") ** 2 / (2 * sigma_log_a**2) + F.col("hard") ** 2 / (2 * sigma_b**2)
+        of_a = F.col("u") - F.col("b") * F.col("r") + F.col("log_a") / sigma_log_a**2
+        of_b = -F.col("a") * F.col("r") + F.col("hard") / sigma_b**2
+        parts = F.array(F.struct((F.col("item_idx") * 2).alias("key"), of_a.alias("g")), F.struct((F.col("item_idx") * 2 + 1).alias("key"), of_b.alias("g")), F.struct(F.lit(None).cast("long").alias("key"), prior.alias("g")))
+        return rows.select("run", F.explode(parts).alias("p")).select("run", "p.key", "p.g").unionByName(sums.where("item_idx is null").select("run", F.lit(None).cast("long").alias("key"), F.col("r").alias("g")))
+
+    points, trace = minimise(start, evaluate, tol, rounds)
+    bank = written(bank_of(points).select("run", "item_idx", "dim", "a", "b", "hard"), "fit_bank")
+    _, theta = item_sums(cells, bank.drop("hard"))
+    return bank.select("item_idx", "a", F.col("hard").alias("b")), written(theta.select("model", "theta"), "fit_theta"), trace.get(0, Trace())
 
 
 def _normal_sums(items: DataFrame, groups: int, width: int, tau: float | None) -> dict[int, np.ndarray]:
