@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calibron.functions.irt import information, map_ability
 from calibron.operators.policy import running
-from calibron.sources.scratch import written
+from calibron.sources.scratch import with_every_item
 
 
 def abilities(cells: DataFrame, prior_sd: float = 1.0) -> DataFrame:
@@ -21,7 +21,7 @@ def abilities(cells: DataFrame, prior_sd: float = 1.0) -> DataFrame:
 
 def next_items(state: DataFrame, bank: DataFrame, used: DataFrame) -> DataFrame:
     """For each (model, theta) of ``state`` the unused item of largest information; ties go to the lowest item_idx."""
-    open_items = state.crossJoin(bank).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
+    open_items = with_every_item(state, bank).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
     info = information(F.col("theta"), F.col("a"), F.col("b"))
     best = open_items.groupBy("model").agg(F.min(F.struct((-info).alias("minus"), "item_idx")).alias("b"))
     return best.select("model", "b.item_idx", (-F.col("b.minus")).alias("info"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibron.functions.irt import BOUND, SMALL, sigmoid
-from calibron.sources.scratch import written
+from calibron.sources.scratch import with_every_item, written
 
 #: Loading vectors longer than this make expressions that are too large to be worth compiling.
 MOST_DIMS = 6
@@ -157,7 +157,7 @@ def pool_rows(bank: DataFrame, answers: DataFrame, dims: int) -> DataFrame:
     The answers are read twice, so they should be written.
     """
     post = posteriors(answers, dims)
-    rows = post.crossJoin(bank.select("item_idx", "loadings", "b", "w")).join(answers.select("model", "item_idx", "y"), ["model", "item_idx"], "left")
+    rows = with_every_item(post, bank.select("item_idx", "loadings", "b", "w")).join(answers.select("model", "item_idx", "y"), ["model", "item_idx"], "left")
     z = _dot([F.col("loadings")[d] for d in range(dims)], [F.col("theta")[d] for d in range(dims)]) - F.col("b")
     return rows.withColumn("p", sigmoid(z)).withColumn("q", F.col("p") * (1 - F.col("p")))
 

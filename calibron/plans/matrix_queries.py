@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from calibron.functions import irt
 from calibron.operators import abilities as A
-from calibron.operators.agreement import distant_pairs, kendall_tau, pair_order, quantile_columns
+from calibron.operators.agreement import distant_pairs, kendall_tau, pair_order, quantile_columns, tau_b
 from calibron.plans.registry import query
-from calibron.sources.scratch import written
+from calibron.sources.scratch import with_every_item, written
 
 def newton(cells: str) -> str:
     """``th(model, theta)``: the Newton steps of NEWTON over other cells (model, a, b, y)."""
@@ -31,7 +31,7 @@ def leaderboard(d):
 
 @query("k4_leaderboard", f"WITH {ABILITY} SELECT model, n_items, round(accuracy, 6) AS accuracy, round(theta, 6) AS theta, round(se, 6) AS se, row_number() OVER (ORDER BY round(theta, 6) DESC, model) AS rank FROM ability")
 def k4(d):
-    return leaderboard(d).orderBy("rank")
+    return leaderboard(d)
 
 
 @query("m3_estimate_ability", f"WITH {ABILITY} SELECT model, round(theta, 6) AS theta, round(se, 6) AS se FROM ability")
@@ -52,9 +52,10 @@ def e1(d):
 
 @query("k1_next_item_max_info", f"WITH {NEWTON}, used AS (SELECT model, item_idx FROM responses WHERE item_idx % 4 = 0), cand AS (SELECT th.model, i.item_idx, i.item_id, i.a * i.a * (1 / (1 + exp(-i.a * (round(theta, 6) - i.b)))) * (1 - 1 / (1 + exp(-i.a * (round(theta, 6) - i.b)))) AS info FROM th CROSS JOIN items i WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.model = th.model AND u.item_idx = i.item_idx)) SELECT model, item_idx, item_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(info, 9) DESC, item_idx) AS k FROM cand) WHERE k = 1")
 def k1(d):
-    state = A.abilities(d.responses).select("model", F.round("theta", 6).alias("theta"))
-    used = d.responses.where("item_idx % 4 = 0")
-    open_items = state.crossJoin(d.items).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
+    responses = written(d.responses.select("model", "item_idx", "a", "b", "y"), "responses")
+    state = A.abilities(responses).select("model", F.round("theta", 6).alias("theta"))
+    used = responses.where("item_idx % 4 = 0")
+    open_items = with_every_item(state, d.items.select("item_idx", "item_id", "a", "b")).join(used.select("model", "item_idx"), ["model", "item_idx"], "left_anti")
     info = F.round(irt.information(F.col("theta"), F.col("a"), F.col("b")), 9)
     best = open_items.groupBy("model").agg(F.min(F.struct((-info).alias("minus"), "item_idx", "item_id")).alias("b"))
     return best.select("model", "b.item_idx", "b.item_id")
@@ -74,9 +75,20 @@ def m6(d):
     return d.items.select("item_id", F.round(gain, 9).alias("gain"), F.round(irt.nearest_priority(n, se, info, 5, 0.3), 6).alias("nearest"), F.round(gain / F.greatest(F.lit(0.0009), F.lit(1e-9)), 6).alias("priority"))
 
 
-@query("m9_windows", "SELECT provider, CAST(greatest(1, ceil(rpm / 60 * ((lat_lo + lat_hi) / 2) * 1.5e0)) AS BIGINT) AS slots FROM providers")
+MEASURED = "SELECT provider, avg(latency) AS latency, avg(tokens) AS tokens FROM attempts JOIN sessions USING (session_id) GROUP BY 1"
+
+
+def measured(d):
+    """Mean latency and tokens of each provider's attempts."""
+    rows = d.attempts.join(d.sessions.select("session_id", "provider"), "session_id")
+    return rows.groupBy("provider").agg(F.avg("latency").alias("latency"), F.avg("tokens").alias("tokens"))
+
+
+@query("m9_windows", f"SELECT provider, CAST(greatest(1, ceil(round(rpm / 60 * latency * 1.5e0, 6))) AS BIGINT) AS slots FROM providers JOIN ({MEASURED}) USING (provider)")
 def m9(d):
-    return d.providers.select("provider", F.greatest(F.lit(1), F.ceil(F.col("rpm") / 60 * ((F.col("lat_lo") + F.col("lat_hi")) / 2) * F.lit(1.5))).cast("long").alias("slots"))
+    """Calls that a provider can have in flight at its rate and its measured latency."""
+    calls = F.round(F.col("rpm") / 60 * F.col("latency") * F.lit(1.5), 6)
+    return d.providers.join(measured(d), "provider").select("provider", F.greatest(F.lit(1), F.ceil(calls)).cast("long").alias("slots"))
 
 
 @query("m10_family_weights", "SELECT item_idx, round(CASE WHEN dim = 0 THEN 0.5e0 / count(*) OVER (PARTITION BY dim) ELSE 0.5e0 / count(*) OVER (PARTITION BY dim) END, 9) AS w FROM items")
@@ -97,9 +109,10 @@ def m22(d):
     return d.providers.join(measured, "provider", "left").select("provider", F.round(F.coalesce("cost", F.col("est_tokens") / 1000 * F.col("usd_in"), F.lit(0.002)), 9).alias("expected"))
 
 
-@query("m23_call_costs", "SELECT provider, round(850 / 1000e0 * usd_in + 20 / 1000e0 * usd_out, 9) AS cost FROM providers")
+@query("m23_call_costs", f"SELECT provider, round(tokens / 1000e0 * usd_in + 20 / 1000e0 * usd_out, 9) AS cost FROM providers JOIN ({MEASURED}) USING (provider)")
 def m23(d):
-    return d.providers.select("provider", F.round(F.lit(850) / 1000 * F.col("usd_in") + F.lit(20) / 1000 * F.col("usd_out"), 9).alias("cost"))
+    """Cost of a call at the tokens that calls were measured to take, and 20 tokens of reply."""
+    return d.providers.join(measured(d), "provider").select("provider", F.round(F.col("tokens") / 1000 * F.col("usd_in") + F.lit(20) / 1000 * F.col("usd_out"), 9).alias("cost"))
 
 
 @query("m26_item_features", "SELECT item_idx, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS z, round(ln(p_size), 6) AS log_size, CASE WHEN subtask = 'PROMO' THEN 1 ELSE 0 END AS is_promo FROM items")
@@ -128,8 +141,9 @@ def s14(d):
 
 @query("w8_matrix_pivot", "SELECT m.model, string_agg(coalesce(CAST(r.y AS STRING), '-'), '' ORDER BY i.item_idx) AS results FROM (SELECT DISTINCT model FROM responses) m CROSS JOIN items i LEFT JOIN responses r ON r.model = m.model AND r.item_idx = i.item_idx GROUP BY 1")
 def w8(d):
-    grid = d.responses.select("model").distinct().crossJoin(F.broadcast(d.items.select("item_idx")))
-    cells = grid.join(d.responses.select("model", "item_idx", "y"), ["model", "item_idx"], "left")
+    responses = written(d.responses.select("model", "item_idx", "y"), "responses")
+    grid = with_every_item(responses.select("model").distinct(), d.items.select("item_idx"))
+    cells = grid.join(responses, ["model", "item_idx"], "left")
     packed = cells.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("item_idx", "y"))).alias("c"))
     return packed.select("model", F.array_join(F.transform("c", lambda c: F.coalesce(c["y"].cast("string"), F.lit("-"))), "").alias("results"))
 
@@ -249,10 +263,20 @@ def a16(d):
     return acc.agg(F.round(F.corr("b", 1 - F.col("acc")), 6).alias("r"))
 
 
-@query("a18_misordered_pairs", "SELECT n, t, CAST(round_even((1 - t) * n * (n - 1) / 4, 0) AS BIGINT) AS misordered FROM (VALUES (7, 0.25e0), (8, 0.5e0), (60, 0.9e0), (5, 0.7e0)) v(n, t)")
+HALVES = "SELECT subtask, model, round(avg(y) FILTER (WHERE item_idx % 2 = 0), 9) AS x, round(avg(y) FILTER (WHERE item_idx % 2 = 1), 9) AS z FROM responses GROUP BY 1, 2 HAVING count(*) FILTER (WHERE item_idx % 2 = 0) > 0 AND count(*) FILTER (WHERE item_idx % 2 = 1) > 0"
+
+
+@query(
+    "a18_misordered_pairs",
+    f"WITH h AS ({HALVES}), t AS (SELECT l.subtask, sum(sign(l.x - r.x) * sign(l.z - r.z)) / sqrt(count(*) FILTER (WHERE l.x <> r.x)::DOUBLE * count(*) FILTER (WHERE l.z <> r.z)) AS tau FROM h l JOIN h r ON l.subtask = r.subtask AND l.model < r.model GROUP BY 1) SELECT subtask, n, round(tau, 6) AS tau, CAST(round_even((1 - round(tau, 6)) * n * (n - 1) / 4, 0) AS BIGINT) AS misordered FROM t JOIN (SELECT subtask, count(*) AS n FROM h GROUP BY 1) USING (subtask)",
+)
 def a18(d):
-    rows = d.spark.createDataFrame([(7, 0.25), (8, 0.5), (60, 0.9), (5, 0.7)], "n int, t double")
-    return rows.withColumn("misordered", F.bround((1 - F.col("t")) * F.col("n") * (F.col("n") - 1) / 4, 0).cast("long"))
+    """Pairs of models that two halves of a subtask's items order differently, as their rank agreement tells."""
+    half = lambda k: F.round(F.avg(F.when(F.col("item_idx") % 2 == k, F.col("y"))), 9)
+    rows = written(d.responses.groupBy("subtask", "model").agg(half(0).alias("x"), half(1).alias("z")).where("x is not null and z is not null"), "halves")
+    tau = tau_b(pair_order(rows, "x", "z", ["subtask"]), ["subtask"]).select("subtask", F.round("tau", 6).alias("tau"))
+    n = rows.groupBy("subtask").agg(F.count(F.lit(1)).alias("n"))
+    return tau.join(n, "subtask").withColumn("misordered", F.bround((1 - F.col("tau")) * F.col("n") * (F.col("n") - 1) / 4, 0).cast("long"))
 
 
 @query("a19_pair_accuracy", f"SELECT round(avg(CASE WHEN sign(l.x - r.x) = sign(l.z - r.z) THEN 1 ELSE 0 END), 6) AS right_pairs, round(coalesce(avg(CASE WHEN abs(l.z - r.z) >= 0.05 THEN CASE WHEN sign(l.x - r.x) = sign(l.z - r.z) THEN 1 ELSE 0 END END), 1), 6) AS resolvable FROM ({PAIRED}) l JOIN ({PAIRED}) r ON l.model < r.model")

@@ -12,7 +12,7 @@ from calibron.operators import abilities as A
 from calibron.operators import eventlog as E
 from calibron.operators import experiments as X
 from calibron.operators import ranking as R
-from calibron.operators.agreement import quantile_columns
+from calibron.operators.agreement import pair_order, quantile_columns, tau_b
 from calibron.plans.registry import query
 from calibron.sources import files
 from calibron.sources.scratch import root, written
@@ -224,10 +224,24 @@ def f19(d):
     return d.items.select("item_idx", "item_id").join(own, "item_idx", "left").select("item_id", F.when(F.col("correct").isNull(), "fatal").otherwise("ok").alias("outcome"), "correct")
 
 
-@query("e2_run_report", "SELECT run_name, sessions, calls, paid, round(cost, 6) AS cost, round(wall_s, 6) AS wall_s FROM (SELECT s.run_name, count(DISTINCT s.session_id) AS sessions, count(*) AS calls, count(*) FILTER (WHERE cached = 0) AS paid, sum(cost) AS cost, max(finished_at) - min(started_at) AS wall_s FROM log l JOIN sessions s USING (session_id) WHERE type = 'answer_recorded' GROUP BY 1)")
+EARLY = "SELECT run_name, session_id, round(avg(correct), 9) AS full_acc, round(avg(correct) FILTER (WHERE k <= 10), 9) AS early FROM (SELECT s.run_name, l.session_id, l.correct, row_number() OVER (PARTITION BY l.session_id ORDER BY l.step) AS k FROM log l JOIN sessions s USING (session_id) WHERE type = 'answer_recorded') GROUP BY 1, 2"
+
+
+@query(
+    "e2_run_report",
+    f"""WITH acc AS ({EARLY}), t AS (SELECT l.run_name, sum(sign(l.early - r.early) * sign(l.full_acc - r.full_acc)) / sqrt(nullif(count(*) FILTER (WHERE l.early <> r.early)::DOUBLE * count(*) FILTER (WHERE l.full_acc <> r.full_acc), 0)) AS tau FROM acc l JOIN acc r ON l.run_name = r.run_name AND l.session_id < r.session_id GROUP BY 1)
+ SELECT q.run_name, sessions, calls, paid, round(cost, 6) AS cost, round(wall_s, 6) AS wall_s, round(1 - calls / (sessions * 97e0), 6) AS call_reduction, round(tau, 6) AS tau FROM (SELECT s.run_name, count(DISTINCT s.session_id) AS sessions, count(*) AS calls, count(*) FILTER (WHERE cached = 0) AS paid, sum(cost) AS cost, max(finished_at) - min(started_at) AS wall_s FROM log l JOIN sessions s USING (session_id) WHERE type = 'answer_recorded' GROUP BY 1) q LEFT JOIN t USING (run_name)""",
+)
 def e2(d):
+    """Each run's sessions, calls, cost and time, the share of all session-item pairs that it didn't call, and how far
+    ten answers a session rank the sessions as all their answers do."""
     rows = d.log.where("type = 'answer_recorded'").join(d.sessions, "session_id")
-    return rows.groupBy("run_name").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("cached") == 0).alias("paid"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.max("finished_at") - F.min("started_at"), 6).alias("wall_s"))
+    sums = rows.groupBy("run_name").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("cached") == 0).alias("paid"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.max("finished_at") - F.min("started_at"), 6).alias("wall_s"))
+    nth = rows.select("run_name", "session_id", "correct", F.row_number().over(Window.partitionBy("session_id").orderBy("step")).alias("k"))
+    acc = nth.groupBy("run_name", "session_id").agg(F.round(F.avg("correct"), 9).alias("full_acc"), F.round(F.avg(F.when(F.col("k") <= 10, F.col("correct"))), 9).alias("early"))
+    tau = tau_b(pair_order(written(acc, "early"), "early", "full_acc", ["run_name"]), ["run_name"]).select("run_name", F.round("tau", 6).alias("tau"))
+    reduction = F.round(1 - F.col("calls") / (F.col("sessions") * F.lit(97.0)), 6)
+    return sums.join(tau, "run_name", "left").select("run_name", "sessions", "calls", "paid", "cost", "wall_s", reduction.alias("call_reduction"), "tau")
 
 
 @query("e4_model_split", "SELECT model, CASE WHEN row_number() OVER (ORDER BY md5('1/' || model), model) <= round(0.7e0 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM (SELECT DISTINCT model FROM responses)")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _LOCAL: dict[str, str] = {}
@@ -26,3 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Items that every task may hold; a larger bank meets the models in blocks of as many.
+BANK_ROWS = 200_000
+
+
+def with_every_item(models: DataFrame, bank: DataFrame) -> DataFrame:
+    """Each row of ``models`` beside each row of ``bank``, which has the column item_idx.
+
+    A bank of up to ``BANK_ROWS`` rows (counted) goes to every task. A larger one is cut into blocks by hash,
+    and the models go to each block, so that both sides are shuffled by block.
+    """
+    bank = written(bank, "bank")
+    n = bank.count()
+    if n <= BANK_ROWS:
+        return models.crossJoin(F.broadcast(bank))
+    blocks = -(-n // BANK_ROWS)
+    each = models.withColumn("bank_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(bank.withColumn("bank_block", F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")), "bank_block").drop("bank_block")
