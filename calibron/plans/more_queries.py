@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibron.functions import irt
+from calibron.functions.sql import normal_cdf
 from calibron.operators import abilities as A
 from calibron.operators import eventlog as E
 from calibron.operators import experiments as X
@@ -115,10 +116,19 @@ def m4(d):
     return bank.select("item_idx", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("m16_expected_misordered")
+def _wrong(zone: str) -> str:
+    return normal_cdf(f"(-(abs(l.s - r.s) + {zone}) / sqrt(l.v + r.v))")
+
+
+@query(
+    "m16_expected_misordered",
+    f"WITH {POST} SELECT (SELECT count(*) FROM score) AS n_models, round(coalesce(sum({_wrong('0e0')}), 0), 6) AS misordered, round(coalesce(sum({_wrong('0.02e0')}), 0), 6) AS resolvable FROM score l JOIN score r ON l.model < r.model",
+)
 def m16(d):
+    """Expected misordered pairs of all models, in all and by more than 0.02; every fifth item has been asked."""
     rows = written(R.scores(pool(d)), "scores")
-    return R.expected_misordered(rows).join(R.expected_misordered(rows, 0.02).withColumnRenamed("misordered", "resolvable"), "n_models")
+    both = R.expected_misordered(rows).join(R.expected_misordered(rows, 0.02).withColumnRenamed("misordered", "resolvable"), "n_models")
+    return both.select("n_models", F.round("misordered", 6).alias("misordered"), F.round("resolvable", 6).alias("resolvable"))
 
 
 BRANCHES = """SELECT ev.session_id, s.provider, ev.step, v.correct, CASE WHEN event_type <> 'error' THEN 'm' || CAST(user_id AS STRING) || '/i' || CAST((event_id + v.correct * 13) % 97 AS STRING) END AS key

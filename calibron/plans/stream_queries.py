@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibron.plans.registry import query
 from calibron.sources.scratch import root, written
@@ -40,7 +41,7 @@ def drained(stream: DataFrame, mode: str, name: str, available_now: bool) -> Dat
         running.stop()
     if (error := running.exception()) is not None:
         raise error
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
+    return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
 
 
 #: Batches that the real jobs of a folder fill.
@@ -87,3 +88,16 @@ def f4_restored(d):
     last = F.max_by(F.struct("step", "item_idx", "theta", "se", "stale"), F.struct("batch", "step"))
     ended = rows.groupBy("session_id").agg(last.alias("s"))
     return ended.select("session_id", "s.step", (F.col("s.item_idx") == live.DONE).alias("finished"), F.round("s.theta", 5).alias("theta"), F.round("s.se", 5).alias("se"), "s.stale")
+
+
+@query("w1_log_in_buckets", "SELECT session_id, step, type, any_value(item_id) AS item_id FROM log GROUP BY 1, 2, 3")
+def w1_buckets(d):
+    """The log appended by a stream in several batches, each row delivered twice, as committed at the end."""
+    from calibron.streaming.ledger import append_to_buckets, committed_rows
+
+    path = f"{root(d.spark)}/log-{uuid.uuid4().hex}"
+    rows = d.log.select("session_id", "step", "type", "item_id", "t_s")
+    rows.union(rows.where("step % 2 = 0")).repartition(3, "step").write.parquet(f"{path}/in")
+    stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    append_to_buckets(stream, path, f"{path}/checkpoint", buckets=16).awaitTermination()
+    return committed_rows(d.spark, path, rows.schema).select("session_id", "step", "type", "item_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -46,3 +47,32 @@ def with_every_item(models: DataFrame, bank: DataFrame) -> DataFrame:
     blocks = -(-n // BANK_ROWS)
     each = models.withColumn("bank_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return each.join(bank.withColumn("bank_block", F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")), "bank_block").drop("bank_block")
+
+
+def file_system(uri: str):
+    """Arrow's file system and path of a folder that all machines see."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
+def read_json(uri: str, name: str) -> list[dict]:
+    """The JSON documents of a folder, by file name."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, path = file_system(uri)
+    files = [f for f in fs.get_file_info(FileSelector(f"{path}/{name}", allow_not_found=True)) if f.type == FileType.File and f.path.endswith(".json")]
+    out = []
+    for f in sorted(files, key=lambda f: f.path):
+        with fs.open_input_stream(f.path) as data:
+            out.append(json.loads(data.read()))
+    return out
+
+
+def write_json(uri: str, name: str, value: dict) -> None:
+    """A small JSON document that is there as a whole or not at all."""
+    fs, path = file_system(uri)
+    fs.create_dir(f"{path}/{name.rsplit('/', 1)[0]}", recursive=True)
+    with fs.open_output_stream(f"{path}/{name}.tmp") as out:
+        out.write(json.dumps(value).encode())
+    fs.move(f"{path}/{name}.tmp", f"{path}/{name}")

@@ -9,7 +9,6 @@ its checkpoint neither skips nor repeats a job: what was planned but not finishe
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from calibron.operators.policy import running
+from calibron.sources.scratch import file_system, read_json, write_json
 
 LANES = ("real", "spec")
 SCHEMA = "lane string, place long, job_id string, fields string"
@@ -24,36 +24,9 @@ SCHEMA = "lane string, place long, job_id string, fields string"
 TASK_JOBS = 100_000
 
 
-def _file_system(uri: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri)
-
-
-def _read_json(uri: str, name: str) -> list[dict]:
-    """The JSON documents of a folder, by file name."""
-    from pyarrow.fs import FileSelector, FileType
-
-    fs, path = _file_system(uri)
-    files = [f for f in fs.get_file_info(FileSelector(f"{path}/{name}", allow_not_found=True)) if f.type == FileType.File and f.path.endswith(".json")]
-    out = []
-    for f in sorted(files, key=lambda f: f.path):
-        with fs.open_input_stream(f.path) as data:
-            out.append(json.loads(data.read()))
-    return out
-
-
-def _write_json(uri: str, name: str, value: dict) -> None:
-    fs, path = _file_system(uri)
-    fs.create_dir(f"{path}/{name.rsplit('/', 1)[0]}", recursive=True)
-    with fs.open_output_stream(f"{path}/{name}.tmp") as out:
-        out.write(json.dumps(value).encode())
-    fs.move(f"{path}/{name}.tmp", f"{path}/{name}")
-
-
 def published(uri: str) -> dict[str, int]:
     """How many jobs each lane has."""
-    return {lane: max((m[lane] for m in _read_json(uri, "_published")), default=0) for lane in LANES}
+    return {lane: max((m[lane] for m in read_json(uri, "_published")), default=0) for lane in LANES}
 
 
 def publish(jobs: DataFrame, uri: str) -> dict[str, int]:
@@ -63,7 +36,7 @@ def publish(jobs: DataFrame, uri: str) -> dict[str, int]:
     dies before its marker has no effect: its files stand under a number that the next append takes anew.
     """
     spark, before = jobs.sparkSession, published(uri)
-    number = len(_read_json(uri, "_published"))
+    number = len(read_json(uri, "_published"))
     fields = F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in jobs.columns)))
     lane = F.when(F.col("speculative"), "spec").otherwise("real")
     rows = jobs.select(lane.alias("lane"), "seq", "job_id", fields.alias("fields"))
@@ -72,7 +45,7 @@ def publish(jobs: DataFrame, uri: str) -> dict[str, int]:
     placed.select("lane", at.cast("long").alias("place"), "job_id", "fields").write.mode("overwrite").partitionBy("lane").parquet(f"{uri}/jobs/{number:08d}")
     counts = {r["lane"]: r["n"] for r in spark.read.schema(SCHEMA).parquet(f"{uri}/jobs/{number:08d}").groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
     after = {lane: before[lane] + counts.get(lane, 0) for lane in LANES}
-    _write_json(uri, f"_published/{number:08d}.json", after)
+    write_json(uri, f"_published/{number:08d}.json", after)
     return after
 
 
@@ -90,17 +63,17 @@ class LaneReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self.at is None:
-            planned = _read_json(self.uri, "_planned")
+            planned = read_json(self.uri, "_planned")
             self.at = planned[-1] if planned else self.initialOffset()
         waiting = {lane: n - self.at[lane] for lane, n in published(self.uri).items()}
         lane = "real" if waiting["real"] > 0 else "spec"
         if waiting[lane] > 0:
             self.at = self.at | {lane: self.at[lane] + min(self.slots, waiting[lane])}
-            _write_json(self.uri, "_planned/position.json", self.at)
+            write_json(self.uri, "_planned/position.json", self.at)
         return self.at
 
     def partitions(self, start: dict, end: dict) -> list[Places]:
-        appends = len(_read_json(self.uri, "_published"))
+        appends = len(read_json(self.uri, "_published"))
         return [Places(lane, at, min(at + TASK_JOBS, end[lane]), appends) for lane in LANES for at in range(start[lane], end[lane], TASK_JOBS)]
 
     def read(self, partition: Places) -> Iterator:
@@ -108,7 +81,7 @@ class LaneReader(DataSourceStreamReader):
         import pyarrow.dataset as ds
         from pyarrow.fs import FileSelector
 
-        fs, path = _file_system(self.uri)
+        fs, path = file_system(self.uri)
         for number in range(partition.appends):
             folder = f"{path}/jobs/{number:08d}/lane={partition.lane}"
             files = [f.path for f in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]

@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from calibron.operators.eventlog import KEY, insertable
 from calibron.operators.sessions import ability, pick
+from calibron.sources.scratch import read_json, write_json, written
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -82,3 +84,54 @@ def deduplicated(stream: DataFrame) -> DataFrame:
 def lanes(batch: DataFrame, slots: int) -> DataFrame:
     """Of a micro-batch of jobs at most ``slots``, real ones before speculative ones."""
     return batch.orderBy(F.col("speculative").cast("int"), "seq").limit(slots)
+
+
+def bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+
+
+def bucket_rows(spark, path: str, schema, wanted: list[int], before: int) -> DataFrame:
+    """The rows of the named buckets that batches below ``before`` have written; other buckets' files aren't listed."""
+    try:
+        rows = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/bucket={b}" for b in wanted))
+    except Exception as error:  # a bucket that has no file yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        if len(wanted) == 1:
+            return spark.createDataFrame([], schema)
+        out = None
+        for b in wanted:
+            one = bucket_rows(spark, path, schema, [b], before)
+            out = one if out is None else out.unionByName(one)
+        return out
+    return rows.where(F.col("batch") < before).select(*(f.name for f in schema))
+
+
+def append_to_buckets(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """:func:`append_once` for a log that grows: rows lie by hash bucket of their session and by batch.
+
+    A batch reads the buckets of its own sessions only, written by batches before it; if it is run again it
+    replaces what it wrote. Once all its rows are there a marker makes the batch visible to :func:`committed_rows`.
+    At the driver are at most ``buckets`` numbers.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, schema = batch.sparkSession, batch.schema
+        rows = written(batch.withColumn("bucket", bucket_of(buckets)), "log_batch")
+        wanted = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+        if wanted:
+            new = insertable(rows.drop("bucket"), bucket_rows(spark, path, schema, wanted, batch_id), KEY)
+            placed = new.withColumns({"bucket": bucket_of(buckets), "batch": F.lit(batch_id).cast("long")}).repartition("bucket")
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/rows")
+        write_json(path, f"_committed/{batch_id:010d}.json", {"batch": batch_id})
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def committed_rows(spark, path: str, schema) -> DataFrame:
+    """The rows of all batches that are wholly there."""
+    done = max((m["batch"] for m in read_json(path, "_committed")), default=-1)
+    if done < 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    return rows.where(F.col("batch") <= done).select(*(f.name for f in schema))
