@@ -128,7 +128,7 @@ def test_equal_gains_go_to_the_smallest_model_and_nothing_open_gives_no_row(spar
 
 def test_fit_recovers_a_synthetic_world(spark):
     cells, truth = files.synthetic_responses(spark, 40, 30, seed=1)
-    bank, theta, _ = fitting.fit_2pl(cells.withColumnRenamed("correct", "y"), tol=1e-2)
+    bank, theta, _ = fitting.fit_2pl(cells.withColumnRenamed("correct", "y"), rounds=5)
     b = bank.orderBy("item_idx").toPandas()["b"].to_numpy()
     t = theta.orderBy("model").toPandas()["theta"].to_numpy()
     good = truth["a"] > 0.1
