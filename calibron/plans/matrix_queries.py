@@ -433,3 +433,25 @@ def f12(d):
     jobs = d.attempts.where("attempt = 0").join(d.sessions.select("session_id", "provider"), "session_id")
     rows = admitted(jobs.select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), F.col("latency").alias("priority"), "cost"), 8, 0.05, budget=20.0)
     return rows.withColumn("committed", F.round("committed", 6))
+
+
+def timed_calls(d):
+    """First attempts with their arrivals, time run sixty times as fast, and the slots of each provider: a tenth
+    more than it needs on average (arrivals for each second times the mean duration)."""
+    jobs = d.attempts.where("attempt = 0").join(d.sessions.select("session_id", "provider"), "session_id")
+    start = d.attempts.agg(F.min("micros").alias("m0"))
+    calls = jobs.crossJoin(F.broadcast(start)).select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), ((F.col("micros") - F.col("m0")) / 1e6 / 60).alias("at"), F.col("tokens").cast("double").alias("priority"), F.col("latency").alias("took"), "cost")
+    calls = written(calls, "calls")
+    load = F.sum("took") / (F.max("at") - F.min("at"))
+    return calls, calls.groupBy("provider").agg(F.greatest(F.lit(1), F.ceil(load * 1.1)).alias("window"))
+
+
+@query("f12_admission_over_time")
+def f12_over_time(d):
+    """Calls that arrive while others return, for three quarters of what all of them cost."""
+    from calibron.operators.admission import admitted_over_time
+
+    calls, windows = timed_calls(d)
+    cost = calls.agg(F.sum("cost").alias("all")).first()["all"] or 0.0
+    rows = admitted_over_time(calls, windows, budget=cost * 0.75)
+    return rows.withColumns({c: F.round(c, 5) for c in ("at", "started", "ends")})
