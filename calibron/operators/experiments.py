@@ -54,15 +54,15 @@ class Lane:
         return (i, float(v[i]), int(np.isfinite(v).sum())) if np.isfinite(v[i]) else None
 
 
-def gains(lanes: list[Lane], best: list[tuple[int, float, int] | None], askable: list[int]) -> np.ndarray:
+def gains(lanes: list[Lane], best: list[tuple[int, float, int] | None], askable: list[int], zone: float = 0.0, lookahead: tuple[int, ...] = LOOKAHEAD) -> np.ndarray:
     """Expected fall of misordered pairs a call, of each of the models ``askable``, over all pairs at once."""
     s, v = (np.array([getattr(x, c) for x in lanes]) for c in "sv")
-    later, allowed = variance_path(v[askable], np.array([best[m][1] for m in askable]), np.array([best[m][2] for m in askable], float))
+    later, allowed = variance_path(v[askable], np.array([best[m][1] for m in askable]), np.array([best[m][2] for m in askable], float), lookahead)
     at, other = np.nonzero(np.array(askable)[:, None] != np.arange(len(lanes))[None, :])
     own = np.array(askable)[at]
-    falls = np.zeros((len(askable), len(LOOKAHEAD)))
-    np.add.at(falls, at, expected_fall(s[own] - s[other], v[own], v[other], later[at]))
-    return np.where(allowed, falls / np.array(LOOKAHEAD), -np.inf).max(axis=1)
+    falls = np.zeros((len(askable), len(lookahead)))
+    np.add.at(falls, at, expected_fall(s[own] - s[other], v[own], v[other], later[at], zone))
+    return np.where(allowed, falls / np.array(lookahead), -np.inf).max(axis=1)
 
 
 def run(method: str, y: np.ndarray, a: np.ndarray, b: np.ndarray, dim: np.ndarray, w: np.ndarray, calls: int, seed: int = 0, idle: float = 0.0) -> list[tuple[int, int, int, float]]:

@@ -213,6 +213,22 @@ def f16(d):
     return X.allocation_runs(boards(d), grid, 30, idle=0.5).groupBy("board").agg(F.count(F.lit(1)).alias("calls"), F.round(F.min("gain"), 9).alias("least_gain"))
 
 
+@query("f15_concurrent_allocator")
+def f15_concurrent(d):
+    """Boards of eight with calls in flight under five policies: one call at a time, windows alone, windows with a floor
+    under idle slots and gains by cost, a budget, and one step ahead with an indifference zone."""
+    from calibron.operators.allocator import Policy, concurrent_runs
+
+    usual = F.col("est_tokens") / 1000 * F.col("usd_in")
+    limits = d.providers.select("provider", F.when(F.col("rpm") > 100, 2).otherwise(1).alias("window"), usual.alias("guess"))
+    named = F.element_at(F.array(*(F.lit(p) for p in ("alpha", "beta", "gamma"))), (F.col("model_idx") % 3 + 1).cast("int"))
+    cells = boards(d).withColumn("provider", named).join(limits.select("provider", "guess"), "provider")
+    cells = cells.select("board", "model_idx", "provider", "item_idx", "a", "b", "dim", "y", (0.5 + F.col("item_idx") % 7 / 4).alias("took"), (F.col("guess") * (0.5 + F.col("item_idx") % 5 / 4)).alias("cost"))
+    policies = {0: Policy(most_calls=30, in_flight=1), 1: Policy(most_calls=30), 2: Policy(most_calls=30, floor=0.5, by_cost=True), 3: Policy(most_calls=30, budget=0.02), 4: Policy(most_calls=30, zone=0.02, one_step=True, settled=1.0)}
+    rows = concurrent_runs(cells, limits, policies).groupBy("board", "run", "spent", "left_idle", "reason")
+    return rows.agg(F.count("seq").alias("calls"), F.round(F.max("ended"), 6).alias("took"), F.round(F.sum("gain"), 9).alias("gained")).withColumn("spent", F.round("spent", 9))
+
+
 @query("e9_ranking_runs")
 def e9(d):
     grid = d.spark.createDataFrame([(0, "random", 1), (1, "random", 2), (2, "independent", 0), (3, "coupled", 0)], "run int, method string, seed int")
