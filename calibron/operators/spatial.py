@@ -138,3 +138,36 @@ def marked(visible_cubes: DataFrame, n: int = 2, hard: bool = False, min_share:
             yield pd.DataFrame(rows, columns=["scene", "spread", "colour", "x", "y", "z"])
 
     return clear.mapInPandas(search, f"scene {visible_cubes.schema['scene'].dataType.simpleString()}, spread int, colour string, x int, y int, z int")
+
+
+#: What each subtask asks.
+WORDING = {
+    "count_visible": "How many cubes can be seen?",
+    "count_total": "How many cubes does the scene have, hidden ones among them?",
+    "count_hidden": "How many cubes are hidden?",
+    "tallest_column": "How many cubes does the tallest column have?",
+    "count_ground": "How many cubes stand on the ground?",
+    "relation_height": "Is the red or the blue cube higher up?",
+    "relation_left_right": "Is the red cube left or right of the blue one?",
+    "relation_near_far": "Is the red or the blue cube nearer?",
+    "support_on_ground": "Does the red cube stand on the ground?",
+    "count_above_red": "How many cubes stand on the red one?",
+}
+
+
+def scene_items(questions: DataFrame, heights: DataFrame, totals: DataFrame, prefix: str) -> DataFrame:
+    """(item_id, scene, subtask, question, answer, heights, max_h, hidden_share) of ``questions(scene, subtask, answer)``.
+
+    item_id is prefix-scene-subtask, scenes in at least four digits. heights lists the columns of the scene as
+    ``x,y:h`` in the order of x and y, and hidden_share is the share of its cubes that can't be seen (null without
+    cubes). A subtask without a wording keeps a null question. Columns of a scene are few; they meet in one row.
+    """
+    column = F.struct("x", "y", "h")
+    plan = heights.groupBy("scene").agg(F.array_sort(F.collect_list(column)).alias("c"), F.max("h").cast("int").alias("max_h"))
+    cell = lambda c: F.concat(c["x"].cast("string"), F.lit(","), c["y"].cast("string"), F.lit(":"), c["h"].cast("string"))
+    plan = plan.select("scene", F.array_join(F.transform("c", cell), " ").alias("heights"), "max_h")
+    seen = totals.select("scene", F.when(F.col("total") > 0, 1 - F.col("n_visible") / F.col("total")).alias("hidden_share"))
+    wording = F.create_map(*(F.lit(v) for pair in WORDING.items() for v in pair))
+    name = F.format_string(f"{prefix}-%04d-%s", "scene", "subtask")
+    rows = questions.join(plan, "scene", "left").join(seen, "scene", "left")
+    return rows.select(name.alias("item_id"), "scene", "subtask", F.try_element_at(wording, F.col("subtask")).alias("question"), "answer", "heights", "max_h", "hidden_share")

@@ -119,17 +119,26 @@ def g5(d):
     return S.visible(cubes(d))
 
 
-@query("g7_counting_questions", f"SELECT scene, u.subtask, u.answer FROM ({TOTALS}), LATERAL (VALUES ('count_visible', CAST(n_visible AS STRING)), ('count_total', CAST(total AS STRING)), ('count_hidden', CAST(n_hidden AS STRING)), ('tallest_column', CAST(tallest AS STRING)), ('count_ground', CAST(footprint AS STRING))) u(subtask, answer)")
+COUNTING = f"SELECT scene, u.subtask, u.answer FROM ({TOTALS}), LATERAL (VALUES ('count_visible', CAST(n_visible AS STRING)), ('count_total', CAST(total AS STRING)), ('count_hidden', CAST(n_hidden AS STRING)), ('tallest_column', CAST(tallest AS STRING)), ('count_ground', CAST(footprint AS STRING))) u(subtask, answer)"
+
+
+@query("g7_counting_questions", COUNTING)
 def g7(d):
     return S.counting_questions(totals(d))
 
 
-@query("g8_relation_questions", f"SELECT scene, u.subtask, u.answer FROM ({MARKED}), LATERAL (VALUES ('relation_height', CASE WHEN rz > bz THEN 'red' WHEN rz < bz THEN 'blue' END), ('relation_left_right', CASE WHEN rx - ry < bx - \"by\" THEN 'left' WHEN rx - ry > bx - \"by\" THEN 'right' END), ('relation_near_far', CASE WHEN rx + ry > bx + \"by\" THEN 'red' WHEN rx + ry < bx + \"by\" THEN 'blue' END)) u(subtask, answer) WHERE u.answer IS NOT NULL")
+RELATIONS = f"SELECT scene, u.subtask, u.answer FROM ({MARKED}), LATERAL (VALUES ('relation_height', CASE WHEN rz > bz THEN 'red' WHEN rz < bz THEN 'blue' END), ('relation_left_right', CASE WHEN rx - ry < bx - \"by\" THEN 'left' WHEN rx - ry > bx - \"by\" THEN 'right' END), ('relation_near_far', CASE WHEN rx + ry > bx + \"by\" THEN 'red' WHEN rx + ry < bx + \"by\" THEN 'blue' END)) u(subtask, answer) WHERE u.answer IS NOT NULL"
+
+
+@query("g8_relation_questions", RELATIONS)
 def g8(d):
     return S.relation_questions(marks(d))
 
 
-@query("g9_support_questions", f"SELECT m.scene, u.subtask, u.answer FROM ({MARKED}) m JOIN heights h ON h.scene = m.scene AND h.x = rx AND h.y = ry, LATERAL (VALUES ('support_on_ground', CASE WHEN rz = 0 THEN 'yes' ELSE 'no' END), ('count_above_red', CAST(h.h - rz - 1 AS STRING))) u(subtask, answer)")
+SUPPORT = f"SELECT m.scene, u.subtask, u.answer FROM ({MARKED}) m JOIN heights h ON h.scene = m.scene AND h.x = rx AND h.y = ry, LATERAL (VALUES ('support_on_ground', CASE WHEN rz = 0 THEN 'yes' ELSE 'no' END), ('count_above_red', CAST(h.h - rz - 1 AS STRING))) u(subtask, answer)"
+
+
+@query("g9_support_questions", SUPPORT)
 def g9(d):
     return S.support_questions(marks(d), d.heights)
 
@@ -189,3 +198,17 @@ def g6(d):
             rows = S.marked(seen, n, hard).withColumns({"n": F.lit(n), "hard": F.lit(hard)})
             out = rows if out is None else out.unionByName(rows)
     return out
+
+
+WORDINGS = ", ".join(f"('{k}', '{v}')" for k, v in S.WORDING.items())
+
+
+@query("g12_scene_items", f"""WITH q AS (SELECT scene, subtask, answer FROM ({COUNTING}) UNION ALL SELECT scene, subtask, answer FROM ({RELATIONS}) UNION ALL SELECT scene, subtask, answer FROM ({SUPPORT})),
+ m AS (SELECT scene, string_agg(CAST(x AS STRING) || ',' || CAST(y AS STRING) || ':' || CAST(h AS STRING), ' ' ORDER BY x, y) AS heights, CAST(max(h) AS INT) AS max_h FROM heights GROUP BY scene)
+ SELECT printf('sc-%04d-%s', q.scene, q.subtask) AS item_id, q.scene, q.subtask, w.question, q.answer, m.heights, m.max_h, round(1 - t.n_visible / CAST(t.total AS DOUBLE), 6) AS hidden_share
+ FROM q JOIN m ON m.scene = q.scene JOIN ({TOTALS}) t ON t.scene = q.scene JOIN (VALUES {WORDINGS}) w(subtask, question) ON w.subtask = q.subtask""")
+def g12(d):
+    """Scenes as items: every counting, relation and support question with its wording, answer and the scene it belongs to."""
+    sums, two = written(totals(d), "totals"), written(marks(d), "marks")
+    questions = S.counting_questions(sums).unionByName(S.relation_questions(two)).unionByName(S.support_questions(two, d.heights))
+    return S.scene_items(questions, d.heights, sums, "sc").withColumn("hidden_share", F.round("hidden_share", 6))
