@@ -455,3 +455,24 @@ def f12_over_time(d):
     cost = calls.agg(F.sum("cost").alias("all")).first()["all"] or 0.0
     rows = admitted_over_time(calls, windows, budget=cost * 0.75)
     return rows.withColumns({c: F.round(c, 5) for c in ("at", "started", "ends")})
+
+
+@query(
+    "x17_routed_allocations",
+    f"""SELECT a.session_id, CAST(split_part(a.job_id, ':', 3) AS BIGINT) AS step, 'allocation' AS type, a.item_id, CASE WHEN s.provider = 'alpha' THEN 'direct' ELSE 'priority' END AS mode, a.latency AS priority, s.provider
+ FROM attempts a JOIN sessions s USING (session_id) LEFT JOIN ({ADMISSION}) g ON g.job = a.job_id
+ WHERE a.attempt = 0 AND (s.provider = 'alpha' OR g.started) AND NOT EXISTS (SELECT 1 FROM log l WHERE l.session_id = a.session_id AND l.step = CAST(split_part(a.job_id, ':', 3) AS BIGINT) AND l.type = 'allocation')""",
+)
+def x17_routed(d):
+    """Calls of one provider go straight to the workers, all others through admission; each that gets a slot leaves one
+    allocation row, unless the log has it already."""
+    from calibron.operators.eventlog import KEY, insertable
+    from calibron.operators.policy import admitted
+
+    calls = d.attempts.where("attempt = 0").join(d.sessions.select("session_id", "provider"), "session_id")
+    queued = calls.where("provider <> 'alpha'").select("provider", F.col("job_id").alias("job"), F.col("event_id").alias("seq"), F.col("latency").alias("priority"), "cost")
+    started = admitted(queued, 8, 0.05, budget=20.0).where("started").select(F.col("job").alias("job_id"))
+    direct = calls.where("provider = 'alpha'").withColumn("mode", F.lit("direct"))
+    routed = direct.unionByName(calls.join(started, "job_id", "left_semi").withColumn("mode", F.lit("priority")))
+    rows = routed.select("session_id", F.substring_index("job_id", ":", -1).cast("long").alias("step"), F.lit("allocation").alias("type"), "item_id", "mode", F.col("latency").alias("priority"), "provider")
+    return insertable(rows, d.log, KEY, ("item_id",))
