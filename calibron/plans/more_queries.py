@@ -406,16 +406,35 @@ def s3(d):
     return files.checkpoint_csv(d.spark, path, "PROMO").select(F.concat(F.lit("part/"), F.substring_index("model", "/", -1)).alias("model"), "item_id", "correct")
 
 
-@query("s12_synthetic_world")
+UNIT = "((CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
+
+
+def unit(text):
+    """A number between 0 and 1 that the text alone decides."""
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
+
+
+@query(
+    "s12_synthetic_world",
+    f"""SELECT model, round(theta, 9) AS theta, count(*) AS n, count(*) FILTER (WHERE {UNIT.format("model || '/' || item_id")} < 1 / (1 + exp(-a * (theta - b)))) AS n_right
+ FROM responses JOIN (SELECT DISTINCT model, sqrt(-2 * ln({UNIT.format("'r/' || model")})) * cos(2 * pi() * {UNIT.format("'w/' || model")}) AS theta FROM responses) USING (model) GROUP BY model, theta""",
+)
 def s12(d):
-    cells, _ = files.synthetic_responses(d.spark, 20, 40, seed=7)
-    return cells.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right"))
+    """Answers drawn for every observed cell: abilities are normal and answers follow the curve, both by a hash of names."""
+    cells = d.responses.select("model", "item_id", "a", "b")
+    theta = F.sqrt(-2 * F.log(unit(F.concat(F.lit("r/"), "model")))) * F.cos(2 * F.pi() * unit(F.concat(F.lit("w/"), "model")))
+    drawn = cells.withColumn("theta", theta)
+    right = unit(F.concat("model", F.lit("/"), "item_id")) < 1 / (1 + F.exp(-F.col("a") * (F.col("theta") - F.col("b"))))
+    return drawn.groupBy("model").agg(F.round(F.any_value("theta"), 9).alias("theta"), F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right"))
 
 
-@query("s15_smoke_bank", "SELECT CAST(i AS INT) AS item_idx, 'q' || CAST(i AS STRING) AS item_id, round(-1.5e0 + 3e0 * i / 9, 9) AS b FROM range(10) t(i)")
+@query("s15_smoke_bank", "SELECT item_idx, item_id, round(-1.5e0 + 3e0 * (row_number() OVER w - 1) / greatest(count(*) OVER (PARTITION BY subtask) - 1, 1), 9) AS b FROM items WINDOW w AS (PARTITION BY subtask ORDER BY item_idx)")
 def s15(d):
-    i = F.col("id")
-    return d.spark.range(10).select(i.cast("int").alias("item_idx"), F.concat(F.lit("q"), i.cast("string")).alias("item_id"), F.round(F.lit(-1.5) + F.lit(3.0) * i / 9, 9).alias("b"))
+    """Each subtask's items with difficulties in equal steps from -1.5 to 1.5, in their order."""
+    own = Window.partitionBy("subtask")
+    place = F.row_number().over(own.orderBy("item_idx")) - 1
+    steps = F.greatest(F.count(F.lit(1)).over(own) - 1, F.lit(1))
+    return d.items.select("item_idx", "item_id", F.round(F.lit(-1.5) + F.lit(3.0) * place / steps, 9).alias("b"))
 
 
 PENDING = "SELECT s.run_name, s.status = 'running' AS flying FROM log l JOIN sessions s USING (session_id) WHERE l.type = 'item_selected' AND NOT EXISTS (SELECT 1 FROM log r WHERE r.session_id = l.session_id AND r.step = l.step AND r.type = 'answer_recorded')"
