@@ -145,3 +145,36 @@ def minimise(start: DataFrame, evaluate: Callable[[DataFrame], DataFrame], tol:
         state = trial.where("key is not null").select("run", "key", "x", "h", "g", new("s", F.col("t") * F.col("d") * F.sqrt("h")).alias("s"), new("y", (F.col("g") - F.col("g0")) / F.sqrt("h")).alias("y"))
         pairs = min(MEMORY, pairs + 1)
     return state.select("run", "key", "x"), trace
+
+
+def minimise_small(x: np.ndarray, h: np.ndarray, evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], tol: float = 1e-5, most: int = 100) -> tuple[np.ndarray, Trace]:
+    """:func:`minimise` of one run whose vector is small enough for the driver; only ``evaluate``, (objective, gradient) at x, is distributed."""
+    scale = np.sqrt(h)
+    f, g = evaluate(x)
+    trace = Trace([f])
+    s, y = [], []
+    while True:
+        trace.gradient.append(float(np.abs(g).max(initial=0.0)))
+        trace.converged = trace.gradient[-1] <= tol
+        if trace.converged or len(trace.gradient) > most:
+            return x, trace
+        basis = np.array([*s, *y, g / scale])
+        gram = basis @ basis.T
+        c = direction(gram, len(s))
+        d, slope = c @ basis / scale, float(c @ gram[:, -1])
+        t, low, high = 1.0 if s else min(1.0, 1 / math.sqrt(gram[-1, -1])), 0.0, math.inf
+        for _ in range(TRIALS):
+            f_new, g_new = evaluate(x + t * d)
+            if not f_new <= f + DECREASE * t * slope:  # also where it is no number
+                high = t
+            elif g_new @ d < CURVATURE * slope:
+                low = t
+            else:
+                break
+            t = 2 * low if high == math.inf else (low + high) / 2
+        else:
+            return x, trace
+        if t * d @ (g_new - g) > 0:
+            s, y = [*s, t * d * scale][-MEMORY:], [*y, (g_new - g) / scale][-MEMORY:]
+        x, f, g = x + t * d, f_new, g_new
+        trace.objective.append(f)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibron.operators import fitting
@@ -97,17 +99,19 @@ def e7x(d):
     """Held-out loss of the variants over five folds, by cell and by scene; the folds and variants with the
     same kind of residuals are one fit, a run each."""
     features, names = design(d.items)
-    cells = d.responses.where("y is not null").select("model", "item_idx", "y").join(features.select("item_idx", "scene"), "item_idx")
+    cells = d.responses.select("model", "item_idx", "y").join(features.select("item_idx", "scene"), "item_idx")
+    folds = {"cells": drawn("model", "item_idx") % FOLDS, "scenes": drawn(F.lit("fold"), "scene") % FOLDS}
     plain = F.transform("x", lambda v, i: F.when(i < len(names) - SIZES, v).otherwise(F.lit(0.0)))
     out = None
     for tau in (None, 0.5):
         runs = [(n, v, s, f) for n, (v, s, f) in enumerate((v, s, f) for v, (_, _, t) in VARIANTS.items() if t == tau for s in ("cells", "scenes") for f in range(FOLDS))]
         table = F.broadcast(d.spark.createDataFrame([(*r, VARIANTS[r[1]][0], VARIANTS[r[1]][1]) for r in runs], "run int, variant string, split string, fold int, dims int, sizes boolean"))
-        fold = F.when(F.col("split") == "cells", drawn("model", "item_idx") % FOLDS).otherwise(drawn(F.lit("fold"), "scene") % FOLDS)
-        rows = written(cells.crossJoin(table).select("run", "model", "item_idx", "y", (fold == F.col("fold")).alias("held")), "folds")
+        bits = {(s, f): sum(1 << n for n, _, s2, f2 in runs if (s2, f2) == (s, f)) for s in folds for f in range(FOLDS)}
+        held = reduce(Column.bitwiseOR, (F.element_at(F.array(*(F.lit(bits[s, f]).cast("long") for f in range(FOLDS))), (fold + 1).cast("int")) for s, fold in folds.items()))
+        packed = fitting.packed_answers(cells, held=held, runs=held.bitwiseXOR(F.lit((1 << len(runs)) - 1).cast("long")))
         x = features.crossJoin(table).select("run", "item_idx", "grp", F.when(F.col("dims") == 2, F.col("dim")).otherwise(F.lit(0)).alias("dim"), F.when(F.col("sizes"), F.col("x")).otherwise(plain).alias("x"))
-        items, theta, _ = fitting.fit_explanatory(rows.where("not held"), x, len(names) - SIZES, len(names), tau, rounds=6)
-        scored = fitting.held_out_loss(rows.where("held"), items, theta).join(table, "run")
+        _, solved, final, _ = fitting.explain(packed, x, len(names) - SIZES, len(names), tau, rounds=6)
+        scored = fitting.held_out_scores(packed, solved, final).join(table, "run")
         out = scored if out is None else out.unionByName(scored)
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 4).alias(c)
     return out.groupBy("variant", "split").agg(F.sum("n").alias("n"), mean("loss"), mean("accuracy"))
