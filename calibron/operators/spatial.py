@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +23,29 @@ def visible(cubes_: DataFrame) -> DataFrame:
     """(scene, x, y, z, cells): cubes that own at least one of the six lattice cells that they cover.
 
     Moving by (1, 1, 1) leaves the picture unchanged, so with u = x - y and v = x + y - 2z a cube covers
-    six triangles of the lattice, and the cube with the largest x + y + z owns a triangle.
+    six triangles of the lattice, and the cube with the largest x + y + z owns a triangle. The cubes of a scene
+    meet in its row, where one map keeps the largest depth of each triangle; only cubes are shuffled, and no
+    task sorts their triangles.
     """
-    u, v = F.col("x") - F.col("y"), F.col("x") + F.col("y") - 2 * F.col("z")
-    cell = F.explode(F.array(*(F.struct((u + du).alias("u"), (v + dv).alias("v")) for du in (0, -1) for dv in (-1, 0, 1)))).alias("cell")
-    covered = cubes_.select("scene", "x", "y", "z", (F.col("x") + F.col("y") + F.col("z")).alias("depth"), cell)
-    top = covered.withColumn("k", F.row_number().over(Window.partitionBy("scene", "cell").orderBy(F.desc("depth")))).where("k = 1")
-    return top.groupBy("scene", "x", "y", "z").agg(F.count(F.lit(1)).alias("cells"))
+    packed = cubes_.select("scene", F.struct("x", "y", "z").alias("c")).repartition("scene").groupBy("scene").agg(F.collect_list("c").alias("c"))
+    kind = {n: cubes_.schema[n].dataType.simpleString() for n in ("scene", "x", "y", "z")}
+
+    def owned(batches):
+        for pdf in batches:
+            rows = []
+            for scene, found in zip(pdf["scene"], pdf["c"], strict=True):
+                found = [(c["x"], c["y"], c["z"]) for c in found]
+                top: dict[tuple[int, int], tuple[int, tuple[int, int, int]]] = {}
+                for x, y, z in found:
+                    u, v = x - y, x + y - 2 * z
+                    for at in ((u + du, v + dv) for du in (0, -1) for dv in (-1, 0, 1)):
+                        if at not in top or top[at][0] < x + y + z:
+                            top[at] = x + y + z, (x, y, z)
+                cells = Counter(cube for _, cube in top.values())
+                rows += [(scene, *cube, n) for cube, n in cells.items()]
+            yield pd.DataFrame(rows, columns=["scene", "x", "y", "z", "cells"])
+
+    return packed.mapInPandas(owned, ", ".join(f"{n} {k}" for n, k in kind.items()) + ", cells long")
 
 
 def totals(heights: DataFrame, visible_cubes: DataFrame) -> DataFrame:
