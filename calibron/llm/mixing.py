@@ -99,6 +99,19 @@ def words_in_pass(e: int) -> F.Column:
     return F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__goal") - e * F.col("__source_size") - F.col("__start")))
 
 
+def scheduled(placed: DataFrame) -> DataFrame:
+    """``placed`` of :func:`assigned`, each row once for every pass that takes words of it, with pass, words and position."""
+    passes = F.array(*(F.struct(F.lit(e).alias("pass"), words_in_pass(e).alias("words")) for e in range(MOST_PASSES)))
+    each = placed.select("*", F.explode(F.filter(passes, lambda p: p["words"] > 0)).alias("__taken"))
+    at = position((F.col("__taken.pass") * F.col("__source_size") + F.col("__start")) / F.col("__goal"), F.col("__weight"))
+    return each.select(*placed.columns, "__taken.pass", "__taken.words", at.alias("position"))
+
+
+def in_order(taken: DataFrame) -> DataFrame:
+    """Rows of :func:`scheduled` in the order of training."""
+    return taken.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The training rows in order of position: each document once for every pass that takes at least half of it.
 
@@ -113,11 +126,8 @@ def _mixed(docs: DataFrame) -> DataFrame:
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = with_stream_keys(docs.select(whole).select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "source")))).drop("text", "source")
     placed = assigned(rows, rows.select("__key", "__bucket", "__size"))
-    passes = F.filter(F.array(*(F.when(2 * words_in_pass(e) >= F.col("__size"), F.lit(e)) for e in range(MOST_PASSES))), lambda e: e.isNotNull())
-    each = placed.where("__size > 0").withColumn("pass", F.explode(passes))
-    at = position((F.col("pass") * F.col("__source_size") + F.col("__start")) / F.col("__goal"), F.col("__weight"))
-    taken = each.select("row", "doc_id", "pass", at.alias("position"))
-    return taken.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id").drop("doc_id")
+    taken = scheduled(placed).where(2 * F.col("words") >= F.col("__size"))
+    return in_order(taken.select("row", "doc_id", "pass", "position")).drop("doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -126,15 +136,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_position (null: not taken)."""
-    keyed = written(with_stream_keys(columns_of(docs, "doc_id", "source", "text")).drop("text", "source"), "mix_sizes")
-    out = assigned(keyed, keyed.select("__key", "__bucket", "__size"))
-    taken = words_in_pass(0)
-    for e in range(1, MOST_PASSES):
-        taken = taken + words_in_pass(e)
-    out = out.withColumn("taken", taken)
-    first = F.when(F.col("taken") > 0, F.round(position(F.col("__start") / F.col("__goal"), F.col("__weight")), 9))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.round("__target", 6).alias("target"), "taken", first.alias("first_position"))
+    """doc_id, size, source_size, target, taken, first_position (null: not taken).
+
+    The mix is made and written in the order of training; what it takes of a document, and where first, is read from it.
+    """
+    keyed = written(with_stream_keys(columns_of(docs, "doc_id", "source", "text")).drop("text", "source").withColumn("__row", F.monotonically_increasing_id()), "mix_sizes")
+    placed = written(assigned(keyed, keyed.select("__key", "__bucket", "__size")), "mix_places")
+    mix = written(in_order(scheduled(placed).select("__row", "doc_id", "pass", "words", "position")), "mix")
+    per = mix.groupBy("__row").agg(F.sum("words").alias("taken"), F.min("position").alias("first"))
+    out = placed.join(per, "__row", "left")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.round("__target", 6).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"), F.round("first", 9).alias("first_position"))
 
 
 MIXING_SQL = r"""

@@ -157,6 +157,16 @@ def test_mixing_meets_its_targets(awkward, prose, nothing):
     assert mixing.mixing_query(nothing).count() == 0
 
 
+def test_mixing_query_reads_the_mix(prose, monkeypatch):
+    docs = prose.select("doc_id", "text", "source")
+    whole = {r.doc_id: r for r in mixing.mixing_query(docs).collect()}
+    assert any(r.taken > r.size for r in whole.values())
+    in_order = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda taken: in_order(taken.where("pass = 0")))
+    once = {r.doc_id: r for r in mixing.mixing_query(docs).collect()}
+    assert all(once[k].taken == min(r.taken, r.size) and once[k].first_position == r.first_position for k, r in whole.items())
+
+
 def test_mixture_is_in_order_of_position(awkward, nothing):
     mix = mixing.mixture(awkward.drop("position", "pass"))
     positions = [r.position for r in mix.collect()]
