@@ -81,6 +81,16 @@ def test_token_bucket_in_blocks_equals_plain_loop(spark, parts):
     assert times[:5] == [0.0] * 5 and times[-1] == pytest.approx(1.0)
 
 
+def test_blocks_of_requests_are_bounded_by_their_rows(spark, monkeypatch):
+    seen, written = [], policy.written
+    monkeypatch.setattr(policy, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(policy, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    providers = spark.createDataFrame([("hot", 600.0, 60_000.0)], "provider string, rpm double, tpm double")
+    requests = spark.range(600).select(F.lit("hot").alias("provider"), F.col("id").alias("request"), (F.col("id") / 5).alias("at"), F.lit(9).cast("long").alias("tokens"))
+    assert policy.rate_limited(requests, providers).count() == 600
+    assert dict(seen)["requests"].groupBy("part").count().agg(F.max("count")).first()[0] <= 150
+
+
 def test_speculation_guards_in_order(spark):
     branches = spark.createDataFrame(
         [("s1", "east", 0, 1, "new1"), ("s1", "east", 0, 0, None), ("s1", "east", 1, 1, "busy"), ("s1", "east", 1, 0, "known"), ("s1", "east", 2, 1, "new2"), ("s2", "full", 0, 1, "new3"), ("s3", "east", 0, 1, "new4")],
