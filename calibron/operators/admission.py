@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibron.operators.policy import running
+from calibron.operators.policy import blocks_of, running
 from calibron.sources.scratch import root, written
 
 #: A row is a job of the block (arrival, wait: it waits already), the end of a call in flight (fly) or, in
 #: what a block gives, a start or the digest of the state that it leaves (state).
 ROW = "block long, kind string, provider string, job string, seq long, at double, priority double, took double, cost double, started double, nth long, used string, digest string"
+#: Arrivals of a block: what a task holds is bounded by it, and a longer block forgets more of the state before it.
+ARRIVALS = 100_000
 FIELDS = ["block", "kind", "provider", "job", "seq", "at", "priority", "took", "cost", "started", "nth", "used", "digest"]
 
 
@@ -58,19 +60,32 @@ def serve(arrivals, flying: list[float], waiting: list[tuple], window: int, unti
 def _block(pdf: pd.DataFrame, fifo: bool) -> pd.DataFrame:
     """The starts of a block and the state that it leaves, from its arrivals and the state before it."""
     head = pdf.iloc[0]
-    calls = {"arrival": [], "wait": []}
-    for r in pdf[pdf["kind"] != "fly"].itertuples():
-        calls[r.kind].append((0.0 if fifo else float(-r.priority), int(r.seq), float(r.at), float(r.took), float(r.cost), float(r.priority), r.job is not None, r.job or ""))
-    arrivals = sorted(calls["arrival"], key=lambda c: (c[2], c[1], c))
-    flying, waiting = sorted(pdf.loc[pdf["kind"] == "fly", "at"].tolist()), sorted(calls["wait"])
+
+    def calls(kind: str) -> list[tuple]:
+        r = pdf[pdf["kind"] == kind]
+        key = [0.0] * len(r) if fifo else (-r["priority"].astype(float)).tolist()
+        numbers = (r[c].astype(float).tolist() for c in ("at", "took", "cost", "priority"))
+        return list(zip(key, r["seq"].astype(int).tolist(), *numbers, r["job"].notna().tolist(), r["job"].fillna("").tolist(), strict=True))
+
+    arrivals = sorted(calls("arrival"), key=lambda c: (c[2], c[1], c))
+    flying, waiting = sorted(pdf.loc[pdf["kind"] == "fly", "at"].tolist()), sorted(calls("wait"))
     used = digest_of(flying, waiting)
     starts, flying, waiting = serve(arrivals, flying, waiting, int(head["window"]), float(head["until"]))
-    where = {"block": head["block"], "provider": head["provider"], "seq": 0, "nth": 0}
-    row = lambda kind, c: {**where, "kind": kind, "job": c[7] if c[6] else None, "seq": c[1], "at": c[2], "priority": c[5], "took": c[3], "cost": c[4]}
-    out = [{**row("start", c), "started": now, "nth": k + 1} for k, (c, now) in enumerate(starts)]
-    out += [{**where, "kind": "fly", "at": end} for end in flying] + [row("wait", c) for c in waiting]
-    out.append({**where, "kind": "state", "nth": len(starts), "used": used, "digest": digest_of(flying, waiting)})
-    return pd.DataFrame(out, columns=FIELDS).astype(dict.fromkeys(("at", "priority", "took", "cost", "started"), "Float64"))
+
+    def rows(kind: str, found: list[tuple], **more) -> pd.DataFrame:
+        _, seq, at, took, cost, priority, named, job = zip(*found, strict=True) if found else [()] * 8
+        return pd.DataFrame({"kind": kind, "job": [j if k else None for j, k in zip(job, named, strict=True)], "seq": seq, "at": at, "priority": priority, "took": took, "cost": cost, "nth": 0, **more})
+
+    state = {"seq": 0, "nth": [len(starts)], "used": used, "digest": digest_of(flying, waiting)}
+    parts = [pd.DataFrame({"kind": "state", **state})]
+    if starts:
+        parts.append(rows("start", [c for c, _ in starts], started=[now for _, now in starts]).assign(nth=range(1, len(starts) + 1)))
+    if flying:
+        parts.append(pd.DataFrame({"kind": "fly", "seq": 0, "at": flying, "nth": 0}))
+    if waiting:
+        parts.append(rows("wait", waiting))
+    out = pd.concat(parts, ignore_index=True).reindex(columns=FIELDS).assign(block=int(head["block"]), provider=head["provider"])
+    return out.astype(dict.fromkeys(("at", "priority", "took", "cost", "started"), "Float64"))
 
 
 def admitted_over_time(jobs: DataFrame, windows: DataFrame, mode: str = "priority", budget: float | None = None, cost: float = 0.05, parts: int | None = None) -> DataFrame:
@@ -84,7 +99,7 @@ def admitted_over_time(jobs: DataFrame, windows: DataFrame, mode: str = "priorit
     calls after it stay in the line that they would have had. Calls that return at a time are paid before
     calls of that time start; one without duration is paid after all of them have started.
 
-    Arrivals are range-partitioned by provider and time, so a busy provider has many blocks. All blocks are run at
+    Arrivals are range-partitioned by provider and time into blocks of about ``ARRIVALS``, so a busy provider has many. All blocks are run at
     first from an empty state. A block is run again whenever the state left by the block before it isn't the
     one that it started from: where a slot is free now and then, what is in flight soon no longer depends
     on how the block began, and two or three rounds do; a line that never ends takes up to a
@@ -97,7 +112,7 @@ def admitted_over_time(jobs: DataFrame, windows: DataFrame, mode: str = "priorit
     number = lambda c, other=0.0: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(other)).alias(c)
     clean = jobs.select("provider", "job", F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), number("at"), number("priority", float("-inf")), number("took"), number("cost"))
     clean = written(clean, "unranged")
-    ranged = written(clean.repartitionByRange(*([parts] if parts else []), "provider", "at", "seq").withColumn("part", F.spark_partition_id()), "arrivals")
+    ranged = written(clean.repartitionByRange(blocks_of(clean, parts, ARRIVALS), "provider", "at", "seq").withColumn("part", F.spark_partition_id()), "arrivals")
     ordered = Window.orderBy("provider", "part")  # one row for each block
     own = Window.partitionBy("provider").orderBy("part")
     blocks = ranged.groupBy("provider", "part").agg(F.min("at").alias("first"))

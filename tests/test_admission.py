@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from calibron.operators import admission
 from calibron.operators.admission import admitted_over_time
 from calibron.plans import catalogue
 from calibron.plans.matrix_queries import timed_calls
@@ -79,6 +80,15 @@ def test_a_freed_slot_goes_to_the_most_urgent(spark):
     assert line("priority") == ["a", "c", "d", "b"] and line("fifo") == ["a", "b", "c", "d"]
 
 
+def test_blocks_are_bounded_by_their_calls(spark, monkeypatch):
+    seen, written = [], admission.written
+    monkeypatch.setattr(admission, "ARRIVALS", 50)
+    monkeypatch.setattr(admission, "written", lambda df, name: seen.append((name, written(df, name))) or seen[-1][1])
+    windows = spark.createDataFrame([("east", 3), ("west", 1)], "provider string, window long")
+    got = admitted_over_time(spark.createDataFrame(made(7, 0.5), JOBS), windows).count()
+    assert got == 240 and dict(seen)["blocks"].count() >= 5
+
+
 def test_odd_rows_have_a_defined_place(spark):
     windows = spark.createDataFrame([("p", 1), (None, 5)], "provider string, window long")
     rows = [(None, "x", 1, 0.0, 1.0, 2.0, None), (None, None, 2, 0.0, None, None, 0.1), ("p", "y", None, None, float("nan"), 1.0, 0.0), ("p", "z", 3, 0.5, None, 1.0, 0.0), ("p", "z", 3, 0.5, None, 1.0, 0.0), ("other", "w", 9, 4.0, 1.0, 0.0, 0.0)]
