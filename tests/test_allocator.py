@@ -125,3 +125,19 @@ def test_the_run_stops_for_a_reason(spark, world):
     assert len(at_once) == 1 and at_once["seq"].isna().all() and at_once["reason"][0] == SETTLED
     alone = concurrent_runs(cells_of(spark, world).where("model_idx = 2"), spark.createDataFrame([], "provider string, window int, guess double"), {7: Policy()}).collect()
     assert [(r.run, r.seq, r.reason) for r in alone] == [(7, None, TOO_FEW)]
+
+
+def test_falls_are_worked_out_again_only_for_the_model_that_was_asked(world, monkeypatch):
+    a, b, dim, y, *_ = world
+    w = np.where(dim == 0, 0.5 / (dim == 0).sum(), 0.5 / (dim == 1).sum())
+    pairs = []
+    monkeypatch.setattr(X, "expected_fall", lambda d, *rest: pairs.append(len(d)) or expected_fall(d, *rest))
+    calls = X.run("coupled", y, a, b, dim, w, 12)
+    assert len(calls) == 12 and pairs[0] == MODELS * (MODELS - 1) and set(pairs[1:]) == {2 * (MODELS - 1)}
+    lanes, allowed = [X.Lane(a, b, dim, w) for _ in range(MODELS)], list(~np.isnan(y))
+    for _, m, i, gain in calls:
+        best = [x.best(allowed[k]) for k, x in enumerate(lanes)]
+        worth = X.gains(lanes, best, list(range(MODELS)))
+        assert (m, i, gain) == (int(worth.argmax()), best[m][0], worth.max())
+        lanes[m].answers[i] = int(y[m, i])
+        lanes[m].refresh()
