@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibron.operators.experiments import Lane, gains
+from calibron.operators.experiments import Lane, board_arrays, gains
 from calibron.operators.ranking import LOOKAHEAD, wrong_order
 
 TOO_FEW, SETTLED, MOST_CALLS, OVER_BUDGET, NO_GAIN = "fewer than two models", "settled", "most calls", "budget", "no gain"
@@ -46,10 +46,11 @@ def misordered(lanes: list[Lane], zone: float) -> float:
 class Board:
     """Models that compete for calls, followed from return to return."""
 
-    def __init__(self, policy: Policy, lanes: list[Lane], allowed: np.ndarray, provider: list[str], window: dict[str, int], guess: dict[str, float]):
+    def __init__(self, policy: Policy, lanes: list[Lane], allowed: list[np.ndarray], provider: list[str], window: dict[str, int], guess: dict[str, float]):
         self.policy, self.lanes, self.allowed, self.provider, self.window = policy, lanes, allowed, provider, window
         self.mean, self.paid = dict(guess), dict.fromkeys(guess, 0)
         self.pending: dict[int, int] = {}
+        self.known: dict = {}
         self.spent, self.made, self.idle, self.reason = 0.0, 0, 0, None
 
     def affordable(self, m: int) -> bool:
@@ -73,7 +74,7 @@ class Board:
         ready = [m for m in free if busy.count(self.provider[m]) < self.window[self.provider[m]] and self.affordable(m)]
         worth = np.full(n, -np.inf)
         if free:
-            worth[free] = gains(self.lanes, best, free, p.zone, (1,) if p.one_step else LOOKAHEAD)
+            worth[free] = gains(self.lanes, best, free, p.zone, (1,) if p.one_step else LOOKAHEAD, self.known)
             if p.by_cost:
                 worth[free] /= np.array([max(self.mean[self.provider[m]], 1e-9) for m in free])
         m = max(ready, key=lambda k: (worth[k], -k), default=-1)
@@ -125,27 +126,26 @@ def concurrent_runs(cells: DataFrame, providers: DataFrame, policies: dict[int,
     below the floor) and reason (why the run stopped) are the board's, the same in all its rows; a board
     without a call has one row without seq. A call in flight when a run stops is still heard.
 
-    Boards and policies run side by side; within a board each choice depends on the returns before it. A
-    task holds the cells of one board, whose few models compete.
+    Boards run side by side; within a board each choice depends on the returns before it. A task holds the cells
+    of one board, whose few models compete, and runs it under each policy.
     """
     limits = providers.select(F.col("provider").alias("named"), "window", "guess")
     known = cells.join(limits, F.col("provider") == F.col("named"), "left").withColumns({"provider": F.coalesce("provider", F.lit("")), "window": F.coalesce("window", F.lit(1)), "guess": F.coalesce("guess", F.lit(0.0))})
-    rows = known.withColumn("run", F.explode(F.array(*(F.lit(k) for k in policies))))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        models = np.sort(pdf["model_idx"].unique())
-        bank = pdf.drop_duplicates("item_idx").sort_values("item_idx")
-        dim = bank["dim"].to_numpy().astype(int)
+        models, bank, (y, took, cost) = board_arrays(pdf, "y", "took", "cost")
+        items, dim = bank["item_idx"].to_numpy(), bank["dim"].to_numpy().astype(int)
         w = np.where(dim == 0, 0.5 / max(1, (dim == 0).sum()), 0.5 / max(1, (dim == 1).sum()))
-        wide = lambda c: pdf.pivot_table(index="model_idx", columns="item_idx", values=c, aggfunc="max").loc[models, bank["item_idx"]].to_numpy(float)
-        y, items = wide("y"), bank["item_idx"].to_numpy()
         of = pdf.drop_duplicates("model_idx").set_index("model_idx").loc[models, "provider"].tolist()
         known = pdf.drop_duplicates("provider").set_index("provider")
-        lanes = [Lane(bank["a"].to_numpy(), bank["b"].to_numpy(), dim, w) for _ in models]
-        board = Board(policies[int(pdf["run"].iloc[0])], lanes, ~np.isnan(y), of, known["window"].astype(int).to_dict(), known["guess"].to_dict())
-        calls = [(k, int(models[m]), int(items[i]), *rest) for k, m, i, *rest in play(board, y, wide("took"), wide("cost"))] or [(None,) * 6]
-        made = pd.DataFrame(calls, columns=["seq", "model_idx", "item_idx", "gain", "started", "ended"])
-        made = made.astype(dict.fromkeys(("seq", "model_idx", "item_idx"), "Int64")).assign(board=int(pdf["board"].iloc[0]), run=int(pdf["run"].iloc[0]), spent=board.spent, left_idle=board.idle, reason=board.reason)
-        return made[[c.split()[0] for c in OUT.split(", ")]]
-
-    return rows.groupBy("board", "run").applyInPandas(each, OUT)
+        first = Lane(bank["a"].to_numpy(), bank["b"].to_numpy(), dim, w)
+        out = []
+        for run, policy in policies.items():
+            board = Board(policy, [first.fresh() for _ in models], list(~np.isnan(y)), of, known["window"].astype(int).to_dict(), known["guess"].to_dict())
+            calls = [(k, int(models[m]), int(items[i]), *rest) for k, m, i, *rest in play(board, y, took, cost)] or [(None,) * 6]
+            made = pd.DataFrame(calls, columns=["seq", "model_idx", "item_idx", "gain", "started", "ended"])
+            made = made.astype({**dict.fromkeys(("seq", "model_idx", "item_idx"), "Int64"), **dict.fromkeys(("gain", "started", "ended"), "Float64")})
+            out.append(made.assign(board=int(pdf["board"].iloc[0]), run=run, spent=board.spent, left_idle=board.idle, reason=board.reason))
+        return pd.concat(out)[[c.split()[0] for c in OUT.split(", ")]]
+
+    return known.groupBy("board").applyInPandas(each, OUT)
